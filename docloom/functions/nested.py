@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_DICTIONARY = "map<string,variant>"
+
 
 def map_coalesce(target: Column, source: Column) -> Column:
     """Merge of two flat maps: keys missing or NULL in the target come from the source."""
@@ -12,44 +14,28 @@ def map_coalesce(target: Column, source: Column) -> Column:
     return F.coalesce(merged, target, source)
 
 
-def json_leaves(rows: DataFrame, key: str, column: str, depth: int = 4) -> DataFrame:
-    """``(key, leaf, value)`` of a JSON dictionary column, nested dictionaries flattened to dotted leaves.
+def _is_dictionary(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
 
-    An explicit null is a row with a NULL value; lists and scalars are leaves.
-    """
-    level = rows.select(key, F.lit("").alias("leaf"), F.col(column).alias("value"))
-    done = None
-    for _ in range(depth):
-        entries = F.from_json("value", "map<string,string>")
-        opened = level.select(key, "leaf", F.explode(entries).alias("k", "value"))
-        opened = opened.select(key, F.when(F.col("leaf") == "", F.col("k")).otherwise(F.concat_ws(".", "leaf", "k")).alias("leaf"), "value")
-        nested = F.coalesce(F.col("value").startswith("{"), F.lit(False))
-        leaves = opened.where(~nested)
-        done = leaves if done is None else done.unionByName(leaves)
-        level = opened.where(nested)
-    return done
-
-
-def json_coalesce(rows: DataFrame, key: str, target: str, source: str) -> DataFrame:
-    """Leaves of the recursive merge of two JSON dictionaries per row.
-
-    Where one side holds a dictionary and the other a scalar, the target wins, so
-    source leaves below a target leaf, and at a prefix of target leaves, are dropped.
+
+def variant_coalesce(target: Column, source: Column, depth: int = 8) -> Column:
+    """Recursive merge of two dictionaries given as VARIANT.
+
+    Keys that are missing or null in the target come from the source, dictionaries
+    on both sides are merged, and in any other case the target wins.
     """
-    wanted = json_leaves(rows, key, target).withColumnRenamed("value", "t")
-    given = json_leaves(rows, key, source).withColumnRenamed("value", "s")
-    joined = wanted.withColumn("has_t", F.lit(True)).join(given, [key, "leaf"], "full_outer")
-    above = F.slice(F.split("leaf", r"\."), F.lit(1), F.size(F.split("leaf", r"\.")) - 1)
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(above)), lambda n: F.array_join(F.slice(above, F.lit(1), n), "."))
-    prefixes = F.when(F.size(above) > 0, prefixes)
-    # Target leaves that hold a value, and dictionaries of the target.
-    blocks = wanted.where("t IS NOT NULL").select(key, F.col("leaf").alias("block"))
-    folders = wanted.select(key, F.explode(prefixes).alias("block"))
-    only_source = joined.where("has_t IS NULL")
-    below = only_source.select(key, "leaf", F.explode(prefixes).alias("block")).join(blocks, [key, "block"], "left_semi").select(key, "leaf")
-    onto = only_source.withColumn("block", F.col("leaf")).join(folders, [key, "block"], "left_semi").select(key, "leaf")
-    kept = joined.join(below.unionByName(onto), [key, "leaf"], "left_anti")
-    # A null that the source replaces by a dictionary disappears.
-    given_folders = given.select(key, F.explode(prefixes).alias("leaf")).distinct()
-    replaced = kept.where("has_t AND t IS NULL AND s IS NULL").join(given_folders, [key, "leaf"], "left_semi").select(key, "leaf")
-    return kept.join(replaced, [key, "leaf"], "left_anti").select(key, "leaf", F.coalesce("t", "s").alias("value"))
+
+    def pick(_: Column, t: Column, s: Column) -> Column:
+        missing = t.isNull() | F.coalesce(F.is_variant_null(t), F.lit(False))
+        chosen = F.when(missing, F.coalesce(s, t))
+        if depth > 1:
+            chosen = chosen.when(_is_dictionary(t) & _is_dictionary(s), variant_coalesce(t, s, depth - 1))
+        return chosen.otherwise(t)
+
+    entries = F.map_zip_with(F.try_variant_get(target, "$", _DICTIONARY), F.try_variant_get(source, "$", _DICTIONARY), pick)
+    return F.coalesce(F.to_variant_object(entries), target, source)
+
+
+def json_coalesce(target: Column, source: Column) -> Column:
+    """Recursive merge of two JSON dictionaries, as JSON text."""
+    return F.to_json(variant_coalesce(F.try_parse_json(target), F.try_parse_json(source)))

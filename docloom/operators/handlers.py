@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import durable
 from .structure import fenced_blocks
 
 
@@ -44,19 +45,23 @@ def class_edges(documents: DataFrame) -> DataFrame:
     return diagrams.select("path", "pos", F.posexplode(pairs).alias("seq", "e")).select("path", "pos", "seq", "e.parent", "e.child")
 
 
-def class_tree(edges: DataFrame, max_depth: int = 16) -> DataFrame:
+def class_tree(edges: DataFrame) -> DataFrame:
     """Nodes of each diagram with depth and the chain of names from the root.
 
-    Each round appends one generation; a diagram is one block of one document,
-    so rounds are few.  A class that is its own ancestor is not under any root.
+    Each round appends one generation and is made durable; a diagram is one block
+    of one document, so rounds are few.  A class never appears below itself.
     """
     keys = ["path", "pos"]
+    edges = durable(edges)
     roots = edges.select(*keys, F.col("parent").alias("node")).distinct().join(
         edges.select(*keys, F.col("child").alias("node")), [*keys, "node"], "left_anti")
-    level = roots.select(*keys, "node", F.col("node").alias("chain"), F.lit(0).alias("depth"))
-    tree = level
-    for depth in range(1, max_depth + 1):
-        nxt = level.withColumnRenamed("node", "parent").join(edges, [*keys, "parent"])
-        level = nxt.select(*keys, F.col("child").alias("node"), F.concat_ws("/", "chain", "child").alias("chain"), F.lit(depth).alias("depth"))
-        tree = tree.unionByName(level)
-    return tree
+    level = durable(roots.select(*keys, "node", F.array("node").alias("chain")))
+    generations = [level]
+    while True:
+        below = level.withColumnRenamed("node", "parent").join(edges, [*keys, "parent"]).where(~F.array_contains("chain", F.col("child")))
+        level = durable(below.select(*keys, F.col("child").alias("node"), F.array_append("chain", F.col("child")).alias("chain")))
+        if level.isEmpty():
+            break
+        generations.append(level)
+    tree = reduce(DataFrame.unionByName, generations)
+    return tree.select(*keys, "node", (F.size("chain") - 1).alias("depth"), F.array_join("chain", "/").alias("chain"))

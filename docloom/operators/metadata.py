@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lookups import BLANK, SPACE
 from ..functions.text import path_digest, stem, strip
+from ..session import computed
 
 FRONT = r"(?sm)\A---\n(.+?)^---(?:\n|\z)"
 FRONT_COMMENT = r"(?sm)\A<!--\n(.+?)^-->(?:\n|\z)"
@@ -47,7 +48,7 @@ def directives(documents: DataFrame, prefix: str = "") -> DataFrame:
     out = documents.withColumn("rest", F.col("text"))
     for name, pattern in steps:
         value, rest = _take_first(F.col("rest"), pattern)
-        out = out.withColumns({name: value, "rest": rest})
+        out = computed(out, {name: value, "rest": rest})
     return out
 
 
@@ -62,19 +63,19 @@ def frontmatter(scanned: DataFrame) -> DataFrame:
     A block that is not a dictionary is removed but yields no properties, and
     the comment form is then tried on what remains.
     """
-    dashed = F.col("rest").rlike(FRONT)
-    out = scanned.withColumns({
+    dashed = F.col("rest").startswith("---\n") & F.col("rest").rlike(FRONT)
+    out = computed(scanned, {
         "_block1": F.when(dashed, F.regexp_extract("rest", FRONT, 1)),
         "_rest1": F.when(dashed, F.regexp_replace("rest", FRONT, "")).otherwise(F.col("rest")),
     })
-    out = out.withColumn("_good1", F.coalesce(_is_dictionary(F.col("_block1")), F.lit(False)))
-    commented = ~F.col("_good1") & F.col("_rest1").rlike(FRONT_COMMENT)
-    out = out.withColumns({
+    out = computed(out, {"_good1": F.coalesce(_is_dictionary(F.col("_block1")), F.lit(False))})
+    commented = ~F.col("_good1") & F.col("_rest1").startswith("<!--\n") & F.col("_rest1").rlike(FRONT_COMMENT)
+    out = computed(out, {
         "_block2": F.when(commented, F.regexp_extract("_rest1", FRONT_COMMENT, 1)),
         "body": F.when(commented, F.regexp_replace("_rest1", FRONT_COMMENT, "")).otherwise(F.col("_rest1")),
     })
     good2 = F.coalesce(_is_dictionary(F.col("_block2")), F.lit(False))
-    out = out.withColumn("block", F.when(F.col("_good1"), F.col("_block1")).when(good2, F.col("_block2")))
+    out = computed(out, {"block": F.when(F.col("_good1"), F.col("_block1")).when(good2, F.col("_block2"))})
     return out.withColumn("inner_lines", F.regexp_count("block", F.lit("\n"))).drop("_block1", "_rest1", "_good1", "_block2", "rest")
 
 
@@ -135,7 +136,7 @@ def frontmatter_entries(block: Column) -> Column:
 def scan(documents: DataFrame, prefix: str = "") -> DataFrame:
     """Directives and front-matter of every document; ``body`` is the text that remains."""
     parsed = frontmatter(directives(documents, prefix))
-    return parsed.withColumns({"entries": frontmatter_entries(F.col("block")), "start_line": start_line(F.col("inner_lines"))})
+    return computed(parsed, {"entries": frontmatter_entries(F.col("block")), "start_line": start_line(F.col("inner_lines"))})
 
 
 def frontmatter_kv(scanned: DataFrame) -> DataFrame:
@@ -145,14 +146,13 @@ def frontmatter_kv(scanned: DataFrame) -> DataFrame:
 
 
 def _values(key: str) -> Column:
-    found = F.filter("entries", lambda e: e["key"] == key)
-    return F.transform(found, lambda e: e["value"])
+    return F.expr(f"transform(filter(entries, e -> e.key = '{key}'), e -> e.value)")
 
 
 def _value(key: str) -> Column:
     """The last value wins, as in a dictionary; an explicit null is no value."""
-    last = F.try_element_at(_values(key), F.lit(-1))
-    return F.when(~last.isin("", "null", "~"), last)
+    last = f"try_element_at(transform(filter(entries, e -> e.key = '{key}'), e -> e.value), -1)"
+    return F.expr(f"CASE WHEN {last} NOT IN ('', 'null', '~') THEN {last} END")
 
 
 def properties(scanned: DataFrame, prefix: str = "") -> DataFrame:
@@ -161,7 +161,7 @@ def properties(scanned: DataFrame, prefix: str = "") -> DataFrame:
     tags = _values("tags")
     nested = F.filter("entries", lambda e: e["key"].startswith("properties."))
     props = F.map_from_entries(F.transform(nested, lambda e: F.struct(F.substring_index(e["key"], ".", -1), e["value"])))
-    return scanned.withColumns({
+    return computed(scanned, {
         "page_id": F.coalesce("d_page_id", _value(alias + "page_id"), _value("page_id")),
         "space_key": F.coalesce("d_space_key", _value(alias + "space_key"), _value("space_key")),
         "generated_by": F.coalesce("d_generated_by", _value("generated_by")),

@@ -16,6 +16,7 @@ from ..functions import lookups as L
 from ..functions.lookups import BLANK, lookup
 from ..functions.markup import html_text
 from ..functions.text import content_uuid, is_absolute_url, rstrip, strip, suffix, unify_newlines, url_fragment, url_path
+from ..session import computed
 from .metadata import frontmatter_entries
 
 # A fenced block from its opening line to the line with the same marker (same
@@ -56,7 +57,7 @@ def body_of(documents: DataFrame, *keep: str) -> DataFrame:
 def prose_of(documents: DataFrame) -> DataFrame:
     """Body without fenced blocks and inline code."""
     bare = F.regexp_replace("body", FENCE, "")
-    return body_of(documents).select("path", F.regexp_replace(bare, r"`[^`\n]*`", "").alias("prose"))
+    return computed(body_of(documents), {"prose": F.regexp_replace(bare, r"`[^`\n]*`", "")}).select("path", "prose")
 
 
 def _rows(documents: DataFrame, items: Column, *keep: str) -> DataFrame:
@@ -195,7 +196,7 @@ def toc(heads: DataFrame) -> DataFrame:
 def titles(props: DataFrame) -> DataFrame:
     """Front-matter title, else the unique top-level heading, else NULL."""
     heading = unique_title_of(heading_array(unify_newlines(F.col("body"))))
-    return props.withColumn("title", F.coalesce(F.nullif("fm_title", F.lit("")), heading))
+    return computed(props, {"title": F.coalesce(F.nullif("fm_title", F.lit("")), heading)})
 
 
 def strip_title(props: DataFrame) -> DataFrame:
@@ -203,15 +204,15 @@ def strip_title(props: DataFrame) -> DataFrame:
     body = unify_newlines(F.col("body"))
     untitled = F.nullif("fm_title", F.lit("")).isNull()
     inferred = untitled & unique_title_of(heading_array(F.col("body"))).isNotNull()
-    parts = props.select("path", "fm_title", body.alias("body")).select(
-        "path", "body", inferred.alias("stripped"), F.when(inferred, _all("body", _PART)).alias("parts"))
+    checked = computed(computed(props.select("path", "fm_title", "body"), {"body": body}), {"stripped": inferred})
+    parts = computed(checked, {"parts": F.when(F.col("stripped"), _all("body", _PART))})
 
     def is_heading(part: Column) -> Column:
         text = F.regexp_replace(part, r"\n\z", "")
         numbered = part.rlike(rf"\A#{{1,6}}(?:[{BLANK}]|\n)")
         return ~part.rlike(_FENCE_START) & (numbered | text.contains("\n"))
 
-    at = parts.withColumn("at", F.array_position(F.transform("parts", is_heading), F.lit(True)).cast("int"))
+    at = computed(parts, {"at": F.array_position(F.transform("parts", is_heading), F.lit(True)).cast("int")})
     rest = F.concat(F.slice("parts", F.lit(1), F.col("at") - 1), F.slice("parts", F.col("at") + 1, F.size("parts")))
     return at.select("path", "stripped", F.when(F.col("stripped"), F.array_join(rest, "")).otherwise(F.col("body")).alias("body"))
 

@@ -22,6 +22,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -41,6 +42,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are evaluated once, however often later steps use them.
+
+    Predicates and projections above are not rewritten in terms of the inputs of
+    these columns, as they would be with ``withColumns``: a chain of text
+    patterns would otherwise be repeated at every use.  The one-element
+    ``inline`` keeps the evaluation in the same stage.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))))
+
+
 def salted_join(probe: DataFrame, lookup: DataFrame, on: list[str], spread: Column, how: str = "left") -> DataFrame:
     """Join a large probe side with a lookup side that holds one row per key.
 

@@ -76,6 +76,7 @@ def inject_ids(documents: DataFrame, index: DataFrame, prefix: str = "") -> Data
         F.lit(f"<!-- {lead}page-id: "), F.col("page_id"), F.lit(f" -->\n<!-- {lead}space-key: "), F.col("space_key"), F.lit(" -->"))
     text = F.col("text")
     dashed, commented = text.startswith("---\n"), text.startswith("<!--\n")
+    # Where the closing delimiter of the front-matter starts, 0 if nowhere.
     close = F.when(dashed, F.locate("\n---\n", text, 5)).when(commented, F.locate("\n-->\n", text, 6))
     cut = F.when(close > 0, close + 3)
     fronted = F.concat_ws("\n", F.substring(text, F.lit(1), cut), comments, F.substring(text, cut + 1, F.length(text)))

@@ -28,7 +28,7 @@ n AS (
          WHEN d.doc_id % 17 = 5 THEN concat('doc', CAST(d.doc_id AS VARCHAR(20)), '.md')
          ELSE concat('Doc', CAST(d.doc_id AS VARCHAR(20)), '.md') END AS name
   FROM d LEFT JOIN firsts f ON d.doc_id = f.doc_id)
-SELECT doc_id, lang, source, dir, name, concat(dir, '/', name) AS path,
+SELECT doc_id, lang, source, text AS original, dir, name, concat(dir, '/', name) AS path,
   concat_ws(chr(10),
     CASE WHEN q % 3 = 0 THEN concat_ws(chr(10), '---',
            CASE WHEN doc_id % 13 <> 6 THEN concat('title: Title ', CAST(doc_id % 97 AS VARCHAR(20))) END,
@@ -90,12 +90,72 @@ FROM n
 """
 
 
+# The published side, derived row by row from the indexed documents (view ``nodes``).
+# One page in ten is unknown to the source, so its document has to be created.
+SNAPSHOT_SQL = {
+    "pages": """
+      SELECT CASE WHEN doc_id % 10 = 7 THEN concat('gone', CAST(doc_id AS VARCHAR(20))) ELSE coalesce(page_id, CAST(500000 + doc_id AS VARCHAR(20))) END AS id,
+        CASE WHEN doc_id % 10 = 7 THEN concat('Removed ', CAST(doc_id AS VARCHAR(20)))
+             WHEN doc_id % 11 = 5 THEN concat(full_title, ' (old)') ELSE full_title END AS title,
+        space_id, CASE WHEN doc_id % 53 = 3 THEN 'archived' ELSE 'current' END AS status,
+        CAST(1 + doc_id % 4 AS INT) AS version,
+        concat('<div class="doc" id="d', CAST(doc_id AS VARCHAR(20)), '"><p ac:local-id="new">', original,
+               CASE WHEN doc_id % 3 = 1 THEN ' edited' ELSE '' END,
+               '<ac:inline-comment-marker ac:ref="r"></ac:inline-comment-marker></p></div>') AS body
+      FROM nodes""",
+    "sync_state": """
+      SELECT coalesce(page_id, CAST(500000 + doc_id AS VARCHAR(20))) AS page_id,
+        CAST(CASE WHEN doc_id % 8 = 4 AND doc_id % 4 > 0 THEN doc_id % 4 WHEN doc_id % 8 = 3 THEN doc_id % 4 ELSE 1 + doc_id % 4 END AS INT) AS page_version,
+        CASE WHEN doc_id % 9 = 2 THEN NULL WHEN doc_id % 6 = 1 THEN 'stale' ELSE digest END AS source_digest
+      FROM nodes""",
+    "labels": """
+      SELECT coalesce(page_id, CAST(500000 + doc_id AS VARCHAR(20))) AS page_id, lang AS name, 'global' AS prefix FROM nodes
+      UNION ALL
+      SELECT coalesce(page_id, CAST(500000 + doc_id AS VARCHAR(20))), concat('old', CAST(doc_id % 5 AS VARCHAR(20))), 'global' FROM nodes""",
+    "properties": """
+      SELECT coalesce(page_id, CAST(500000 + doc_id AS VARCHAR(20))) AS page_id, concat('k', CAST(doc_id % 2 AS VARCHAR(20))) AS key,
+        concat('v', CAST(doc_id % 5 AS VARCHAR(20))) AS value, CAST(1 + doc_id % 3 AS INT) AS version FROM nodes
+      UNION ALL
+      SELECT coalesce(page_id, CAST(500000 + doc_id AS VARCHAR(20))), 'theme', CASE WHEN doc_id % 2 = 0 THEN 'dark' ELSE 'light' END, 2 FROM nodes""",
+    "attachments": """
+      SELECT coalesce(page_id, CAST(500000 + doc_id AS VARCHAR(20))) AS page_id, concat('img_fig', CAST(doc_id % 5 AS VARCHAR(20)), '.svg') AS name,
+        CASE WHEN doc_id % 6 = 5 THEN NULL WHEN doc_id % 4 = 1 THEN 'other' ELSE md5(concat('fig', CAST(doc_id % 5 AS VARCHAR(20)))) END AS checksum,
+        CAST(100 + doc_id % 3 AS BIGINT) AS size FROM nodes
+      UNION ALL
+      SELECT coalesce(page_id, CAST(500000 + doc_id AS VARCHAR(20))), concat('orphan', CAST(doc_id % 2 AS VARCHAR(20)), '.bin'), 'x', 5 FROM nodes""",
+    "comments": """
+      SELECT coalesce(page_id, CAST(500000 + doc_id AS VARCHAR(20))) AS page_id,
+        CASE doc_id % 13 WHEN 0 THEN 'open' WHEN 1 THEN 'reopened' WHEN 2 THEN 'dangling' ELSE 'resolved' END AS resolution_status
+      FROM nodes""",
+    "users": """
+      SELECT concat('acc', CAST(doc_id AS VARCHAR(20))) AS account_id, concat('user', CAST(doc_id % 10 AS VARCHAR(20)), '@example.com') AS email,
+        concat(CASE WHEN doc_id % 7 = 6 THEN 'Bob ' ELSE 'ann ' END, CAST(doc_id % 10 AS VARCHAR(20)), ' Smith') AS display_name
+      FROM nodes""",
+    "spaces": """
+      SELECT DISTINCT CASE WHEN space_key = 'SP2' THEN concat('S-', source) ELSE concat('S-', coalesce(space_key, 'HOME')) END AS space_id,
+        coalesce(space_key, 'HOME') AS space_key, concat('home-', coalesce(space_key, 'HOME')) AS homepage_id
+      FROM nodes""",
+}
+
+
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    """A table; one in fewer parts than there are cores is spread over them by its key."""
+    table = spark.read.parquet(f"{directory}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, table.columns[0])
 
 
 def corpus(spark: SparkSession, directory: str) -> DataFrame:
-    """``(doc_id, lang, source, dir, name, path, text)`` from the ``documents`` table."""
+    """``(doc_id, lang, source, original, dir, name, path, text)`` from the ``documents`` table."""
     documents = read_table(spark, directory, "documents").select("doc_id", "lang", "source", "text")
-    statement = CORPUS_SQL.replace("{", "{{").replace("}", "}}").replace("FROM documents", "FROM {documents}")
-    return spark.sql(statement, documents=documents)
+    return spark.sql(_with_arguments(CORPUS_SQL, "documents"), documents=documents)
+
+
+def snapshot(nodes: DataFrame, name: str) -> DataFrame:
+    """One table of the published side."""
+    return nodes.sparkSession.sql(_with_arguments(SNAPSHOT_SQL[name], "nodes"), nodes=nodes)
+
+
+def _with_arguments(statement: str, view: str) -> str:
+    escaped = statement.replace("{", "{{").replace("}", "}}")
+    return escaped.replace(f"FROM {view}", f"FROM {{{view}}}")
