@@ -46,7 +46,7 @@ def title_plan(docs: DataFrame, pages: DataFrame) -> DataFrame:
     changed = F.col("title") != F.col("page_title")
     free = ~changed | F.col("taken").isNull()
     title = F.when((F.col("title") != "") & free, F.col("title")).otherwise(F.col("page_title"))
-    return joined.select("path", "page_id", title.alias("new_title"), "page_title", (changed & F.col("taken")).alias("title_taken"))
+    return joined.select("path", "page_id", title.alias("new_title"), "page_title", (changed & F.coalesce("taken", F.lit(False))).alias("title_taken"))
 
 
 def detect_changes(matched: DataFrame, state: DataFrame) -> DataFrame:

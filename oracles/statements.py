@@ -257,8 +257,8 @@ _STATEMENTS: dict[str, str] = {
         FROM (SELECT path, CASE WHEN doc_id % 10 = 9 THEN 'NONE' ELSE coalesce(space_key, 'HOME') END AS space_key FROM nodes) n LEFT JOIN (SELECT space_key, count(*) AS c, min(space_id) AS space_id FROM snap_spaces GROUP BY 1) s ON s.space_key = n.space_key""",
     "coalesce_space": """SELECT path, CASE WHEN given IS NOT NULL AND space_key IS NOT NULL THEN NULL WHEN given IS NOT NULL THEN given ELSE (SELECT min(space_id) FROM snap_spaces s WHERE s.space_key = coalesce(n.space_key, 'HOME')) END AS space_id,
         CASE WHEN given IS NOT NULL AND space_key IS NOT NULL THEN 'either id or key is expected' END AS error FROM (SELECT path, space_key, CASE WHEN doc_id % 4 = 1 THEN 'S-X' END AS given FROM nodes) n""",
-    "merge_global_properties": """WITH own AS (SELECT path, replace(key, 'properties.', '') AS key, value FROM kv WHERE key LIKE 'properties.%'), glob AS (SELECT path, g.key, g.value FROM props, (VALUES ('editor', 'v1'), ('owner', 'docs')) AS g(key, value))
-        SELECT coalesce(o.path, g.path) AS path, coalesce(o.key, g.key) AS key, coalesce(o.value, g.value) AS value FROM own o FULL JOIN glob g ON g.path = o.path AND g.key = o.key""",
+    "merge_global_properties": """WITH own AS (SELECT path, replace(key, 'properties.', '') AS key, value FROM kv WHERE key LIKE 'properties.%'), defaults AS (SELECT path, g.key, g.value FROM props, (VALUES ('editor', 'v1'), ('owner', 'docs')) AS g(key, value))
+        SELECT coalesce(o.path, g.path) AS path, coalesce(o.key, g.key) AS key, coalesce(o.value, g.value) AS value FROM own o FULL JOIN defaults g ON g.path = o.path AND g.key = o.key""",
     "parent_doc_election": "SELECT dir, parent_doc FROM elected",
     "synthesize_parents": "SELECT DISTINCT above AS dir, 'index.md' AS name, CASE WHEN above = '' THEN '' ELSE above || '/' END || 'index.md' AS path, '[[_LISTING_]]' || chr(10) AS text FROM prefixes WHERE above NOT IN (SELECT dir FROM elected)",
     "nearest_parent": "SELECT path, parent, is_dir_page FROM parents",
