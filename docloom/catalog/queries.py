@@ -579,7 +579,7 @@ def match_by_page_id(spark, d):
 @query
 def match_by_title(spark, d):
     docs = nodes(spark, d)
-    return R.match_by_title(docs, snapshot(docs, "pages")).drop("error")
+    return R.match_by_title(docs, snapshot(docs, "pages"))
 
 
 @query
@@ -749,9 +749,9 @@ def _publishable(docs):
 
 def _changes(spark, d):
     docs = _publishable(nodes(spark, d))
-    pages = snapshot(docs, "pages")
-    rows = docs.select("path", node_id().alias("page_id"), F.col("full_title").alias("new_title"), "digest", "content")
-    target = pages.select(F.col("id").alias("page_id"), F.col("title").alias("page_title"), "version", F.col("body").alias("page_content"))
+    rows = docs.select("path", node_id().alias("page_id"), F.col("full_title").alias("new_title"), "digest", RC.content_key(F.col("content")).alias("content_key"))
+    target = snapshot(docs, "pages").select(
+        F.col("id").alias("page_id"), F.col("title").alias("page_title"), "version", RC.content_key(F.col("body")).alias("page_key"))
     return RC.detect_changes(rows.join(target, "page_id"), snapshot(docs, "sync_state"))
 
 
@@ -768,8 +768,10 @@ def conflict_detection(spark, d):
 @query
 def title_update(spark, d):
     docs = nodes(spark, d)
+    pages = snapshot(docs, "pages").select("id", "space_id", "title")
     rows = docs.select("path", node_id().alias("page_id"), "space_id", F.coalesce("title", F.lit("")).alias("title"))
-    return RC.title_plan(rows, snapshot(docs, "pages"))
+    own = rows.join(pages.select(F.col("id").alias("page_id"), F.col("title").alias("page_title")), "page_id")
+    return RC.title_plan(own, pages).select("path", "page_id", "new_title", "page_title", "title_taken")
 
 
 @query

@@ -35,18 +35,18 @@ def resolve_links(links: DataFrame, index: DataFrame, root: str, site: str) -> D
 
 
 def broken_links(links: DataFrame, index: DataFrame, files: DataFrame, root: str) -> DataFrame:
-    """Relative links that lead outside the root, to no page or to no file."""
-    relative = within_root(_resolved(links.where(F.col("kind").isin("page", "attachment"))), root)
-    keep = ["path", "pos", "url", "resolved"]
-    outside = relative.where("NOT inside").select(*keep, F.lit("outside root").alias("reason"))
-    inside = relative.where("inside")
-
-    def missing(kind: str, targets: DataFrame, reason: str) -> DataFrame:
-        known = targets.select(F.col("path").alias("resolved"))
-        rest = salted_join(inside.where(F.col("kind") == kind), known, ["resolved"], F.xxhash64("path", "pos"), "left_anti")
-        return rest.select(*keep, F.lit(reason).alias("reason"))
+    """Relative links that lead outside the root, to no page or to no file.
 
-    return outside.unionByName(missing("page", index, "no such page")).unionByName(missing("attachment", files, "no such file"))
+    Pages and files form one relation of targets, so links are read and joined once.
+    """
+    relative = within_root(_resolved(links.where(F.col("kind").isin("page", "attachment"))), root)
+    targets = index.select(F.lit("page").alias("kind"), F.col("path").alias("resolved")).unionByName(
+        files.select(F.lit("attachment").alias("kind"), F.col("path").alias("resolved"))).withColumn("known", F.lit(True))
+    joined = salted_join(relative, targets, ["kind", "resolved"], F.xxhash64("path", "pos"))
+    reason = (
+        F.when(~F.col("inside"), "outside root")
+        .when(F.col("known").isNull(), F.when(F.col("kind") == "page", "no such page").otherwise("no such file")))
+    return joined.select("path", "pos", "url", "resolved", reason.alias("reason")).where("reason IS NOT NULL")
 
 
 def resolve_attachment_links(links: DataFrame, files: DataFrame, root: str) -> DataFrame:
@@ -181,18 +181,40 @@ def match_by_page_id(docs: DataFrame, pages: DataFrame) -> DataFrame:
                          F.when(F.col("version").isNull(), F.lit("no such page")).alias("error"))
 
 
+def single_titles(pages: DataFrame) -> DataFrame:
+    """Pages whose title occurs once in their space, counted before any join so that copies never multiply."""
+    others = [c for c in pages.columns if c not in ("space_id", "title")]
+    counted = pages.groupBy("space_id", F.col("title").alias("full_title")).agg(
+        F.count(F.lit(1)).alias("hits"), *[F.min(c).alias(c) for c in others])
+    return counted.where("hits = 1").drop("hits")
+
+
 def match_by_title(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """Documents without an id: the page with the same space and title when there is exactly one, else a new page."""
     unnamed = docs.where("page_id IS NULL").select("path", "space_id", "full_title")
-    # One row per (space, title), counted before the join so that copies of a title never multiply.
-    by_title = pages.groupBy("space_id", F.col("title").alias("full_title")).agg(
-        F.count(F.lit(1)).alias("hits"), F.min("id").alias("page_id"), F.min("status").alias("status"), F.min("version").alias("version"))
-    single = by_title.where("hits = 1").drop("hits")
+    single = single_titles(pages.select("space_id", "title", F.col("id").alias("page_id"), "status", "version"))
     joined = salted_join(unnamed, single, ["space_id", "full_title"], F.col("path"))
     found = F.col("page_id").isNotNull()
     return joined.select("path", "page_id", "status", F.when(found, F.col("full_title")).alias("page_title"), "version",
-                         F.when(found, "title").otherwise("none").alias("matched_by"), F.lit(None).cast("string").alias("error"))
+                         F.when(found, "title").otherwise("none").alias("matched_by"))
 
 
-def match_pages(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    return match_by_page_id(docs, pages).unionByName(match_by_title(docs, pages))
+def match_pages(docs: DataFrame, pages: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Both matches in one pass over the documents, whose columns are kept.
+
+    ``carry`` names further page columns to bring along.
+    """
+    fields = ["status", "page_title", "version", *carry]
+    target = pages.withColumn("page_title", F.col("title"))
+    by_id = target.select(F.col("id").alias("page_id"), F.struct(*fields).alias("_by_id"))
+    single = single_titles(target.select("space_id", "title", "id", F.struct(*fields).alias("_by_title"))).withColumnRenamed("id", "_id")
+    named = F.col("page_id").isNotNull()
+    rows = docs.withColumn("_title", F.when(~named, F.col("full_title")))
+    rows = salted_join(rows, by_id, ["page_id"], F.col("path"), salts=1)
+    rows = salted_join(rows, single.withColumnRenamed("full_title", "_title"), ["space_id", "_title"], F.col("path"))
+    kept = [c for c in docs.columns if c != "page_id"]
+    return rows.select(
+        *kept, F.coalesce("page_id", "_id").alias("page_id"),
+        *[F.coalesce(F.col(f"_by_id.{f}"), F.col(f"_by_title.{f}")).alias(f) for f in fields],
+        F.when(named, "id").when(F.col("_id").isNotNull(), "title").otherwise("none").alias("matched_by"),
+        F.when(named & F.col("_by_id").isNull(), F.lit("no such page")).alias("error"))

@@ -122,7 +122,8 @@ def root_page(explicit: DataFrame, pages: DataFrame, spaces: DataFrame, configur
     """
     parents = pages.select(F.col("id").alias("page_id"), "parent_id")
     homes = spaces.select("space_key", "homepage_id")
-    joined = explicit.join(parents, "page_id", "left").join(homes, "space_key", "left")
+    joined = salted_join(explicit, parents, ["page_id"], F.col("path"), salts=1)
+    joined = salted_join(joined, homes, ["space_key"], F.col("path"))
     top = (
         F.when(F.col("page_id").isNotNull(), F.col("parent_id"))
         .otherwise(F.coalesce(F.lit(configured).cast("string"), F.col("homepage_id"))))

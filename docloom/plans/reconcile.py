@@ -35,31 +35,35 @@ def source_digest(text: Column, options: str) -> Column:
     return F.md5(F.concat(F.lit(options + "\n"), text))
 
 
-def title_plan(docs: DataFrame, pages: DataFrame) -> DataFrame:
+def title_plan(matched: DataFrame, pages: DataFrame) -> DataFrame:
     """New title of matched pages: kept when the document has none or another page of the space holds it.
 
-    ``docs(path, page_id, space_id, title)`` where ``title`` carries the prefix.
+    ``matched(path, space_id, title, page_title, ...)`` where ``title`` carries the prefix; its columns are kept.
     """
-    own = docs.join(pages.select(F.col("id").alias("page_id"), F.col("title").alias("page_title")), "page_id")
-    taken = pages.select("space_id", "title").distinct().withColumn("taken", F.lit(True))
-    joined = salted_join(own, taken, ["space_id", "title"], F.col("path"))
+    taken = pages.select("space_id", F.col("title").alias("_wanted")).distinct().withColumn("_taken", F.lit(True))
+    joined = salted_join(matched.withColumn("_wanted", F.nullif("title", F.lit(""))), taken, ["space_id", "_wanted"], F.col("path"))
     changed = F.col("title") != F.col("page_title")
-    free = ~changed | F.col("taken").isNull()
-    title = F.when((F.col("title") != "") & free, F.col("title")).otherwise(F.col("page_title"))
-    return joined.select("path", "page_id", title.alias("new_title"), "page_title", (changed & F.coalesce("taken", F.lit(False))).alias("title_taken"))
+    taken_by_other = changed & F.coalesce("_taken", F.lit(False))
+    title = F.when(F.col("_wanted").isNotNull() & ~taken_by_other, F.col("_wanted")).otherwise(F.col("page_title"))
+    return joined.withColumns({"new_title": title, "title_taken": taken_by_other}).drop("_wanted", "_taken")
+
+
+def content_key(content: Column) -> Column:
+    """Digest of the canonical content, taken where the text is scanned: only the digest is shuffled."""
+    return F.md5(canonical_markup(content))
 
 
 def detect_changes(matched: DataFrame, state: DataFrame) -> DataFrame:
     """First rule that fires: new title, same digest and version, same content, else changed.
 
-    ``matched(page_id, path, new_title, page_title, version, digest, content, page_content)``.
-    The canonical forms are computed only for rows that the cheap rules leave open.
+    ``matched(page_id, new_title, page_title, version, digest, content_key, page_key, ...)``; its columns are kept.
     """
-    joined = matched.join(state.select("page_id", "page_version", "source_digest"), "page_id", "left")
+    tags = state.select("page_id", "page_version", "source_digest")
+    joined = salted_join(matched, tags, ["page_id"], F.col("path"), salts=1)
     current = (F.col("source_digest") == F.col("digest")) & (F.col("page_version") == F.col("version"))
-    rule = F.when(F.col("new_title") != F.col("page_title"), "title").when(current, "checksum")
-    same = F.md5(canonical_markup(F.col("content"))) == F.md5(canonical_markup(F.col("page_content")))
-    rule = rule.when(same, "content").otherwise("changed")
+    rule = (
+        F.when(F.col("new_title") != F.col("page_title"), "title").when(current, "checksum")
+        .when(F.col("content_key") == F.col("page_key"), "content").otherwise("changed"))
     return joined.withColumn("rule", rule).withColumn("changed", F.col("rule").isin("title", "changed"))
 
 
@@ -72,19 +76,16 @@ def sync_plan(docs: DataFrame, pages: DataFrame, state: DataFrame, comments: Dat
     """One action per document: create, update, unchanged, or skipped for a conflict, comments or an error.
 
     ``docs(path, page_id, space_id, title, full_title, digest, content, synchronized)``.
-    Page text is joined in last and only for documents that have a page.
+    Documents pass once through a chain of lookups; contents are reduced to digests first.
     """
-    matched = check_status(match_pages(docs, pages))
-    carried = docs.select("path", "space_id", "title", "digest", "synchronized", F.col("content"))
-    rows = matched.join(carried, "path")
-    found = rows.where("matched_by <> 'none' AND error IS NULL AND status_error IS NULL AND synchronized")
-    titled = title_plan(found.select("path", "page_id", "space_id", F.coalesce("title", F.lit("")).alias("title")), pages)
-    bodies = pages.select(F.col("id").alias("page_id"), F.col("body").alias("page_content"))
-    candidates = found.select("path", "page_id", "version", "digest", "content").join(titled, ["path", "page_id"]).join(bodies, "page_id")
-    checked = detect_changes(candidates, state)
+    rows = docs.select(
+        "path", "page_id", "space_id", F.coalesce("title", F.lit("")).alias("title"), "full_title", "digest", "synchronized",
+        content_key(F.col("content")).alias("content_key"))
+    target = pages.select("id", "space_id", "title", "status", "version", content_key(F.col("body")).alias("page_key"))
+    matched = check_status(match_pages(rows, target, carry=("page_key",)))
+    checked = detect_changes(title_plan(matched, pages), state)
     blocked = pages_with_open_comments(comments).withColumn("open_comments", F.lit(True))
-    checked = checked.join(blocked, "page_id", "left").select("path", "new_title", "rule", "changed", "page_version", "open_comments")
-    plan = matched.join(docs.select("path", "synchronized"), "path").join(checked, "path", "left")
+    plan = salted_join(checked, blocked, ["page_id"], F.col("path"), salts=1)
     edited = F.col("page_version").isNotNull() & (F.col("version") != F.col("page_version"))
     action = (
         F.when(F.col("error").isNotNull() | F.col("status_error").isNotNull(), "error")
@@ -95,8 +96,9 @@ def sync_plan(docs: DataFrame, pages: DataFrame, state: DataFrame, comments: Dat
         .when(F.coalesce("open_comments", F.lit(False)) & F.lit(check_comments), "comment-skip")
         .otherwise("update"))
     out = plan.withColumn("action", action)
+    compared = ~F.col("action").isin("error", "create", "index-only")
     return out.select(
-        "path", "page_id", "action", "rule",
+        "path", "page_id", "action", F.when(compared, F.col("rule")).alias("rule"),
         F.when(F.col("action") == "update", F.col("new_title")).alias("new_title"),
         F.when(F.col("action") == "update", F.col("version") + 1).when(F.col("action") == "create", 1).alias("new_version"),
         F.coalesce("error", "status_error").alias("error"))
@@ -118,15 +120,18 @@ def label_diff(desired: DataFrame, current: DataFrame, keep_existing: bool = Fal
     return both.select("page_id", "name", "prefix", action.alias("action")).where("action IS NOT NULL")
 
 
-def property_diff(desired: DataFrame, current: DataFrame, keep_existing: Column | bool = False) -> DataFrame:
-    """Properties to add, remove or update with the next version."""
-    keep = keep_existing if isinstance(keep_existing, Column) else F.lit(keep_existing)
-    old = current.select("page_id", "key", F.col("value").alias("old_value"), "version", F.lit(True).alias("old"))
+def property_diff(desired: DataFrame, current: DataFrame, keep_existing: bool = False) -> DataFrame:
+    """Properties to add, remove or update with the next version.
+
+    A column ``keep`` on both sides, where present, decides per page whether strange properties stay.
+    """
+    keep = F.col("keep") if "keep" in current.columns else F.lit(keep_existing)
+    old = current.select("page_id", "key", F.col("value").alias("old_value"), "version", F.lit(True).alias("old"), keep.alias("keep"))
     new = desired.select("page_id", "key", "value", F.lit(True).alias("new"))
     both = new.join(old, ["page_id", "key"], "full_outer")
     action = (
         F.when(F.col("old").isNull(), "add")
-        .when(F.col("new").isNull(), F.when(~keep, "remove"))
+        .when(F.col("new").isNull(), F.when(~F.col("keep"), "remove"))
         .when(~F.col("value").eqNullSafe(F.col("old_value")), "update"))
     version = F.when(F.col("action") == "update", F.col("version") + 1).when(F.col("action") == "add", 1)
     planned = both.withColumn("action", action).where("action IS NOT NULL")
@@ -149,18 +154,15 @@ def property_scope(docs: DataFrame, current: DataFrame, state: DataFrame, tag_ke
     only when it changed.
     """
     tag = F.to_json(F.struct(F.col("version").alias("page_version"), F.col("digest").alias("source_digest")))
-    tagged = docs.select("page_id", "merged", tag.alias("tag"), "version", "digest")
     stored = state.select("page_id", F.col("page_version").alias("_v"), F.col("source_digest").alias("_d"))
-    tagged = tagged.join(stored, "page_id", "left").withColumns({
-        "scoped": F.col("merged").isNull(),
-        "stale": ~(F.col("_v").eqNullSafe(F.col("version")) & F.col("_d").eqNullSafe(F.col("digest")))})
-    active = tagged.where("NOT scoped OR stale")
-    tags = active.select("page_id", F.lit(tag_key).alias("key"), F.col("tag").alias("value"))
-    rest = active.where("NOT scoped").select("page_id", F.explode("merged").alias("key", "value"))
-    managed = current.join(active.select("page_id", "scoped"), "page_id")
-    diff = property_diff(tags.unionByName(rest), managed.select("page_id", "key", "value", "version"))
-    kept = active.select("page_id", "scoped")
-    return diff.join(kept, "page_id").where("NOT (scoped AND action = 'remove')").drop("scoped")
+    tagged = docs.select("page_id", "merged", tag.alias("tag"), "version", "digest").join(stored, "page_id", "left")
+    scoped = F.col("merged").isNull()
+    stale = ~(F.col("_v").eqNullSafe(F.col("version")) & F.col("_d").eqNullSafe(F.col("digest")))
+    active = tagged.withColumn("keep", scoped).where(~scoped | stale)
+    tag_entry = F.create_map(F.lit(tag_key), F.col("tag"))
+    desired = active.select("page_id", F.explode(F.when(F.col("keep"), tag_entry).otherwise(F.map_concat(tag_entry, "merged"))).alias("key", "value"))
+    managed = current.select("page_id", "key", "value", "version").join(active.select("page_id", "keep"), "page_id")
+    return property_diff(desired, managed)
 
 
 def dedupe_attachments(attachments: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,15 +55,21 @@ def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*kept, F.inline(F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))))
 
 
-def salted_join(probe: DataFrame, lookup: DataFrame, on: list[str], spread: Column, how: str = "left") -> DataFrame:
+def salted_join(probe: DataFrame, lookup: DataFrame, on: list[str], spread: Column, how: str = "left", salts: int | None = None) -> DataFrame:
     """Join a large probe side with a lookup side that holds one row per key.
 
     A hot key may own a third of the probe rows.  Probe rows are spread over
     ``joinSalt`` buckets by a hash of ``spread`` and each lookup row is repeated
-    once per bucket, so no task receives a whole hot key.  AQE still turns the
-    join into a broadcast when the measured lookup side is small.
+    once per bucket, so no task receives a whole hot key.  Rows with a NULL key
+    match nothing and are spread without bound.  AQE still turns the join into a
+    broadcast when the measured lookup side is small.
+
+    ``salts=1`` suits keys that are unique on both sides but may be NULL.
     """
-    salts = int(probe.sparkSession.conf.get(SALT_CONF, "8"))
-    bucketed = probe.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salts = salts or int(probe.sparkSession.conf.get(SALT_CONF, "8"))
+    unmatched = reduce(Column.__or__, [F.col(key).isNull() for key in on])
+    hashed = F.xxhash64(spread)
+    salt = F.when(unmatched, F.pmod(hashed, F.lit(1 << 20)) + salts).otherwise(F.pmod(hashed, F.lit(salts)))
+    bucketed = probe.withColumn("_salt", salt.cast("int"))
+    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))) if salts > 1 else F.lit(0))
     return bucketed.join(repeated, [*on, "_salt"], how).drop("_salt")
