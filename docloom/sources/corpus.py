@@ -9,7 +9,8 @@ from ..functions.text import base_name, parent_dir
 
 
 def with_location(documents: DataFrame) -> DataFrame:
-    return documents.withColumns({"dir": parent_dir(F.col("path")), "name": base_name(F.col("path"))})
+    rest = [c for c in documents.columns if c != "path"]
+    return documents.select("path", parent_dir(F.col("path")).alias("dir"), base_name(F.col("path")).alias("name"), *rest)
 
 
 def scan_corpus(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
