@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,19 +40,40 @@ def query(function: Query) -> Query:
 # --- inputs --------------------------------------------------------------------------------
 
 
+def shared(function: Query) -> Query:
+    """Build the (lazy) plan of an input once per session and directory; nothing is computed or stored."""
+    plans: dict[tuple[str, str], DataFrame] = {}
+
+    @wraps(function)
+    def plan(spark, d):
+        key = (spark.sparkContext.applicationId, d)
+        if key not in plans:
+            plans[key] = function(spark, d)
+        return plans[key]
+
+    return plan
+
+
+documents = shared(corpus)
+
+
+@shared
 def sources(spark, d):
     """Visible Markdown files."""
-    return FL.filter_extension(FL.filter_hidden(corpus(spark, d)), "md")
+    return FL.filter_extension(FL.filter_hidden(documents(spark, d)), "md")
 
 
+@shared
 def scanned(spark, d):
     return MD.scan(sources(spark, d))
 
 
+@shared
 def props(spark, d):
     return MD.properties(scanned(spark, d))
 
 
+@shared
 def nodes(spark, d):
     titled = S.titles(props(spark, d))
     return computed(titled, {
@@ -66,10 +88,12 @@ def node_id(column="page_id"):
     return F.coalesce(F.col(column), (F.col("doc_id") + 500000).cast("string"))
 
 
+@shared
 def index(spark, d):
     return R.page_index(S.titles(props(spark, d)))
 
 
+@shared
 def files(spark, d):
     """Files next to the documents: drawings, pictures and papers per directory."""
     names = [*[f"img/fig{n}.svg" for n in range(4)], "img/fig1.png", "img/dot.png", "img/wide.png", *[f"files/f{n}.pdf" for n in range(5)]]
@@ -96,6 +120,7 @@ def tree(spark, d):
     return HI.page_tree(sources(spark, d))
 
 
+@shared
 def headings_of(spark, d):
     return S.headings(scanned(spark, d))
 
@@ -125,8 +150,8 @@ def md5(column: str, name: str | None = None):
 
 
 @query
-def scan_corpus(spark, d):
-    return SC.with_location(corpus(spark, d).select("path", "text")).select("path", "dir", "name", md5("text"))
+def scan_documents(spark, d):
+    return SC.with_location(documents(spark, d).select("path", "text")).select("path", "dir", "name", md5("text"))
 
 
 @query
@@ -136,7 +161,7 @@ def scan_snapshot(spark, d):
 
 
 @query
-def write_corpus(spark, d):
+def write_documents(spark, d):
     return sources(spark, d).select("dir", SC.output_path(F.col("path"), ".csf").alias("out_path"), md5("text", "content"))
 
 
@@ -152,12 +177,12 @@ def inject_page_id(spark, d):
 
 @query
 def filter_hidden(spark, d):
-    return FL.filter_hidden(corpus(spark, d)).select("path")
+    return FL.filter_hidden(documents(spark, d)).select("path")
 
 
 @query
 def filter_extension(spark, d):
-    return FL.filter_extension(corpus(spark, d), ".md").select("path")
+    return FL.filter_extension(documents(spark, d), ".md").select("path")
 
 
 @query
@@ -456,7 +481,7 @@ def is_absolute_url(spark, d):
 
 @query
 def content_uuid(spark, d):
-    return corpus(spark, d).select("path", T.content_uuid(F.col("text")).alias("uuid"))
+    return documents(spark, d).select("path", T.content_uuid(F.col("text")).alias("uuid"))
 
 
 @query
@@ -481,7 +506,7 @@ def image_layout(spark, d):
 @query
 def svg_length_px(spark, d):
     units = F.array(*map(F.lit, ["", "px", "pt", "in", "cm", "mm", "pc", "em", "ex", "%", "zz"]))
-    rows = corpus(spark, d).select("doc_id", F.explode(units).alias("unit"))
+    rows = documents(spark, d).select("doc_id", F.explode(units).alias("unit"))
     rows = rows.select(F.concat((F.col("doc_id") / 4).cast("string"), F.col("unit")).alias("length"))
     return rows.select("length", T.svg_length_px(F.col("length")).alias("pixels")).distinct()
 
@@ -511,7 +536,7 @@ def json_coalesce(spark, d):
     source = F.to_json(F.struct(
         F.lit("x").alias("name"), F.lit("HU").alias("country"), F.col("doc_id").alias("age"),
         F.struct(F.lit("dark").alias("theme"), F.lit("en").alias("language")).alias("settings")))
-    merged = corpus(spark, d).select("path", N.json_coalesce(target, source).alias("merged"))
+    merged = documents(spark, d).select("path", N.json_coalesce(target, source).alias("merged"))
     leaves = {"name": "name", "country": "country", "age": "age", "theme": "settings.theme", "size": "settings.size", "language": "settings.language"}
     return merged.select("path", *[F.get_json_object("merged", f"$.{leaf}").alias(name) for name, leaf in leaves.items()])
 
@@ -837,7 +862,7 @@ def attachment_media_type(spark, d):
 @query
 def incremental_sync(spark, d):
     """One batch over all documents, against a state that knows other versions of some."""
-    docs = corpus(spark, d)
+    docs = documents(spark, d)
     stamp = F.timestamp_seconds(F.col("doc_id") + 1_000_000)
     state = docs.where("NOT endswith(name, '.txt')").select(
         "path", F.timestamp_seconds(F.col("doc_id") + F.when(F.col("doc_id") % 5 == 0, 2_000_000).otherwise(500_000)).alias("modified"),

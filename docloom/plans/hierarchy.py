@@ -137,12 +137,13 @@ def traceable(edges: DataFrame, known: DataFrame) -> DataFrame:
     the page it points to), so a chain of length n takes log2(n) rounds.  Pages
     that still point somewhere after log2(all pages) rounds are on a cycle.
     """
-    flagged = known.select(F.col("page_id"), F.lit(True).alias("hit"))
-    start = edges.select(F.col("child_id").alias("page_id"), F.col("parent_id").alias("next")).join(flagged, "page_id", "left")
-    state = durable(start.select("page_id", F.when(F.col("hit"), F.lit(None)).otherwise(F.col("next")).alias("next"), F.coalesce("hit", F.lit(False)).alias("hit")))
-    # Known pages outside the edges end a chain too.
-    outside = flagged.join(state, "page_id", "left_anti").select("page_id", F.lit(None).cast("string").alias("next"), "hit")
-    state = durable(state.unionByName(outside))
+    flagged = known.select("page_id").distinct().withColumn("known", F.lit(True))
+    listed = edges.select(F.col("child_id").alias("page_id"), F.col("parent_id").alias("next"), F.lit(True).alias("listed"))
+    # Known pages outside the edges end a chain too, hence the full join.
+    start = listed.join(flagged, "page_id", "full_outer")
+    hit = F.coalesce("known", F.lit(False))
+    state = durable(start.select(
+        "page_id", F.when(~hit, F.col("next")).alias("next"), hit.alias("hit"), F.coalesce("listed", F.lit(False)).alias("listed")))
     rounds = max(1, math.ceil(math.log2(state.count() + 1)))
     for _ in range(rounds):
         pending = state.where("next IS NOT NULL")
@@ -150,7 +151,6 @@ def traceable(edges: DataFrame, known: DataFrame) -> DataFrame:
             break
         target = state.select(F.col("page_id").alias("next"), F.col("next").alias("_next"), F.col("hit").alias("_hit"))
         moved = salted_join(pending.drop("hit"), target, ["next"], F.col("page_id"))
-        moved = moved.select("page_id", F.col("_next").alias("next"), F.coalesce("_hit", F.lit(False)).alias("hit"))
+        moved = moved.select("page_id", F.col("_next").alias("next"), F.coalesce("_hit", F.lit(False)).alias("hit"), "listed")
         state = durable(state.where("next IS NULL").unionByName(moved))
-    reached = state.select(F.col("page_id").alias("child_id"), (F.col("next").isNull() & F.col("hit")).alias("traceable"))
-    return edges.select("child_id").join(reached, "child_id", "left").select(F.col("child_id").alias("page_id"), "traceable")
+    return state.where("listed").select("page_id", (F.col("next").isNull() & F.col("hit")).alias("traceable"))

@@ -33,7 +33,11 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def scan_rules(spark: SparkSession, root: str, file_name: str) -> DataFrame:
-    """``(base_dir, line_no, pattern)`` of the ignore lists in a tree."""
+    """``(base_dir, line_no, pattern)`` of the ignore lists in a tree.
+
+    Spark's file readers pass over names that start with a dot or an underscore,
+    so lists need a visible name, or come from a table.
+    """
     lists = scan_corpus(spark, root, file_name)
     lines = F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")
     return lists.select(F.col("dir").alias("base_dir"), F.posexplode(lines).alias("line_no", "pattern"))

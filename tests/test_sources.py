@@ -12,7 +12,7 @@ from docloom.streaming import incremental as INC
 
 @pytest.fixture
 def tree(tmp_path):
-    for name, text in {"index.md": "# Top", "a/doc.md": "# Döc", "a/.ignore": "*.tmp\n!x.tmp", "a/pic.png": "x"}.items():
+    for name, text in {"index.md": "# Top", "a/doc.md": "# Döc", "a/ignore.txt": "*.tmp\n!x.tmp", "a/pic.png": "x"}.items():
         file = tmp_path / "src" / name
         file.parent.mkdir(parents=True, exist_ok=True)
         file.write_text(text, encoding="utf-8")
@@ -22,7 +22,7 @@ def tree(tmp_path):
 def test_scan(spark, rows, tree):
     assert rows(SC.scan_corpus(spark, str(tree))) == {("index.md", "", "index.md", "# Top"), ("a/doc.md", "a", "doc.md", "# Döc")}
     assert rows(SC.scan_single(spark, str(tree / "a" / "doc.md"))) == {("doc.md", "", "doc.md", "# Döc")}
-    assert rows(SC.scan_rules(spark, str(tree), ".ignore")) == {("a", 0, "*.tmp"), ("a", 1, "!x.tmp")}
+    assert rows(SC.scan_rules(spark, str(tree), "ignore.txt")) == {("a", 0, "*.tmp"), ("a", 1, "!x.tmp")}
     assert rows(SC.scan_files(spark, str(tree)), "path") >= {("a/pic.png",)}
 
 
