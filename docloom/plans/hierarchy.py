@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,8 +132,9 @@ def traceable(edges: DataFrame, known: DataFrame) -> DataFrame:
     """Does the parent chain of each page reach a known page?
 
     Each round doubles the length of the chains (a page adopts the pointer of
-    the page it points to), so a chain of length n takes log2(n) rounds.  Pages
-    that still point somewhere after log2(all pages) rounds are on a cycle.
+    the page it points to), so a chain of length n takes log2(n) rounds.  As long
+    as chains are open each round ends some; when one ends none, what is left
+    leads into a cycle.
     """
     flagged = known.select("page_id").distinct().withColumn("known", F.lit(True))
     listed = edges.select(F.col("child_id").alias("page_id"), F.col("parent_id").alias("next"), F.lit(True).alias("listed"))
@@ -144,11 +143,13 @@ def traceable(edges: DataFrame, known: DataFrame) -> DataFrame:
     hit = F.coalesce("known", F.lit(False))
     state = durable(start.select(
         "page_id", F.when(~hit, F.col("next")).alias("next"), hit.alias("hit"), F.coalesce("listed", F.lit(False)).alias("listed")))
-    rounds = max(1, math.ceil(math.log2(state.count() + 1)))
-    for _ in range(rounds):
+    before = None
+    while True:
         pending = state.where("next IS NOT NULL")
-        if pending.isEmpty():
+        left = pending.count()
+        if left in (0, before):
             break
+        before = left
         target = state.select(F.col("page_id").alias("next"), F.col("next").alias("_next"), F.col("hit").alias("_hit"))
         moved = salted_join(pending.drop("hit"), target, ["next"], F.col("page_id"))
         moved = moved.select("page_id", F.col("_next").alias("next"), F.coalesce("_hit", F.lit(False)).alias("hit"), "listed")
