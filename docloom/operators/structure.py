@@ -173,24 +173,18 @@ def unique_title(documents: DataFrame) -> DataFrame:
 def toc(heads: DataFrame) -> DataFrame:
     """Table of contents: outline depth and number (``1.2.1``) of every heading.
 
-    The ancestors of a heading are its parent, the parent's parent and so on, at
-    most five; each carries its rank among its siblings.
+    A row carries the last heading of each level before it.  Its ancestors are
+    those of a smaller level that no heading of a still smaller level follows.
     """
-    tree = heading_tree(heads)
-    siblings = W.partitionBy("path", "parent_pos").orderBy("pos")
-    ranked = tree.withColumn("rank", F.row_number().over(siblings))
-    by_path = W.partitionBy("path")
-    packed = ranked.withColumn("nodes", F.map_from_entries(F.collect_list(F.struct(
-        F.col("pos"), F.struct(F.col("parent_pos"), F.col("rank")))).over(by_path)))
-    outline = F.col("rank").cast("string")
-    depth = F.lit(1)
-    at = F.col("parent_pos")
-    for _ in range(5):
-        node = F.try_element_at("nodes", at)
-        outline = F.when(at.isNotNull(), F.concat(node["rank"].cast("string"), F.lit("."), outline)).otherwise(outline)
-        depth = depth + at.isNotNull().cast("int")
-        at = node["parent_pos"]
-    return packed.select("path", "pos", "level", "text", "parent_pos", depth.alias("depth"), outline.alias("outline"))
+    ranked = heading_tree(heads).withColumn("rank", F.row_number().over(W.partitionBy("path", "parent_pos").orderBy("pos")))
+    before = W.partitionBy("path").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    node = F.struct("pos", "level", "rank")
+    last = [F.max(F.when(F.col("level") == k, node)).over(before) for k in range(1, 6)]
+    rows = ranked.withColumn("last", F.array_compact(F.array(*last)))
+    ancestors = F.expr("filter(last, a -> a.level < level AND NOT exists(last, b -> b.level < a.level AND b.pos > a.pos))")
+    chain = F.array_append(F.transform(ancestors, lambda a: a["rank"]), F.col("rank"))
+    return rows.select(
+        "path", "pos", "level", "text", "parent_pos", (F.size(ancestors) + 1).alias("depth"), F.array_join(chain, ".").alias("outline"))
 
 
 def titles(props: DataFrame) -> DataFrame:

@@ -10,15 +10,20 @@ DOCUMENT_SCHEMA = "path string, text string, modified timestamp"
 STATE_SCHEMA = "path string, modified timestamp, source_digest string, page_version int"
 
 
-def latest_versions(batch: DataFrame) -> DataFrame:
-    """The last version of each path; an aggregate, so copies are dropped before the shuffle."""
-    last = F.max(F.struct("modified", "text")).alias("last")
-    return batch.groupBy("path").agg(last).select("path", "last.modified", "last.text")
+def latest_versions(batch: DataFrame, options: str = "{}") -> DataFrame:
+    """Digest of the last version of each path.
+
+    Texts are reduced to digests where they are read, and copies are dropped
+    before the shuffle by the aggregate.
+    """
+    digest = F.md5(F.concat(F.lit(options + "\n"), F.col("text"))).alias("source_digest")
+    last = F.max(F.struct("modified", digest)).alias("last")
+    return batch.groupBy("path").agg(last).select("path", "last.modified", "last.source_digest")
 
 
 def plan_batch(batch: DataFrame, state: DataFrame, options: str = "{}") -> DataFrame:
     """Actions of one batch: create, update, unchanged, or stale for versions older than the stored one."""
-    latest = latest_versions(batch).select("path", "modified", F.md5(F.concat(F.lit(options + "\n"), F.col("text"))).alias("source_digest"))
+    latest = latest_versions(batch, options)
     old = state.select("path", F.col("modified").alias("old_modified"), F.col("source_digest").alias("old_digest"), "page_version")
     joined = latest.join(old, "path", "left")
     action = (
