@@ -473,8 +473,10 @@ _NOTE_REF = r"\[\^([^\]\n]+)\]"
 def footnote_refs(documents: DataFrame) -> DataFrame:
     """References to defined footnotes, numbered per name: ``NAME``, ``NAME-2``, ``NAME-3`` ..."""
     text = F.regexp_replace("prose", r"(?md)^\[\^[^\]\n]+\]:", "")
-    arrays = prose_of(documents).select("path", _all(text, _NOTE_REF, 1).alias("refs"), _all("prose", _NOTE_DEF, 1).alias("defs"))
-    rows = arrays.select("path", "defs", F.posexplode("refs").alias("n", "name")).where(F.array_contains("defs", F.col("name")))
+    arrays = computed(prose_of(documents), {"refs": _all(text, _NOTE_REF, 1), "defs": F.array_distinct(_all("prose", _NOTE_DEF, 1))})
+    # Joined within the row, before the explode, so that no row carries a list.
+    defined = F.expr("filter(transform(refs, (r, n) -> struct(n, r AS name)), x -> array_contains(defs, x.name))")
+    rows = arrays.select("path", F.inline(defined).alias("n", "name"))
     nth = F.row_number().over(W.partitionBy("path", "name").orderBy("n"))
     out = rows.select("path", (F.col("n") + 1).alias("pos"), "name", nth.alias("nth"))
     return out.withColumn("anchor", F.when(F.col("nth") == 1, F.col("name")).otherwise(F.concat_ws("-", "name", "nth")))
@@ -484,8 +486,9 @@ def footnote_defs(documents: DataFrame) -> DataFrame:
     """Definitions with one back-link per reference; several back-links carry superscript numbers."""
     text = F.regexp_replace("prose", r"(?md)^\[\^[^\]\n]+\]:", "")
     defs = F.arrays_zip(_all("prose", _NOTE_DEF, 1).alias("name"), _all("prose", _NOTE_DEF, 2).alias("note"))
-    arrays = prose_of(documents).select("path", _all(text, _NOTE_REF, 1).alias("refs"), F.inline(defs).alias("name", "note"))
-    counted = arrays.withColumn("total", F.size(F.filter("refs", lambda r: r == F.col("name")))).where("total > 0")
+    arrays = computed(prose_of(documents), {"refs": _all(text, _NOTE_REF, 1), "defs": defs})
+    totals = F.expr("transform(defs, d -> struct(d.name, d.note, size(filter(refs, r -> r = d.name)) AS total))")
+    counted = arrays.select("path", F.inline(totals).alias("name", "note", "total")).where("total > 0")
     rows = counted.select("path", "name", "note", "total", F.explode(F.sequence(F.lit(1), F.col("total"))).alias("nth"))
     label = F.when(F.col("total") == 1, F.lit("↩")).otherwise(
         F.concat(F.lit("↩"), F.translate(F.col("nth").cast("string"), "0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹")))
@@ -536,7 +539,9 @@ def table_cells(documents: DataFrame) -> DataFrame:
     filled = F.filter("grid", lambda r: ~r["head"] | F.exists(r["cells"], lambda c: c != ""))
     tables = tables.withColumn("grid", filled).where(F.size("grid") > 0)
     by_column = F.forall("grid", lambda r: (F.size(r["cells"]) > 1) & (F.try_element_at(r["cells"], F.lit(2)) == ""))
-    tables = tables.select("path", "table_id", by_column.alias("by_column"), F.posexplode("grid").alias("r", "row"))
+    # Decided per table before its rows are exploded, so that no row carries the whole grid.
+    tables = computed(tables, {"by_column": by_column})
+    tables = tables.select("path", "table_id", "by_column", F.posexplode("grid").alias("r", "row"))
     values = F.when(F.col("by_column"), F.concat(F.slice("row.cells", 1, 1), F.slice(F.col("row.cells"), F.lit(3), F.size("row.cells")))).otherwise(F.col("row.cells"))
     flat = tables.select("path", "table_id", "by_column", (F.col("r") + 1).alias("row"), F.col("row.head").alias("head"), F.posexplode(values).alias("c", "text"))
     header = F.col("head") | (F.col("by_column") & (F.col("c") == 0))

@@ -223,7 +223,7 @@ def test_frontmatter_entries(spark, rows):
     assert rows(MD.frontmatter_kv(scanned), "key", "idx", "value") == {
         ("title", 0, "Q: x"), ("tags", 1, "a"), ("tags", 2, "b c"), ("list", 3, "one"), ("list", 4, "two"), ("properties.k", 5, "v"), ("synchronized", 6, "false")}
     row = MD.properties(scanned).first()
-    assert (row.tags, row.synchronized, row.properties, row.start_line) == (["a", "b c"], False, {"k": "v"}, 12)
+    assert (row.tags, row.synchronized, row.properties, row.start_line) == (["a", "b c"], False, {"k": "v"}, 11)
 
 
 def test_skip_sections(docs, rows):
