@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import lookups as L
 from ..functions.lookups import BLANK, lookup
 from ..functions.markup import html_text
-from ..functions.text import content_uuid, is_absolute_url, rstrip, strip, suffix, unify_newlines, url_fragment, url_path
+from ..functions.text import content_uuid, is_absolute_url, rstrip, strip, unify_newlines, url_fragment, url_path
 from ..session import computed
 from .metadata import frontmatter_entries
 
