@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from functools import reduce
 
@@ -22,6 +23,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -29,17 +31,25 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint that survives the loss of executors.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for checkpoints and intermediate tables: ``spark.checkpoint.dir``.
 
-    The directory comes from ``spark.checkpoint.dir``; a temporary one is used
-    only where neither the setting nor a directory exists (local tests).
+    Only a local master, whose executors share the machine, gets a temporary folder when the setting is missing.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if shared is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="docloom-checkpoint-")
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="docloom-checkpoint-"))
+        context.setCheckpointDir(shared)
+    return shared
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint that survives the loss of executors."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
