@@ -68,13 +68,13 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 
 def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``limit`` bytes each."""
+    """Ranges of rows with about ``limit`` bytes each, counting some for each row."""
     start = size = 0
     for i, text in enumerate(texts):
         if size and size + len(text) > limit:
             yield start, i
             start, size = i, 0
-        size += len(text)
+        size += len(text) + 32
     if start < len(texts):
         yield start, len(texts)
 
@@ -127,3 +127,85 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of true flags."""
     edges = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])).astype(np.int8)))
     return edges[::2], edges[1::2]
+
+
+# --- keys that several documents share -----------------------------------------------------
+
+SKETCH_BITS = 18
+#: Buckets of the sketch with this many times the mean count hold hot keys.
+HOT = 16
+
+
+def bucket_counts(docs: DataFrame, keys_of) -> np.ndarray:
+    """Documents per hash bucket of their keys: 2**18 counters, whatever the table holds.
+
+    ``keys_of`` maps a list of texts to arrays of keys, each key once per document.
+    Tasks add up their counters before anything moves; 64 slices are summed apart.
+    """
+    size, slices = 1 << SKETCH_BITS, 64
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for keys in keys_of(utf8(batch.column("_text"))):
+                total += np.bincount((keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
+        parts = total.reshape(slices, -1)
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(np.arange(slices), pa.int32()), "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(x, np.int64)
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "counts": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
+
+    schema = "slice int, counts binary"
+    summed = docs.mapInArrow(count, schema).repartition(slices, "slice").mapInArrow(merged, schema)
+    found = {r["slice"]: np.frombuffer(r["counts"], np.int64) for r in summed.collect()}
+    return np.concatenate([found.get(k, np.zeros(size // slices, np.int64)) for k in range(slices)])
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """How far a bucket lies above the mean, in powers of two (0: not above 4 times)."""
+    ratio = counts / max(1.0, counts.mean())
+    return np.clip(np.floor(np.log2(np.maximum(ratio, 1.0))) - 1, 0, 30).astype(np.uint8)
+
+
+def short(values: np.ndarray) -> bytes:
+    """The upper 48 bits of each value."""
+    return np.ascontiguousarray((values >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def long(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+BLOB = "bucket int, keys binary, marks binary, ids binary, extra binary"
+
+
+def blobs(keys: np.ndarray, marks: np.ndarray, ids: np.ndarray, extra: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows (key, mark, id, extra) packed by bucket of the key: few rows move instead of one per key."""
+    bucket = ((keys >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, keys, marks, ids, extra = bucket[order], keys[order], marks[order], ids[order], extra[order]
+    starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(bucket))
+    cut = lambda pack: pa.array([pack(a, b) for a, b in zip(starts, ends, strict=True)], pa.binary())
+    return pa.RecordBatch.from_pydict({
+        "bucket": pa.array(bucket[starts], pa.int32()), "keys": cut(lambda a, b: short(keys[a:b])), "marks": cut(lambda a, b: short(marks[a:b])),
+        "ids": cut(lambda a, b: ids[a:b].tobytes()), "extra": cut(lambda a, b: extra[a:b].tobytes()),
+    })
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], extra_type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All rows of a partition, sorted by key and id."""
+    columns = {"keys": [], "marks": [], "ids": [], "extra": []}
+    for batch in batches:
+        for name, parts in columns.items():
+            parts += batch.column(name).to_pylist()
+    keys, marks = long(b"".join(columns["keys"])), long(b"".join(columns["marks"]))
+    ids, extra = np.frombuffer(b"".join(columns["ids"]), np.int64), np.frombuffer(b"".join(columns["extra"]), extra_type)
+    order = np.lexsort((ids, keys))
+    return keys[order], marks[order], ids[order], extra[order]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocknames, classifier, packing, pieces, secrets, topk, toxicity
+from . import blocknames, classifier, overlap, packing, pieces, secrets, suffixes, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,14 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 @query
 def op10_piece_encoding(spark, d):
     return pieces.piece_digests(table(spark, d, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op5_t_occurrence_join(spark, d):
+    return overlap.near_components(table(spark, d, "documents"))
+
+
+@query
+def op4_suffix_sort_dedup(spark, d):
+    found = suffixes.remove_repeats(table(spark, d, "documents"), contents=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
