@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocknames, classifier, overlap, packing, pieces, secrets, suffixes, topk, toxicity
+from . import blocknames, classifier, overlap, packing, pieces, quotation, secrets, suffixes, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,36 @@ def op5_t_occurrence_join(spark, d):
 def op4_suffix_sort_dedup(spark, d):
     found = suffixes.remove_repeats(table(spark, d, "documents"), contents=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op1_quotation_linking(spark, d):
+    """The turns of ``conversations`` quote nothing, so they are first put into the form of mail with nested quotes."""
+    mail = quotation.as_mail(table(spark, d, "conversations"))
+    found = quotation.link_quotations(mail)
+    return found.select("conv_id", "turn", "role", "reply_to", "thread", "depth", "position", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+ORACLES["op1_quotation_linking"] = r"""
+WITH RECURSIVE m AS (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+parts AS (SELECT conv_id, turn, text AS part FROM m UNION ALL SELECT conv_id, turn, unnest(string_split(text, chr(10))) FROM m),
+units AS (SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(part), '\s+', ' ', 'g')) AS unit FROM parts),
+firsts AS (SELECT conv_id, unit, min(turn) AS original FROM units WHERE unit <> '' GROUP BY ALL),
+quotes AS (SELECT conv_id, turn + back AS turn, back, unit FROM units, (VALUES (1), (2)) b(back) WHERE unit <> ''),
+sums AS (SELECT q.conv_id, q.turn, back, original, sum(length(unit)) AS size FROM quotes q JOIN firsts USING (conv_id, unit)
+         JOIN (SELECT DISTINCT conv_id, turn FROM m) k ON k.conv_id = q.conv_id AND k.turn = q.turn WHERE original < q.turn GROUP BY ALL),
+best AS (SELECT conv_id, turn, original FROM sums QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY back, size DESC, original) = 1),
+links AS (SELECT DISTINCT m.conv_id, m.turn, original FROM m LEFT JOIN best USING (conv_id, turn)),
+trees AS (SELECT conv_id, turn, turn AS thread, 0 AS depth FROM links WHERE original IS NULL
+          UNION ALL SELECT l.conv_id, l.turn, t.thread, t.depth + 1 FROM links l JOIN trees t ON l.conv_id = t.conv_id AND l.original = t.turn)
+SELECT m.conv_id, m.turn, m.role, original AS reply_to, thread, CAST(depth AS BIGINT) AS depth,
+       CAST(row_number() OVER (PARTITION BY m.conv_id ORDER BY thread, depth, m.turn, m.role, m.text) - 1 AS INTEGER) AS position, sha256(m.text) AS text_sha256
+FROM m JOIN links l ON l.conv_id = m.conv_id AND l.turn = m.turn JOIN trees t ON t.conv_id = m.conv_id AND t.turn = m.turn
+"""
+
+
+@query
+def pipeline(spark, d):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, d)
