@@ -2,11 +2,11 @@
 
 Two documents are linked when the Jaccard similarity of their sets of word
 shingles reaches the threshold.  A document with n shingles can only be linked
-to one that shares at least T = ceil(threshold * n) of them.  The T - 1 longest
+to one that shares at least T = ceil(threshold * n) of them.  The T - k longest
 inverted lists of its shingles may therefore be left out of the merge: a partner
-must occur in one of the n - T + 1 shorter ones.  Lists are ordered by a sketch
-of how many documents have a shingle, then by hash; any fixed order is exact, a
-good one keeps the merged lists short.
+must occur in k of the n - T + k shorter ones.  Lists are ordered by a sketch of
+how many documents have a shingle, then by hash; any fixed order is exact, a good
+one keeps the merged lists short.
 
 Across tasks, the shingles of these short lists are the keys that documents meet
 by.  Inside a task, a query meets its candidates by DivideSkip: the longest lists
@@ -35,7 +35,6 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +44,9 @@ from .common import BLOB, HOT, SKETCH_BITS, blobs, blocks, bucket_counts, joined
 
 WORDS = 5
 PERCENT = 75
+MOST_MET = 16
+#: Rounds in which the lists' leaders are compared, before the exhaustive one.
+ROUNDS = 2
 #: Documents that one leader is compared with in one block.
 COMPARED = 256
 #: Up to so many ids (8 bytes each) are broadcast; beyond, they are joined by a shuffle.
@@ -106,13 +108,18 @@ def set_profiles(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(profile, "_id long, n long, mark1 long, mark2 long")
 
 
+def least_met(size: np.ndarray, percent: int) -> np.ndarray:
+    """In how many of its short lists a partner must occur (k)."""
+    return np.clip(-(-percent * size // 100) // 8, 1, MOST_MET)
+
+
 def short_lists(owner: np.ndarray, value: np.ndarray, rows: int, level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The shingles of the n - T + 1 shortest lists of each row: rows, shingles, places in the order, set sizes."""
+    """The shingles of the n - T + k shortest lists of each row: rows, shingles, places in the order, set sizes."""
     order = np.lexsort((value, level[(value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], owner))
     owner, value = owner[order], value[order]
     n = np.bincount(owner, minlength=rows)
     place = np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
-    kept = place <= n[owner] - -(-percent * n[owner] // 100)
+    kept = place < n[owner] - -(-percent * n[owner] // 100) + least_met(n[owner], percent)
     return owner[kept], value[kept], place[kept], n[owner[kept]]
 
 
@@ -196,81 +203,83 @@ def least_overlap(one: int, other: np.ndarray, percent: int) -> np.ndarray:
     return np.maximum(1, -(-percent * (one + other) // (100 + percent)))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` that are linked: leaders ``a`` with blocks of their documents ``b``."""
+def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that are linked: leaders ``a`` with blocks of their documents ``b``.
+
+    Whole texts of the documents in question move; a task turns them into sets again.
+    """
+    wanted = durable(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct())
+    texts = stored(docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "_id", "left_semi").select("_id", "_text").distinct(), "compared")
     parts = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / COMPARED).cast("int").alias("_parts"))
     theirs = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "_parts").cast("int").alias("_part"), "b")
-    theirs = theirs.join(sets.withColumnRenamed("_id", "b"), "b").select("a", "_part", F.lit(1).alias("_side"), "b", "elements")
+    theirs = theirs.join(texts.withColumnRenamed("_id", "b"), "b").select("a", "_part", F.lit(1).alias("_side"), "b", "_text")
     own = parts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    own = own.join(sets.withColumnRenamed("_id", "a"), "a").select("a", "_part", F.lit(0).alias("_side"), F.col("a").alias("b"), "elements")
+    own = own.join(texts.withColumnRenamed("_id", "a"), "a").select("a", "_part", F.lit(0).alias("_side"), F.col("a").alias("b"), "_text")
 
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, queries, ids, docs = None, [], [], []
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, queries, ids, sets = None, [], [], []
 
         def links():
             linked = []
-            for query in queries if docs else []:
-                sizes = np.array([len(d) for d in docs])
-                overlap = divide_skip(query, docs, least_overlap(len(query), sizes, percent))
-                linked += [(key[0], ids[i]) for i in np.flatnonzero(overlap)]
-            return pd.DataFrame(linked, columns=["a", "b"])
-
-        for frame in frames:
-            for a, part, side, b, elements in zip(frame["a"], frame["_part"], frame["_side"], frame["b"], frame["elements"], strict=True):
-                if (a, part) != key:
-                    yield links()
-                    key, queries, ids, docs = (a, part), [], [], []
-                if side == 0:
-                    queries.append(np.frombuffer(elements, np.uint64))
-                else:
-                    ids.append(b)
-                    docs.append(np.frombuffer(elements, np.uint64))
-                if len(docs) >= 2 * COMPARED:
-                    yield links()
-                    ids, docs = [], []
-        yield links()
-
-    sorted_ = own.union(theirs).repartition("a", "_part").sortWithinPartitions("a", "_part", "_side", "b")
-    return sorted_.mapInPandas(compare, "a long, b long")
+            for query in queries if sets else []:
+                sizes = np.array([len(d) for d in sets])
+                overlap = divide_skip(query, sets, least_overlap(len(query), sizes, percent))
+                linked += [ids[i] for i in np.flatnonzero(overlap)]
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(linked), pa.int64()), pa.array(linked, pa.int64())], ["a", "b"])
 
-
-def element_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``_id, elements`` (sorted shingles as bytes) of the wanted ids."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("a", "_part", "_side", "b")]
             for start, end, owner, value in shingle_sets(utf8(batch.column("_text"))):
                 cuts = np.searchsorted(owner, np.arange(end - start + 1))
-                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(start, end - start), pa.array([value[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["_id", "elements"])
+                for r in range(start, end):
+                    a, part, side, b = (c[r] for c in columns)
+                    if (a, part) != key:
+                        if key:
+                            yield links()
+                        key, queries, ids, sets = (a, part), [], [], []
+                    elements = value[cuts[r - start] : cuts[r - start + 1]]
+                    if side == 0:
+                        queries.append(elements)
+                    else:
+                        ids.append(b)
+                        sets.append(elements)
+                    if len(sets) >= 2 * COMPARED:
+                        yield links()
+                        ids, sets = [], []
+        if key:
+            yield links()
 
-    some = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "_id", "left_semi")
-    return some.mapInArrow(pack, "_id long, elements binary").distinct()
+    sorted_ = own.union(theirs).repartition("a", "_part").sortWithinPartitions("a", "_part", "_side", "b")
+    return sorted_.mapInArrow(compare, "a long, b long").distinct()
 
 
 def linked_components(docs: DataFrame, percent: int) -> DataFrame:
     """``v, label`` for every vertex (smallest id of a set) that has a link."""
     spark = docs.sparkSession
     lists = stored(members(docs, percent), "short-lists")
-    sets = stored(element_sets(docs, lists.select("_id").distinct()), "shingle-sets")
     edges = tried = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "v long, label long")
 
-    # a pair that first meets at these places can still have the least overlap
-    def possible(n, place, other_n, other_place):
-        return (100 + percent) * F.least(n - place, other_n - other_place) >= percent * (n + other_n)
+    needed = lambda n: F.greatest(F.lit(1), F.least(F.lit(MOST_MET), F.floor(F.ceil(F.col(n) * percent / 100) / 8)))
+
+    # at one of their first k meeting places, these two can still have the least overlap
+    def possible(n, place, other_n, other_place, k):
+        rest = F.least(F.col(n) - F.col(place), F.col(other_n) - F.col(other_place)) + k - 1
+        return (100 + percent) * rest >= percent * (F.col(n) + F.col(other_n))
 
-    for turn in range(4):
+    for turn in range(ROUNDS + 1):
         now = lists.join(labels, lists["_id"] == labels["v"], "left").select("token", "_id", "n", "place", F.coalesce("label", "_id").alias("part"))
         open_ = now.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct(F.xxhash64("_id", F.lit(turn)).alias("h"), "_id", "n", "place", "part")).alias("lead")).where("low <> high")
-        if turn < 3:  # each list's leader against the rest
+        if turn < ROUNDS:  # each list's leader against the rest
             met = now.join(open_, "token").where(F.col("part") != F.col("lead.part"))
-            met = met.where(possible(F.col("n"), F.col("place"), F.col("lead.n"), F.col("lead.place"))).select(F.col("lead._id").alias("a"), F.col("_id").alias("b"))
+            met = met.where(possible("n", "place", "lead.n", "lead.place", F.lit(1))).select(F.col("lead._id").alias("a"), F.col("_id").alias("b")).distinct()
         else:  # whatever still lies in different components
             left = now.join(open_.select("token"), "token")
             right = left.select("token", *[F.col(c).alias(f"other_{c}") for c in ("_id", "n", "place", "part")])
-            met = left.join(right, "token").where("part < other_part").where(possible(F.col("n"), F.col("place"), F.col("other_n"), F.col("other_place"))).select(F.col("_id").alias("a"), F.col("other__id").alias("b"))
-        pairs = durable(met.distinct().join(tried, ["a", "b"], "left_anti"))
-        found = durable(verified(pairs, sets, percent))
+            met = left.join(right, "token").where("part < other_part").withColumn("k", F.least(needed("n"), needed("other_n")))
+            met = met.where(possible("n", "place", "other_n", "other_place", F.col("k"))).groupBy(F.col("_id").alias("a"), F.col("other__id").alias("b"), "k").count().where("count >= k").select("a", "b").distinct()
+        pairs = durable(met.join(tried, ["a", "b"], "left_anti"))
+        found = durable(verified(pairs, docs, percent))
         edges, tried = edges.union(found), tried.union(pairs)
         if not found.isEmpty():
             labels = smallest_labels(spark, edges)
