@@ -34,11 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BASE, BLOB, HOT, SKETCH_BITS, blobs, blocks, bucket_counts, byte_codes, joined, mixed, powers, prefix_polynomial, runs, span_hashes, unpacked, utf8
+from .common import BASE, BLOB, HOT, SKETCH_BITS, blobs, blocks, bucket_counts, byte_codes, joined, long, mixed, powers, prefix_polynomial, runs, short, span_hashes, unpacked, utf8
 
 LENGTH = 50
 GRAM = 16
@@ -198,150 +199,165 @@ def shared_anchors(docs: DataFrame, hot: np.ndarray, length: int) -> DataFrame:
     return docs.mapInArrow(dealt, BLOB).repartition(buckets // 4, "bucket").mapInArrow(met, "_ord long, anchor long, many boolean")
 
 
-STRETCH = "key long, anchor long, stretch long, _ord long, _version long, low int, windows int, body binary"
+DEALT = "bucket int, fields binary, bodies binary, _ord long, _version int"
+#: Anchor, stretch, salt, id, version, start and windows of a stretch, column after column.
+FIELD_BYTES = (6, 6, 4, 8, 4, 4, 4)
 
 
-def stretches(listed: DataFrame, hot: np.ndarray, salts: int, length: int) -> DataFrame:
-    """From documents with their shared anchors: runs that are surely repeated (no body), and stretches to compare."""
+def stretches(listed: DataFrame, hot: np.ndarray, salts: int, buckets: int, length: int) -> DataFrame:
+    """From documents with their shared anchors: windows that are surely repeated (one row per document), and stretches to compare (packed by bucket)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, versions = batch.column("_ord").to_numpy(), batch.column("_version").to_numpy()
             lists = [[np.array(x if x is not None else (), np.uint64) for x in batch.column(c).to_pylist()] for c in ("one", "many")]
+            parts, bodies = [], []
             for start, end, data, begins, row, first, windows, anchor, stretch in anchored_runs(utf8(batch.column("_text")), length):
                 own = (anchor << np.uint64(16)) | row.astype(np.uint64)
                 in_list = []
                 for some in lists:
                     flat = [(a << np.uint64(16)) | np.uint64(r) for r, a in enumerate(some[start:end])]
                     in_list.append(np.isin(own, np.concatenate(flat)) if flat else np.zeros(len(own), bool))
-                is_hot = hot_anchors(hot, anchor)
+                is_hot, who = hot_anchors(hot, anchor), ids[start + row]
                 sure, compared = in_list[0], in_list[1] | is_hot
                 # of equal stretches in this block only the first document's go on
                 order = np.flatnonzero(compared)
-                order = order[np.lexsort((ids[start + row[order]], stretch[order], anchor[order]))]
-                new = np.ones(len(order), bool)
-                new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (stretch[order][1:] != stretch[order][:-1])
-                owner = ids[start + row[order]]
-                later = owner > owner[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else np.zeros(0, bool)
+                order = order[np.lexsort((who[order], stretch[order], anchor[order]))]
+                new = changes(stretch[order], anchor[order])
+                later = who[order] > who[order][np.flatnonzero(new)][np.cumsum(new) - 1]
                 sure[order[later]] = True
                 compared[order[later]] = False
-                low = first - begins[row]
-                k = np.flatnonzero(sure)
-                if len(k):  # adjacent runs become one
-                    joins = np.zeros(len(k), bool)
-                    joins[1:] = (row[k][1:] == row[k][:-1]) & (low[k][1:] == low[k][:-1] + windows[k][:-1])
-                    heads = np.flatnonzero(~joins)
-                    total = np.add.reduceat(windows[k], heads)
-                    r = row[k][heads]
-                    yield rows(mixed(ids[start + r].astype(np.uint64)).view(np.int64), None, None, ids[start + r], versions[start + r], low[k][heads], total, None)
-                k = np.flatnonzero(compared)
+                low, k = first - begins[row], np.flatnonzero(sure)
                 if len(k):
-                    who = ids[start + row[k]]
-                    salt = np.where(is_hot[k], mixed(who.astype(np.uint64)) % np.uint64(salts), np.uint64(0))
-                    raw = data.tobytes()
-                    bodies = [raw[a : a + n + length - 1] for a, n in zip(first[k], windows[k], strict=True)]
-                    yield rows(mixed(anchor[k] + (salt << np.uint64(48))).view(np.int64), anchor[k], stretch[k], who, versions[start + row[k]], low[k], windows[k], bodies)
+                    yield spans(start + row[k], low[k], low[k] + windows[k], ids, versions, buckets)
+                k = np.flatnonzero(compared)
+                salt = np.where(is_hot[k], mixed(who[k].astype(np.uint64)) % np.uint64(salts), np.uint64(0))
+                parts.append((anchor[k], stretch[k], salt, who[k], versions[start + row[k]], low[k], windows[k]))
+                raw = data.tobytes()
+                bodies += [raw[a : a + n + length - 1] for a, n in zip(first[k], windows[k], strict=True)]
+            if bodies:
+                fields = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                bucket = (mixed(fields[0] + (fields[2] << np.uint64(48))) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                edges = np.flatnonzero(changes(bucket[order]))
+                groups = np.split(order, edges[1:])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(bucket[order[edges]], pa.int32()), pa.array([packed(*[x[g] for x in fields]) for g in groups], pa.binary()),
+                    pa.array([b"".join([bodies[i] for i in g]) for g in groups], pa.binary()), pa.nulls(len(groups), pa.int64()), pa.nulls(len(groups), pa.int32())],
+                    ["bucket", "fields", "bodies", "_ord", "_version"])
+
+    return listed.mapInArrow(find, DEALT)
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where one of several sorted columns has a new value."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
+    return new
+
+
+def packed(anchor, stretch, salt, who, version, low, windows) -> bytes:
+    return b"".join((short(anchor << np.uint64(16)), short(stretch << np.uint64(16)), salt.astype(np.uint32).tobytes(), who.astype(np.int64).tobytes(), *[x.astype(np.int32).tobytes() for x in (version, low, windows)]))
+
+
+def split_fields(raw: bytes) -> list[np.ndarray]:
+    n, at, out = len(raw) // sum(FIELD_BYTES), 0, []
+    for size, kind in zip(FIELD_BYTES, (None, None, np.uint32, np.int64, np.int32, np.int32, np.int32), strict=True):
+        part = raw[at : at + size * n]
+        out.append(long(part) if kind is None else np.frombuffer(part, kind))
+        at += size * n
+    return out
 
-    def rows(key, anchor, stretch, who, version, low, windows, bodies) -> pa.RecordBatch:
-        none = pa.nulls(len(key), pa.int64())
-        return pa.RecordBatch.from_arrays([
-            pa.array(key), none if anchor is None else pa.array(anchor.astype(np.int64)), none if stretch is None else pa.array(stretch.astype(np.int64)), pa.array(who), pa.array(version),
-            pa.array(low.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.nulls(len(key), pa.binary()) if bodies is None else pa.array(bodies, pa.binary())],
-            ["key", "anchor", "stretch", "_ord", "_version", "low", "windows", "body"])
 
-    return listed.mapInArrow(find, STRETCH)
+def spans(row: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray, versions: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One row per document with its ranges of windows; ranges that touch become one."""
+    order = np.lexsort((low, row))
+    row, low, high = row[order], low[order], high[order]
+    heads = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (low[1:] != high[:-1]))))
+    row, low, high = row[heads], low[heads], np.maximum.reduceat(high, heads)
+    pairs = np.stack([low, high], 1).astype(np.int32)
+    edges = np.flatnonzero(changes(row))
+    who = ids[row[edges]]
+    return pa.RecordBatch.from_arrays([
+        pa.array((mixed(who.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)), pa.array([p.tobytes() for p in np.split(pairs, edges[1:])], pa.binary()),
+        pa.nulls(len(edges), pa.binary()), pa.array(who, pa.int64()), pa.array(versions[row[edges]], pa.int32())], ["bucket", "fields", "bodies", "_ord", "_version"])
 
 
-COVERED = "_ord long, _version long, low int, high int, content binary"
+COVERED = "_ord long, _version int, ranges binary, low int, content binary"
 
 
-def covered_windows(found: DataFrame, hot: np.ndarray, partitions: int, length: int) -> DataFrame:
-    """Ranges of repeated windows (no content), and windows of hot anchors that are first in their group (content)."""
+def covered_windows(found: DataFrame, hot: np.ndarray, partitions: int, buckets: int, length: int) -> DataFrame:
+    """Ranges of repeated windows of a document, and windows of hot anchors that are first in their group (``low, content``)."""
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size = [], 0
+        parts, bodies = [], []
         for batch in batches:
-            certain = batch.filter(pa.compute.is_null(batch.column("body")))
+            certain = batch.filter(pc.is_null(batch.column("bodies")))
             if certain.num_rows:
-                low = certain.column("low").to_numpy()
-                yield ranges(certain.column("_ord").to_numpy(), certain.column("_version").to_numpy(), low, low + certain.column("windows").to_numpy(), None)
-            batch = batch.filter(pa.compute.is_valid(batch.column("body")))
-            if not batch.num_rows:
-                continue
-            waiting.append(batch)
-            size += batch.column("body").nbytes
-            if size >= SORT_BYTES:  # all groups but the last, which may go on
-                table = pa.Table.from_batches(waiting).combine_chunks()
-                key = table.column("key").to_numpy()
-                cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
-                yield from compare(table.slice(0, cut))
-                waiting = table.slice(cut).to_batches()
-                size = sum(b.column("body").nbytes for b in waiting) if cut else 0
-        if waiting:
-            yield from compare(pa.Table.from_batches(waiting).combine_chunks())
-
-    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        if not table.num_rows:
+                yield rows(certain.column("_ord"), certain.column("_version"), certain.column("fields"), None, None)
+            rest = batch.filter(pc.is_valid(batch.column("bodies")))
+            for fields, body in zip(rest.column("fields").to_pylist(), rest.column("bodies").to_pylist(), strict=True):
+                parts.append(split_fields(fields))
+                bodies.append(body)
+        if not parts:
             return
-        group, anchor, stretch, who, version, low, windows = (table.column(c).to_numpy() for c in ("key", "anchor", "stretch", "_ord", "_version", "low", "windows"))
-        texts = table.column("body").to_pylist()
-        order = np.lexsort((who, stretch, anchor, group))
-        new = np.ones(len(order), bool)
-        for x in (stretch[order], anchor[order], group[order]):
-            new[1:] &= x[1:] == x[:-1]
-        new[1:] = ~new[1:]
-        later = who[order] > who[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        full = order[later]
-        if len(full):
-            yield ranges(who[full], version[full], low[full], low[full] + windows[full], None)
-        first = order[~later]
+        fields = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        body, sizes = b"".join(bodies), fields[6].astype(np.int64) + length - 1
+        begins, bodies = np.cumsum(sizes) - sizes, []
+        order = np.lexsort((fields[3], fields[1], fields[2], fields[0]))
+        group = np.cumsum(changes(fields[0][order], fields[2][order]))
+        block = np.cumsum(sizes[order]) // SORT_BYTES
+        block = block[np.searchsorted(group, group)]  # a group goes with its first row
+        for part in np.split(order, np.flatnonzero(np.diff(block)) + 1):
+            yield from compare([x[part] for x in fields], [body[a : a + n] for a, n in zip(begins[part], sizes[part], strict=True)])
+
+    def compare(fields: list[np.ndarray], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        anchor, stretch, salt, who, version, low, windows = fields
+        group, new = np.cumsum(changes(anchor, salt)), changes(anchor, salt, stretch)
+        later = who > who[np.flatnonzero(new)][np.cumsum(new) - 1]
+        repeated_low, repeated_high, repeated_row = [low[later]], [low[later] + windows[later]], [np.flatnonzero(later)]
+        first = np.flatnonzero(~later)
         data, begins = joined([texts[i] for i in first], b"")
-        who, version, low, windows, anchor, group = (x[first] for x in (who, version, low, windows, anchor, group))
-        if not len(data):
-            return
-        sums = prefix_polynomial(data)
-        owner = np.repeat(np.arange(len(first)), windows)
-        offset = np.arange(len(owner)) - (np.cumsum(windows) - windows)[owner]
-        at = begins[owner] + offset
-        key = mixed(span_hashes(sums, at, at + length)) ^ mixed(group.view(np.uint64))[owner]
+        sums, owner = prefix_polynomial(data), np.repeat(np.arange(len(first)), windows[first])
+        offset = np.arange(len(owner)) - (np.cumsum(windows[first]) - windows[first])[owner]
+        at, owner = begins[owner] + offset, first[owner]
+        key = mixed(span_hashes(sums, at, at + length)) ^ mixed(group.astype(np.uint64))[owner]
         by_key = np.argsort(key, kind="stable")
-        again = np.zeros(len(key), bool)
-        same = key[by_key][1:] == key[by_key][:-1]
+        same, again = key[by_key][1:] == key[by_key][:-1], np.zeros(len(key), bool)
         again[by_key[1:]] |= same
         again[by_key[:-1]] |= same
-        some = np.flatnonzero(again)
-        repeated, leads = np.zeros(len(at), bool), ~again
+        some, leads = np.flatnonzero(again), ~again
         if len(some):  # windows that may recur are sorted as suffixes
-            number = equal_starts(data, sums, at[some], np.unique(group[owner[some]], return_inverse=True)[1], length)
+            number = equal_starts(data, sums, at[some], group[owner[some]], length)
             least = np.full(number.max() + 1, LAST)
             np.minimum.at(least, number, who[owner[some]])
-            repeated[some] = who[owner[some]] > least[number]
-            leads[some] = ~repeated[some]
-        start, end = runs_within(repeated, owner)
-        if len(start):
-            yield ranges(who[owner[start]], version[owner[start]], low[owner[start]] + offset[start], low[owner[start]] + offset[end - 1] + 1, None)
-        pending = np.flatnonzero(leads & hot_anchors(hot, anchor.view(np.uint64))[owner])
+            hit = some[who[owner[some]] > least[number]]
+            leads[some] = True
+            leads[hit] = False
+            repeated_low.append(low[owner[hit]] + offset[hit])
+            repeated_high.append(low[owner[hit]] + offset[hit] + 1)
+            repeated_row.append(owner[hit])
+        row = np.concatenate(repeated_row)
+        if len(row):
+            # rows of one document and version go together
+            pair = np.unique(np.stack([who, version.astype(np.int64)], 1), axis=0, return_inverse=True)
+            ids, versions = pair[0][:, 0], pair[0][:, 1].astype(np.int32)
+            batch = spans(pair[1].ravel()[row], np.concatenate(repeated_low), np.concatenate(repeated_high), ids, versions, 1)
+            yield rows(batch.column("_ord"), batch.column("_version"), batch.column("fields"), None, None)
+        pending = np.flatnonzero(leads & hot_anchors(hot, anchor)[owner])
         if len(pending):
             raw, o = data.tobytes(), owner[pending]
-            yield ranges(who[o], version[o], low[o] + offset[pending], low[o] + offset[pending] + 1, [raw[a : a + length] for a in at[pending]])
-
-    def runs_within(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hit = np.flatnonzero(flags)
-        if not len(hit):
-            return hit, hit
-        new = np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])))
-        return hit[new], np.append(hit[np.flatnonzero(new)[1:] - 1], hit[-1]) + 1
-
-    def ranges(who, version, low, high, content) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(who), pa.array(version), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.nulls(len(who), pa.binary()) if content is None else pa.array(content, pa.binary())], ["_ord", "_version", "low", "high", "content"])
+            yield rows(pa.array(who[o]), pa.array(version[o]), None, pa.array((low[o] + offset[pending]).astype(np.int32)), pa.array([raw[a : a + length] for a in at[pending]], pa.binary()))
 
-    import pyarrow.compute  # noqa: F401  (binds pa.compute)
+    def rows(who, version, ranges, low, content) -> pa.RecordBatch:
+        none = lambda x, kind: pa.nulls(len(who), kind) if x is None else x
+        return pa.RecordBatch.from_arrays([who, version, none(ranges, pa.binary()), none(low, pa.int32()), none(content, pa.binary())], ["_ord", "_version", "ranges", "low", "content"])
 
-    return found.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(settle, COVERED)
+    return found.repartition(partitions, "bucket").mapInArrow(settle, COVERED)
 
 
 def repeated_windows(rows: DataFrame, length: int) -> DataFrame:
-    """``_ord, _spans``: for each id the ranges ``version, low, high`` of windows that an earlier document has."""
+    """``_ord, _spans``: for each id the ``version`` of the text and ``ranges``, or a single place ``low``, of windows that an earlier document has."""
     spark = rows.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = lambda texts: (np.unique((anchor << np.uint64(16)) | row.astype(np.uint64)) for _, _, _, _, row, _, _, anchor, _ in anchored_runs(texts, length))
@@ -350,12 +366,12 @@ def repeated_windows(rows: DataFrame, length: int) -> DataFrame:
     anchors = shared_anchors(rows, hot, length).groupBy("_ord").agg(
         F.collect_list(F.when(~F.col("many"), F.col("anchor"))).alias("one"), F.collect_list(F.when(F.col("many"), F.col("anchor"))).alias("many"))
     listed = rows.join(anchors, "_ord", "left" if hot.any() else "inner")
-    covered = covered_windows(stretches(listed, hot, partitions, length), hot, partitions, length)
-    spans = covered.where("content IS NULL").select("_ord", "_version", "low", "high")
+    covered = covered_windows(stretches(listed, hot, partitions, 4 * partitions, length), hot, partitions, 4 * partitions, length)
+    found = covered.where("content IS NULL").drop("content")
     if hot.any():
         pending = covered.where("content IS NOT NULL").withColumn("least", F.min("_ord").over(W.partitionBy("content")))
-        spans = spans.union(pending.where("_ord > least").select("_ord", "_version", "low", "high"))
-    return spans.groupBy("_ord").agg(F.collect_list(F.struct(F.col("_version").alias("version"), "low", "high")).alias("_spans"))
+        found = found.union(pending.where("_ord > least").select(*found.columns))
+    return found.groupBy("_ord").agg(F.collect_list(F.struct(F.col("_version").alias("version"), "ranges", "low")).alias("_spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", contents: bool = True) -> DataFrame:
@@ -364,7 +380,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     ``spans`` are the maximal removed runs as (start, end) in bytes.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("_ord"), F.xxhash64(body).alias("_version"), body.alias("_text"))
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("_ord"), F.hash(body).alias("_version"), body.alias("_text"))
     known = rows.join(repeated_windows(rows, length), "_ord", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,9 +388,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
             out = []
             for who, version, raw, spans in zip(batch.column("_ord").to_pylist(), batch.column("_version").to_pylist(), utf8(batch.column("_text")), batch.column("_spans").to_pylist(), strict=True):
                 change = np.zeros(len(raw) + 1, np.int32)
-                own = np.array([(s["low"], s["high"] + length - 1) for s in spans or () if s["version"] == version], np.int64).reshape(-1, 2)
-                np.add.at(change, own[:, 0], 1)
-                np.add.at(change, own[:, 1], -1)
+                own = [s for s in spans or () if s["version"] == version]
+                ranges = np.frombuffer(b"".join([s["ranges"] for s in own if s["ranges"]]), np.int32).reshape(-1, 2)
+                single = np.array([s["low"] for s in own if s["low"] is not None], np.int64)
+                for low, high in ((ranges[:, 0], ranges[:, 1]), (single, single + 1)):
+                    np.add.at(change, low, 1)
+                    np.add.at(change, high + length - 1, -1)
                 removed = np.cumsum(change[:-1]) > 0
                 start, end = runs(removed)
                 kept = np.frombuffer(raw, np.uint8)[~removed].tobytes()
