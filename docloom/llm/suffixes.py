@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BASE, BLOB, HOT, SKETCH_BITS, blobs, blocks, bucket_counts, byte_codes, joined, long, mixed, powers, prefix_polynomial, runs, short, span_hashes, unpacked, utf8
+from .common import BASE, BLOB, HOT, SKETCH_BITS, blobs, blocks, bucket_counts, byte_codes, joined, long, mixed, powers, prefix_polynomial, runs, short, slices, span_hashes, unpacked, utf8
 
 LENGTH = 50
 GRAM = 16
@@ -160,7 +160,8 @@ def anchored_runs(texts: list[bytes], length: int) -> Iterator[tuple]:
 
 
 def hot_anchors(hot: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-    return hot[(anchor >> np.uint64(48 - SKETCH_BITS)).astype(np.int64)]
+    """Whether anchors lie in hot buckets; they are minima, so they are mixed before their upper bits name a bucket."""
+    return hot[(mixed(anchor) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
 
 
 def shared_anchors(docs: DataFrame, hot: np.ndarray, length: int) -> DataFrame:
@@ -171,7 +172,7 @@ def shared_anchors(docs: DataFrame, hot: np.ndarray, length: int) -> DataFrame:
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, parts = batch.column("_ord").to_numpy(), []
             for start, _, _, _, row, _, _, anchor, stretch in anchored_runs(utf8(batch.column("_text")), length):
                 cold = ~hot_anchors(hot, anchor)
@@ -183,7 +184,7 @@ def shared_anchors(docs: DataFrame, hot: np.ndarray, length: int) -> DataFrame:
                 parts.append((anchor[new], stretch[new], ids[start + row[new]]))
             if parts:
                 anchor, stretch, owner = map(np.concatenate, zip(*parts, strict=True))
-                yield blobs(anchor << np.uint64(16), stretch << np.uint64(16), owner, np.zeros(len(owner), np.uint8), buckets)
+                yield blobs(anchor << np.uint64(16), stretch << np.uint64(16), owner, np.zeros(len(owner), np.uint8), (anchor % np.uint64(buckets)).astype(np.int64))
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, stretch, owner, _ = unpacked(batches, np.uint8)
@@ -208,7 +209,7 @@ def stretches(listed: DataFrame, hot: np.ndarray, salts: int, buckets: int, leng
     """From documents with their shared anchors: windows that are surely repeated (one row per document), and stretches to compare (packed by bucket)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, versions = batch.column("_ord").to_numpy(), batch.column("_version").to_numpy()
             lists = [[np.array(x if x is not None else (), np.uint64) for x in batch.column(c).to_pylist()] for c in ("one", "many")]
             parts, bodies = [], []
@@ -360,7 +361,7 @@ def repeated_windows(rows: DataFrame, length: int) -> DataFrame:
     """``_ord, _spans``: for each id the ``version`` of the text and ``ranges``, or a single place ``low``, of windows that an earlier document has."""
     spark = rows.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = lambda texts: (np.unique((anchor << np.uint64(16)) | row.astype(np.uint64)) for _, _, _, _, row, _, _, anchor, _ in anchored_runs(texts, length))
+    keys = lambda texts: (mixed(np.unique((anchor << np.uint64(16)) | row.astype(np.uint64)) >> np.uint64(16)) for _, _, _, _, row, _, _, anchor, _ in anchored_runs(texts, length))
     counts = bucket_counts(rows, keys)
     hot = counts >= HOT * max(1.0, counts.mean())
     anchors = shared_anchors(rows, hot, length).groupBy("_ord").agg(
@@ -384,7 +385,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     known = rows.join(repeated_windows(rows, length), "_ord", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for who, version, raw, spans in zip(batch.column("_ord").to_pylist(), batch.column("_version").to_pylist(), utf8(batch.column("_text")), batch.column("_spans").to_pylist(), strict=True):
                 change = np.zeros(len(raw) + 1, np.int32)
