@@ -67,6 +67,14 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches with about ``limit`` bytes, so that a worker's memory does not follow the size of batches."""
+    for batch in batches:
+        step = max(1, min(rows, int(limit * batch.num_rows / max(1, batch.nbytes)))) if batch.num_rows else 1
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
 def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``limit`` bytes each, counting some for each row."""
     start = size = 0
@@ -132,37 +140,54 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # --- keys that several documents share -----------------------------------------------------
 
 SKETCH_BITS = 18
+SLICES = 64
 #: Buckets of the sketch with this many times the mean count hold hot keys.
 HOT = 16
 
 
-def bucket_counts(docs: DataFrame, keys_of) -> np.ndarray:
-    """Documents per hash bucket of their keys: 2**18 counters, whatever the table holds.
+def add_counts(counts: np.ndarray, keys: np.ndarray) -> None:
+    """Count keys into 2**18 hash buckets."""
+    counts += np.bincount((keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
 
-    ``keys_of`` maps a list of texts to arrays of keys, each key once per document.
-    Tasks add up their counters before anything moves; 64 slices are summed apart.
-    """
-    size, slices = 1 << SKETCH_BITS, 64
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for keys in keys_of(utf8(batch.column("_text"))):
-                total += np.bincount((keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
-        parts = total.reshape(slices, -1)
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(np.arange(slices), pa.int32()), "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
+def count_rows(counts: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """A task's counters as numbered slices."""
+    return list(range(SLICES)), [part.astype(np.uint32).tobytes() for part in counts.reshape(SLICES, -1)]
+
+
+def summed_counts(rows: DataFrame) -> np.ndarray:
+    """The sums of all tasks' counters (``slice int, counts binary``): 2**18 numbers, whatever the table holds."""
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, x in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(x, np.int64)
+                part = np.frombuffer(x, np.uint32 if len(x) * SLICES == 4 << SKETCH_BITS else np.int64)
+                sums[k] = sums.get(k, 0) + part.astype(np.int64)
         yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "counts": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
 
-    schema = "slice int, counts binary"
-    summed = docs.mapInArrow(count, schema).repartition(slices, "slice").mapInArrow(merged, schema)
-    found = {r["slice"]: np.frombuffer(r["counts"], np.int64) for r in summed.collect()}
-    return np.concatenate([found.get(k, np.zeros(size // slices, np.int64)) for k in range(slices)])
+    total = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.int64)
+    for row in rows.repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect():
+        total[row["slice"]] += np.frombuffer(row["counts"], np.int64)
+    return total.ravel()
+
+
+def bucket_counts(docs: DataFrame, keys_of) -> np.ndarray:
+    """Documents per hash bucket of their keys.
+
+    ``keys_of`` maps a list of texts to arrays of keys, each key once per document.
+    Tasks add up their counters before anything moves.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in slices(batches):
+            for keys in keys_of(utf8(batch.column("_text"))):
+                add_counts(counts, keys)
+        numbers, parts = count_rows(counts)
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(numbers, pa.int32()), "counts": pa.array(parts, pa.binary())})
+
+    return summed_counts(docs.mapInArrow(count, "slice int, counts binary"))
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -185,9 +210,8 @@ def long(raw: bytes) -> np.ndarray:
 BLOB = "bucket int, keys binary, marks binary, ids binary, extra binary"
 
 
-def blobs(keys: np.ndarray, marks: np.ndarray, ids: np.ndarray, extra: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Rows (key, mark, id, extra) packed by bucket of the key: few rows move instead of one per key."""
-    bucket = ((keys >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+def blobs(keys: np.ndarray, marks: np.ndarray, ids: np.ndarray, extra: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+    """Rows (key, mark, id, extra) packed by bucket: few rows move instead of one per key."""
     order = np.argsort(bucket, kind="stable")
     bucket, keys, marks, ids, extra = bucket[order], keys[order], marks[order], ids[order], extra[order]
     starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import BLOB, HOT, SKETCH_BITS, blobs, blocks, bucket_counts, joined, levels, mixed, prefix_polynomial, runs, smallest_labels, span_hashes, stored, unpacked, utf8
+from .common import BLOB, HOT, SKETCH_BITS, add_counts, blobs, blocks, count_rows, joined, levels, mixed, prefix_polynomial, runs, slices, smallest_labels, span_hashes, stored, summed_counts, unpacked, utf8
 
 WORDS = 5
 PERCENT = 75
@@ -60,28 +60,32 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> Iterator[tuple[int,
     """Blocks of texts: first and last row, and rows (counted from the first) with their distinct shingles, sorted."""
     for start, end in blocks(texts):
         data, begins = joined(texts[start:end], b"\n")
-        data = FOLDED[data]
         first, last = runs(WORD[data])
-        word = mixed(span_hashes(prefix_polynomial(data), first, last))
-        row = np.searchsorted(begins, first, side="right") - 1
+        word = mixed(span_hashes(prefix_polynomial(FOLDED[data]), first, last))
+        sizes = np.diff(np.searchsorted(first, begins))
+        row = np.repeat(np.arange(end - start), sizes)
         count = max(0, len(word) - words + 1)
         value = word[:count].copy()
         for j in range(1, words):
             value = value * STEP + word[j : j + count]
         inside = row[:count] == row[words - 1 : words - 1 + count]
         value, owner = mixed(value[inside]), row[:count][inside]
-        sizes = np.bincount(row, minlength=end - start)
         few, at = np.flatnonzero((sizes > 0) & (sizes < words)), np.cumsum(sizes) - sizes
-        whole = []
-        for r in few:
-            h = np.full(1, sizes[r], np.uint64)
-            for w in word[at[r] : at[r] + sizes[r]]:
-                h = h * STEP + w
-            whole.append(mixed(h))
-        value, owner = np.concatenate([value, *whole]), np.concatenate([owner, few]).astype(np.int64)
-        order = np.lexsort((value, owner))
-        value, owner = value[order], owner[order]
-        new = np.concatenate(([True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1]))) if len(value) else np.zeros(0, bool)
+        if len(few):
+            whole = []
+            for r in few:
+                h = np.full(1, sizes[r], np.uint64)
+                for w in word[at[r] : at[r] + sizes[r]]:
+                    h = h * STEP + w
+                whole.append(mixed(h))
+            order = np.argsort(np.concatenate([owner, few]), kind="stable")
+            value, owner = np.concatenate([value, *whole])[order], np.concatenate([owner, few])[order]
+        cuts = np.searchsorted(owner, np.arange(end - start + 1))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b - a > 1:
+                value[a:b].sort()
+        new = np.ones(len(value), bool)
+        new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
         yield start, end, owner[new], value[new]
 
 
@@ -96,16 +100,22 @@ def set_marks(owner: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarr
 
 
 def set_profiles(docs: DataFrame) -> DataFrame:
-    """``_id, n, mark1, mark2`` of each row of ``_id, _text``."""
+    """``_id, n, mark1, mark2`` of each row of ``_id, _text``, and rows ``slice, counts`` of how many documents have a shingle."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = utf8(batch.column("_text"))
-            for start, end, owner, value in shingle_sets(texts):
+        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in slices(batches):
+            for start, end, owner, value in shingle_sets(utf8(batch.column("_text"))):
                 n, one, two = set_marks(owner, value, end - start)
-                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(start, end - start), pa.array(n.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["_id", "n", "mark1", "mark2"])
+                add_counts(counts, value)
+                none = pa.nulls(end - start, pa.int32()), pa.nulls(end - start, pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(start, end - start), pa.array(n.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *none], names)
+        numbers, parts = count_rows(counts)
+        none = [pa.nulls(len(numbers), pa.int64())] * 4
+        yield pa.RecordBatch.from_arrays([*none, pa.array(numbers, pa.int32()), pa.array(parts, pa.binary())], names)
 
-    return docs.mapInArrow(profile, "_id long, n long, mark1 long, mark2 long")
+    names = ["_id", "n", "mark1", "mark2", "slice", "counts"]
+    return docs.mapInArrow(profile, "_id long, n long, mark1 long, mark2 long, slice int, counts binary")
 
 
 def least_met(size: np.ndarray, percent: int) -> np.ndarray:
@@ -115,7 +125,8 @@ def least_met(size: np.ndarray, percent: int) -> np.ndarray:
 
 def short_lists(owner: np.ndarray, value: np.ndarray, rows: int, level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The shingles of the n - T + k shortest lists of each row: rows, shingles, places in the order, set sizes."""
-    order = np.lexsort((value, level[(value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], owner))
+    # values are sorted within rows: a stable sort by row and level is all that is missing
+    order = np.argsort((owner << 5) | level[(value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
     owner, value = owner[order], value[order]
     n = np.bincount(owner, minlength=rows)
     place = np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
@@ -126,26 +137,27 @@ def short_lists(owner: np.ndarray, value: np.ndarray, rows: int, level: np.ndarr
 MEMBERS = "token long, _id long, n int, mark long, place int"
 
 
-def members(docs: DataFrame, percent: int) -> DataFrame:
-    """Documents of the short lists with more than one set: one row per list and set, the smallest id for it."""
-    spark = docs.sparkSession
-    counts = bucket_counts(docs, lambda texts: (value for _, _, _, value in shingle_sets(texts)))
+def members(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """Documents of the short lists with more than one set: one row per list and set, the smallest id for it.
+
+    Rows of hot shingles are spread over all partitions as they come and are grouped by Spark's aggregation.
+    """
     level, hot = levels(counts), counts >= HOT * max(1.0, counts.mean())
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def keys(batch: pa.RecordBatch):
-        texts, ids = utf8(batch.column("_text")), batch.column("_id").to_numpy(zero_copy_only=False)
-        for start, end, owner, value in shingle_sets(texts):
-            mark = set_marks(owner, value, end - start)[1]
-            row, token, place, n = short_lists(owner, value, end - start, level, percent)
-            yield token, mark[row], ids[start:end][row].astype(np.int64), place, n, hot[(token >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-
-    def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [tuple(x[~k[5]] for x in k[:5]) for k in keys(batch)]
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * partitions
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts, ids, parts = utf8(batch.column("_text")), batch.column("_id").to_numpy(), []
+            for start, end, owner, value in shingle_sets(texts):
+                mark = set_marks(owner, value, end - start)[1]
+                row, token, place, n = short_lists(owner, value, end - start, level, percent)
+                parts.append((token, mark[row], ids[start + row], (n.astype(np.int64) << 32) | place))
             if parts:
-                token, mark, ids, place, n = map(np.concatenate, zip(*parts, strict=True))
-                yield blobs(token, mark, ids, (n.astype(np.int64) << 32) | place, buckets)
+                token, mark, owner, extra = map(np.concatenate, zip(*parts, strict=True))
+                is_hot = hot[(token >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                bucket = np.where(is_hot, mixed(owner.astype(np.uint64)), token >> np.uint64(16)) % np.uint64(buckets)
+                yield blobs(token, mark, owner, extra, bucket.astype(np.int64))
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, mark, ids, extra = unpacked(batches, np.int64)
@@ -153,21 +165,12 @@ def members(docs: DataFrame, percent: int) -> DataFrame:
             begins = np.concatenate(([True], token[1:] != token[:-1]))
             starts = np.flatnonzero(begins)
             several = np.minimum.reduceat(mark, starts) != np.maximum.reduceat(mark, starts)
-            some = several[np.cumsum(begins) - 1]
-            yield rows(token[some], ids[some], extra[some] >> 32, mark[some], extra[some] & 0xFFFFFFFF)
-
-    def rows(token, ids, n, mark, place) -> pa.RecordBatch:
-        arrays = [pa.array(token.view(np.int64)), pa.array(ids), pa.array(n.astype(np.int32)), pa.array(mark.view(np.int64)), pa.array(place.astype(np.int32))]
-        return pa.RecordBatch.from_arrays(arrays, ["token", "_id", "n", "mark", "place"])
-
-    def heated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for token, mark, ids, place, n, is_hot in keys(batch):
-                yield rows((token[is_hot] >> np.uint64(16)), ids[is_hot], n[is_hot], (mark[is_hot] >> np.uint64(16)), place[is_hot])
+            some = several[np.cumsum(begins) - 1] | hot[(token >> np.uint64(48 - SKETCH_BITS)).astype(np.int64)]
+            arrays = [pa.array(token[some].view(np.int64)), pa.array(ids[some]), pa.array((extra[some] >> 32).astype(np.int32)), pa.array(mark[some].view(np.int64)), pa.array((extra[some] & 0xFFFFFFFF).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, ["token", "_id", "n", "mark", "place"])
 
-    dealt = docs.mapInArrow(cold, BLOB).repartition(buckets // 4, "bucket").mapInArrow(shared, MEMBERS)
-    found = dealt.union(docs.mapInArrow(heated, MEMBERS)) if hot.any() else dealt
-    return found.groupBy("token", "n", "mark").agg(F.min("_id").alias("_id"), F.min("place").alias("place"))
+    dealt = docs.mapInArrow(deal, BLOB).repartition(partitions, "bucket").mapInArrow(shared, MEMBERS)
+    return dealt.groupBy("token", "n", "mark").agg(F.min("_id").alias("_id"), F.min("place").alias("place"))
 
 
 def divide_skip(query: np.ndarray, docs: list[np.ndarray], least: np.ndarray) -> np.ndarray:
@@ -227,7 +230,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 linked += [ids[i] for i in np.flatnonzero(overlap)]
             return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(linked), pa.int64()), pa.array(linked, pa.int64())], ["a", "b"])
 
-        for batch in batches:
+        for batch in slices(batches):
             columns = [batch.column(c).to_pylist() for c in ("a", "_part", "_side", "b")]
             for start, end, owner, value in shingle_sets(utf8(batch.column("_text"))):
                 cuts = np.searchsorted(owner, np.arange(end - start + 1))
@@ -253,10 +256,10 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return sorted_.mapInArrow(compare, "a long, b long").distinct()
 
 
-def linked_components(docs: DataFrame, percent: int) -> DataFrame:
+def linked_components(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     """``v, label`` for every vertex (smallest id of a set) that has a link."""
     spark = docs.sparkSession
-    lists = stored(members(docs, percent), "short-lists")
+    lists = stored(members(docs, counts, percent), "short-lists")
     edges = tried = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "v long, label long")
 
@@ -289,8 +292,10 @@ def linked_components(docs: DataFrame, percent: int) -> DataFrame:
 def near_components(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     plain = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    profiles = stored(set_profiles(plain), "set-profiles")
-    labels = linked_components(plain.where("_id IS NOT NULL"), percent)
+    profiled = stored(set_profiles(plain), "set-profiles")
+    counts = summed_counts(profiled.where("slice IS NOT NULL").select("slice", "counts"))
+    profiles = profiled.where("slice IS NULL").select("_id", "n", "mark1", "mark2")
+    labels = linked_components(plain.where("_id IS NOT NULL"), counts, percent)
     classes = profiles.where("n > 0 AND _id IS NOT NULL").groupBy("n", "mark1", "mark2").agg(F.min("_id").alias("v"))
     named = classes.join(labels, "v", "left").select("n", "mark1", "mark2", F.least("v", F.coalesce("label", "v")).alias("component"))
     component = F.when(F.col("_id").isNotNull(), F.coalesce("component", "_id")).alias("component_id")
