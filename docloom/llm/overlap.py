@@ -40,15 +40,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import BLOB, HOT, SKETCH_BITS, add_counts, blobs, blocks, count_rows, joined, levels, mixed, prefix_polynomial, runs, slices, smallest_labels, span_hashes, stored, summed_counts, unpacked, utf8
+from .common import BLOB, HOT, SKETCH_BITS, add_counts, blobs, blocks, count_rows, joined, levels, mixed, prefix_polynomial, runs, slices, small_batches, smallest_labels, span_hashes, stored, summed_counts, unpacked, utf8
 
 WORDS = 5
 PERCENT = 75
 MOST_MET = 16
 #: Rounds in which the lists' leaders are compared, before the exhaustive one.
 ROUNDS = 2
-#: Documents that one leader is compared with in one block.
+#: Documents that one leader is compared with in one block, and elements of them that are held at once.
 COMPARED = 256
+HELD = 400_000
 #: Up to so many ids (8 bytes each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -160,7 +161,7 @@ def members(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
                 yield blobs(token, mark, owner, extra, bucket.astype(np.int64))
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, mark, ids, extra = unpacked(batches, np.int64)
+        token, mark, ids, extra = unpacked(batches)
         if len(token):
             begins = np.concatenate(([True], token[1:] != token[:-1]))
             starts = np.flatnonzero(begins)
@@ -220,7 +221,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     own = own.join(texts.withColumnRenamed("_id", "a"), "a").select("a", "_part", F.lit(0).alias("_side"), F.col("a").alias("b"), "_text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, queries, ids, sets = None, [], [], []
+        key, queries, ids, sets, held = None, [], [], [], 0
 
         def links():
             linked = []
@@ -239,16 +240,17 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                     if (a, part) != key:
                         if key:
                             yield links()
-                        key, queries, ids, sets = (a, part), [], [], []
+                        key, queries, ids, sets, held = (a, part), [], [], [], 0
                     elements = value[cuts[r - start] : cuts[r - start + 1]]
                     if side == 0:
                         queries.append(elements)
                     else:
                         ids.append(b)
                         sets.append(elements)
-                    if len(sets) >= 2 * COMPARED:
+                        held += len(elements)
+                    if len(sets) >= 2 * COMPARED or held >= HELD:
                         yield links()
-                        ids, sets = [], []
+                        ids, sets, held = [], [], 0
         if key:
             yield links()
 
@@ -259,28 +261,33 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 def linked_components(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     """``v, label`` for every vertex (smallest id of a set) that has a link."""
     spark = docs.sparkSession
-    lists = stored(members(docs, counts, percent), "short-lists")
+    found = stored(members(docs, counts, percent), "short-lists")
+    needed = lambda n: F.greatest(F.lit(1), F.least(F.lit(MOST_MET), F.floor(F.ceil(F.col(n) * percent / 100) / 8)))
+    # elements of a set that no other set has, as far as its short lists show
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + needed("n")
+    alone = found.groupBy("_id", "n", "mark").agg(F.first(length).alias("length"), F.count("*").alias("met")).select("_id", "n", "mark", F.greatest(F.col("length") - F.col("met"), F.lit(0)).cast("int").alias("alone"))
+    lists = stored(found.join(alone, ["_id", "n", "mark"]), "lists")
     edges = tried = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "v long, label long")
 
-    needed = lambda n: F.greatest(F.lit(1), F.least(F.lit(MOST_MET), F.floor(F.ceil(F.col(n) * percent / 100) / 8)))
-
-    # at one of their first k meeting places, these two can still have the least overlap
-    def possible(n, place, other_n, other_place, k):
-        rest = F.least(F.col(n) - F.col(place), F.col(other_n) - F.col(other_place)) + k - 1
-        return (100 + percent) * rest >= percent * (F.col(n) + F.col(other_n))
+    # whether two sets can have the least overlap, if this is one of their first k meeting places
+    def possible(one: str, other: str, k):
+        n, place, own = (F.col(one + c) for c in ("n", "place", "alone"))
+        n2, place2, own2 = (F.col(other + c) for c in ("n", "place", "alone"))
+        by_place = (100 + percent) * (F.least(n - place, n2 - place2) + k - 1) >= percent * (n + n2)
+        return by_place & (100 * F.least(n - own, n2 - own2) >= percent * F.greatest(n + own2, n2 + own))
 
     for turn in range(ROUNDS + 1):
-        now = lists.join(labels, lists["_id"] == labels["v"], "left").select("token", "_id", "n", "place", F.coalesce("label", "_id").alias("part"))
-        open_ = now.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct(F.xxhash64("_id", F.lit(turn)).alias("h"), "_id", "n", "place", "part")).alias("lead")).where("low <> high")
+        now = lists.join(labels, lists["_id"] == labels["v"], "left").select("token", "_id", "n", "place", "alone", F.coalesce("label", "_id").alias("part"))
+        open_ = now.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct(F.xxhash64("_id", F.lit(turn)).alias("h"), "_id", "n", "place", "alone", "part")).alias("lead")).where("low <> high")
         if turn < ROUNDS:  # each list's leader against the rest
             met = now.join(open_, "token").where(F.col("part") != F.col("lead.part"))
-            met = met.where(possible("n", "place", "lead.n", "lead.place", F.lit(1))).select(F.col("lead._id").alias("a"), F.col("_id").alias("b")).distinct()
+            met = met.where(possible("", "lead.", F.lit(1))).select(F.col("lead._id").alias("a"), F.col("_id").alias("b")).distinct()
         else:  # whatever still lies in different components
             left = now.join(open_.select("token"), "token")
-            right = left.select("token", *[F.col(c).alias(f"other_{c}") for c in ("_id", "n", "place", "part")])
+            right = left.select("token", *[F.col(c).alias(f"other_{c}") for c in ("_id", "n", "place", "alone", "part")])
             met = left.join(right, "token").where("part < other_part").withColumn("k", F.least(needed("n"), needed("other_n")))
-            met = met.where(possible("n", "place", "other_n", "other_place", F.col("k"))).groupBy(F.col("_id").alias("a"), F.col("other__id").alias("b"), "k").count().where("count >= k").select("a", "b").distinct()
+            met = met.where(possible("", "other_", F.col("k"))).groupBy(F.col("_id").alias("a"), F.col("other__id").alias("b"), "k").count().where("count >= k").select("a", "b").distinct()
         pairs = durable(met.join(tried, ["a", "b"], "left_anti"))
         found = durable(verified(pairs, docs, percent))
         edges, tried = edges.union(found), tried.union(pairs)
@@ -291,6 +298,7 @@ def linked_components(docs: DataFrame, counts: np.ndarray, percent: int) -> Data
 
 def near_components(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
     profiled = stored(set_profiles(plain), "set-profiles")
     counts = summed_counts(profiled.where("slice IS NOT NULL").select("slice", "counts"))
