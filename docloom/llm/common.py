@@ -28,6 +28,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark) -> None:
+    """Hand texts to Python in Arrow batches of at most 8 MB, unless the session asks for less: long texts then take little memory."""
+    key, size = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+    now = spark.conf.get(key)
+    if now.rstrip("bB").lstrip("-").isdigit() and not 0 < int(now.rstrip("bB")) <= size:
+        spark.conf.set(key, str(size))
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a row belongs to the fold that no model learns from; rows without an id do."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 0, F.lit(True))
@@ -191,9 +199,9 @@ def bucket_counts(docs: DataFrame, keys_of) -> np.ndarray:
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    """How far a bucket lies above the mean, in powers of two (0: not above 4 times)."""
+    """How far a bucket lies above the mean, in quarters of a power of two (0: less than half a power)."""
     ratio = counts / max(1.0, counts.mean())
-    return np.clip(np.floor(np.log2(np.maximum(ratio, 1.0))) - 1, 0, 30).astype(np.uint8)
+    return np.clip(np.floor(4 * np.log2(np.maximum(ratio, 1.0))) - 1, 0, 31).astype(np.uint8)
 
 
 def short(values: np.ndarray) -> bytes:
@@ -207,6 +215,20 @@ def long(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Integers byte by byte of equal weight: planes of zeros shrink to nothing in a compressed shuffle."""
+    return np.ascontiguousarray(np.ascontiguousarray(values, np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def steps(values: np.ndarray) -> bytes:
+    """Integers as planes of their differences."""
+    return planes(np.diff(values, prepend=0))
+
+
 BLOB = "bucket int, keys binary, marks binary, ids binary, extra binary"
 
 
@@ -219,17 +241,19 @@ def blobs(keys: np.ndarray, marks: np.ndarray, ids: np.ndarray, extra: np.ndarra
     cut = lambda pack: pa.array([pack(a, b) for a, b in zip(starts, ends, strict=True)], pa.binary())
     return pa.RecordBatch.from_pydict({
         "bucket": pa.array(bucket[starts], pa.int32()), "keys": cut(lambda a, b: short(keys[a:b])), "marks": cut(lambda a, b: short(marks[a:b])),
-        "ids": cut(lambda a, b: ids[a:b].tobytes()), "extra": cut(lambda a, b: extra[a:b].tobytes()),
+        "ids": cut(lambda a, b: steps(ids[a:b])), "extra": cut(lambda a, b: planes(extra[a:b])),
     })
 
 
-def unpacked(batches: Iterator[pa.RecordBatch], extra_type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All rows of a partition, sorted by key and id."""
     columns = {"keys": [], "marks": [], "ids": [], "extra": []}
     for batch in batches:
         for name, parts in columns.items():
             parts += batch.column(name).to_pylist()
     keys, marks = long(b"".join(columns["keys"])), long(b"".join(columns["marks"]))
-    ids, extra = np.frombuffer(b"".join(columns["ids"]), np.int64), np.frombuffer(b"".join(columns["extra"]), extra_type)
+    none = [np.zeros(0, np.int64)]
+    ids = np.concatenate(none + [np.cumsum(from_planes(x)) for x in columns["ids"]])
+    extra = np.concatenate(none + [from_planes(x) for x in columns["extra"]])
     order = np.lexsort((ids, keys))
     return keys[order], marks[order], ids[order], extra[order]

@@ -30,16 +30,16 @@ id come after all ids; repeated rows appear each.  Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BASE, BLOB, HOT, SKETCH_BITS, blobs, blocks, bucket_counts, byte_codes, joined, long, mixed, powers, prefix_polynomial, runs, short, slices, span_hashes, unpacked, utf8
+from .common import BASE, BLOB, HOT, SKETCH_BITS, blobs, blocks, bucket_counts, byte_codes, from_planes, joined, long, mixed, powers, prefix_polynomial, runs, short, slices, small_batches, span_hashes, steps, unpacked, utf8
 
 LENGTH = 50
 GRAM = 16
@@ -64,36 +64,47 @@ def common_extension(sums: np.ndarray, inverse: np.ndarray, one: np.ndarray, oth
 
 
 def sorted_suffixes(data: np.ndarray, sums: np.ndarray, at: np.ndarray, group: np.ndarray, limit: int) -> np.ndarray:
-    """The order of suffixes within their groups by the first ``limit`` bytes: a merge sort of all groups at once."""
+    """The order of suffixes within their groups by the first ``limit`` bytes: a merge sort of all groups at once.
+
+    Two suffixes are first compared by the hash of all ``limit`` bytes and by
+    their first eight bytes; the search for the common extension is left to
+    those that neither decides.
+    """
     order = np.argsort(group, kind="stable")
-    at, group = at[order], group[order]
-    new = np.concatenate(([True], group[1:] != group[:-1]))
-    base = np.flatnonzero(new)[np.cumsum(new) - 1]
-    size = np.diff(np.append(np.flatnonzero(new), len(at)))[np.cumsum(new) - 1]
-    local, inverse, width = np.arange(len(at)) - base, powers(len(sums), pow(BASE, -1, 1 << 64)), 1
+    group = group[order]
+    new = changes(group)
+    starts, number = np.flatnonzero(new), np.cumsum(new) - 1
+    base, size = starts[number], np.diff(np.append(starts, len(at)))[number]
+    inverse = powers(len(sums), pow(BASE, -1, 1 << 64))
+    whole, head = span_hashes(sums, at, at + limit), np.zeros(len(at), np.uint64)
+    for k in range(min(limit, 8)):
+        head = (head << np.uint64(8)) | data[at + k]
+    local, width = np.arange(len(at)) - base, 1
     while width < size.max(initial=0):
         run = local // width
         other = (run ^ 1) * width
         busy = np.flatnonzero(other < size)
-        low, high = other[busy], np.minimum(other[busy] + width, size[busy])
-        first, left = low.copy(), run[busy] % 2 == 0
-        mine = at[busy]
+        first = other[busy]
+        low, high, left, mine = first.copy(), np.minimum(first + width, size[busy]), run[busy] % 2 == 0, order[busy]
         open_ = np.flatnonzero(low < high)
         while len(open_):
             middle = (low[open_] + high[open_]) // 2
-            theirs, own = at[base[busy[open_]] + middle], mine[open_]
-            agree = common_extension(sums, inverse, theirs, own, limit)
-            end = agree == limit
-            agree = np.where(end, 0, agree)
-            before = np.where(end, ~left[open_], data[theirs + agree] < data[own + agree])
+            theirs, own = order[base[busy[open_]] + middle], mine[open_]
+            before = head[theirs] < head[own]
+            equal = whole[theirs] == whole[own]
+            before[equal] = ~left[open_][equal]
+            hard = np.flatnonzero(~equal & (head[theirs] == head[own]))
+            if len(hard):
+                one, two = at[theirs[hard]], at[own[hard]]
+                agree = np.minimum(common_extension(sums, inverse, one, two, limit), limit - 1)
+                before[hard] = data[one + agree] < data[two + agree]
             low[open_] = np.where(before, middle + 1, low[open_])
             high[open_] = np.where(before, high[open_], middle)
             open_ = open_[low[open_] < high[open_]]
         local[busy] = np.minimum(run[busy] * width, first) + local[busy] - run[busy] * width + low - first
-        place = base + local
-        moved, moved_order = np.empty_like(at), np.empty_like(order)
-        moved[place], moved_order[place] = at, order
-        at, order, local = moved, moved_order, np.arange(len(at)) - base
+        moved = np.empty_like(order)
+        moved[base + local] = order
+        order, local = moved, np.arange(len(at)) - base
         width *= 2
     return order
 
@@ -184,10 +195,10 @@ def shared_anchors(docs: DataFrame, hot: np.ndarray, length: int) -> DataFrame:
                 parts.append((anchor[new], stretch[new], ids[start + row[new]]))
             if parts:
                 anchor, stretch, owner = map(np.concatenate, zip(*parts, strict=True))
-                yield blobs(anchor << np.uint64(16), stretch << np.uint64(16), owner, np.zeros(len(owner), np.uint8), (anchor % np.uint64(buckets)).astype(np.int64))
+                yield blobs(anchor << np.uint64(16), stretch << np.uint64(16), owner, np.zeros(len(owner), np.int64), (anchor % np.uint64(buckets)).astype(np.int64))
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor, stretch, owner, _ = unpacked(batches, np.uint8)
+        anchor, stretch, owner, _ = unpacked(batches)
         if not len(anchor):
             return
         begins = np.concatenate(([True], anchor[1:] != anchor[:-1]))
@@ -202,7 +213,7 @@ def shared_anchors(docs: DataFrame, hot: np.ndarray, length: int) -> DataFrame:
 
 DEALT = "bucket int, fields binary, bodies binary, _ord long, _version int"
 #: Anchor, stretch, salt, id, version, start and windows of a stretch, column after column.
-FIELD_BYTES = (6, 6, 4, 8, 4, 4, 4)
+FIELD_BYTES = (6, 6, 8, 8, 8, 8, 8)
 
 
 def stretches(listed: DataFrame, hot: np.ndarray, salts: int, buckets: int, length: int) -> DataFrame:
@@ -257,15 +268,15 @@ def changes(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def packed(anchor, stretch, salt, who, version, low, windows) -> bytes:
-    return b"".join((short(anchor << np.uint64(16)), short(stretch << np.uint64(16)), salt.astype(np.uint32).tobytes(), who.astype(np.int64).tobytes(), *[x.astype(np.int32).tobytes() for x in (version, low, windows)]))
+def packed(anchor, stretch, *rest) -> bytes:
+    return b"".join((short(anchor << np.uint64(16)), short(stretch << np.uint64(16)), *[steps(x.astype(np.int64)) for x in rest]))
 
 
 def split_fields(raw: bytes) -> list[np.ndarray]:
     n, at, out = len(raw) // sum(FIELD_BYTES), 0, []
-    for size, kind in zip(FIELD_BYTES, (None, None, np.uint32, np.int64, np.int32, np.int32, np.int32), strict=True):
+    for size in FIELD_BYTES:
         part = raw[at : at + size * n]
-        out.append(long(part) if kind is None else np.frombuffer(part, kind))
+        out.append(long(part) if size == 6 else np.cumsum(from_planes(part)))
         at += size * n
     return out
 
@@ -284,7 +295,7 @@ def spans(row: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray, v
         pa.nulls(len(edges), pa.binary()), pa.array(who, pa.int64()), pa.array(versions[row[edges]], pa.int32())], ["bucket", "fields", "bodies", "_ord", "_version"])
 
 
-COVERED = "_ord long, _version int, ranges binary, low int, content binary"
+COVERED = "bucket long, _ord long, _version int, ranges binary, low int, content binary"
 
 
 def covered_windows(found: DataFrame, hot: np.ndarray, partitions: int, buckets: int, length: int) -> DataFrame:
@@ -313,7 +324,8 @@ def covered_windows(found: DataFrame, hot: np.ndarray, partitions: int, buckets:
             yield from compare([x[part] for x in fields], [body[a : a + n] for a, n in zip(begins[part], sizes[part], strict=True)])
 
     def compare(fields: list[np.ndarray], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        anchor, stretch, salt, who, version, low, windows = fields
+        anchor, stretch, salt, who, *rest = fields
+        version, low, windows = (x.astype(np.int32) for x in rest)
         group, new = np.cumsum(changes(anchor, salt)), changes(anchor, salt, stretch)
         later = who > who[np.flatnonzero(new)][np.cumsum(new) - 1]
         repeated_low, repeated_high, repeated_row = [low[later]], [low[later] + windows[later]], [np.flatnonzero(later)]
@@ -323,7 +335,7 @@ def covered_windows(found: DataFrame, hot: np.ndarray, partitions: int, buckets:
         offset = np.arange(len(owner)) - (np.cumsum(windows[first]) - windows[first])[owner]
         at, owner = begins[owner] + offset, first[owner]
         key = mixed(span_hashes(sums, at, at + length)) ^ mixed(group.astype(np.uint64))[owner]
-        by_key = np.argsort(key, kind="stable")
+        by_key = np.argsort(key)
         same, again = key[by_key][1:] == key[by_key][:-1], np.zeros(len(key), bool)
         again[by_key[1:]] |= same
         again[by_key[:-1]] |= same
@@ -352,11 +364,34 @@ def covered_windows(found: DataFrame, hot: np.ndarray, partitions: int, buckets:
 
     def rows(who, version, ranges, low, content) -> pa.RecordBatch:
         none = lambda x, kind: pa.nulls(len(who), kind) if x is None else x
-        return pa.RecordBatch.from_arrays([who, version, none(ranges, pa.binary()), none(low, pa.int32()), none(content, pa.binary())], ["_ord", "_version", "ranges", "low", "content"])
+        keys = who.to_numpy(zero_copy_only=False) if content is None else np.array([zlib.crc32(x) for x in content.to_pylist()])
+        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), who, version, none(ranges, pa.binary()), none(low, pa.int32()), none(content, pa.binary())], ["bucket", "_ord", "_version", "ranges", "low", "content"])
 
     return found.repartition(partitions, "bucket").mapInArrow(settle, COVERED)
 
 
+def after_first(covered: DataFrame, partitions: int) -> DataFrame:
+    """Ranges as they are, and of the windows that are first in their group those whose content an earlier document has.
+
+    A window comes at most once per group and text, so equal contents meet in a few rows.
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = []
+        for batch in batches:
+            yield batch.filter(pc.is_null(batch.column("content"))).select(names)
+            waiting.append(batch.filter(pc.is_valid(batch.column("content"))))
+        if waiting and sum(b.num_rows for b in waiting):
+            table = pa.Table.from_batches(waiting)
+            least = table.group_by("content").aggregate([("_ord", "min")])
+            first = dict(zip(least.column("content").to_pylist(), least.column("_ord_min").to_pylist(), strict=True))
+            later = [who > first[content] for who, content in zip(table.column("_ord").to_pylist(), table.column("content").to_pylist(), strict=True)]
+            yield from table.filter(pa.array(later)).select(names).to_batches()
+
+    names = ["_ord", "_version", "ranges", "low"]
+    return covered.repartition(partitions, "bucket").mapInArrow(meet, "_ord long, _version int, ranges binary, low int")
+
+
 def repeated_windows(rows: DataFrame, length: int) -> DataFrame:
     """``_ord, _spans``: for each id the ``version`` of the text and ``ranges``, or a single place ``low``, of windows that an earlier document has."""
     spark = rows.sparkSession
@@ -368,10 +403,7 @@ def repeated_windows(rows: DataFrame, length: int) -> DataFrame:
         F.collect_list(F.when(~F.col("many"), F.col("anchor"))).alias("one"), F.collect_list(F.when(F.col("many"), F.col("anchor"))).alias("many"))
     listed = rows.join(anchors, "_ord", "left" if hot.any() else "inner")
     covered = covered_windows(stretches(listed, hot, partitions, 4 * partitions, length), hot, partitions, 4 * partitions, length)
-    found = covered.where("content IS NULL").drop("content")
-    if hot.any():
-        pending = covered.where("content IS NOT NULL").withColumn("least", F.min("_ord").over(W.partitionBy("content")))
-        found = found.union(pending.where("_ord > least").select(*found.columns))
+    found = after_first(covered, partitions) if hot.any() else covered
     return found.groupBy("_ord").agg(F.collect_list(F.struct(F.col("_version").alias("version"), "ranges", "low")).alias("_spans"))
 
 
@@ -380,6 +412,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
 
     ``spans`` are the maximal removed runs as (start, end) in bytes.
     """
+    small_batches(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("_ord"), F.hash(body).alias("_version"), body.alias("_text"))
     known = rows.join(repeated_windows(rows, length), "_ord", "left")
