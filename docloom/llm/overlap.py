@@ -40,13 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import BLOB, HOT, SKETCH_BITS, add_counts, blobs, blocks, count_rows, joined, levels, mixed, prefix_polynomial, runs, slices, small_batches, smallest_labels, span_hashes, stored, summed_counts, unpacked, utf8
+from .common import BLOB, SKETCH_BITS, add_counts, blobs, blocks, count_rows, hot_buckets, joined, levels, mixed, prefix_polynomial, runs, slices, small_batches, smallest_labels, span_hashes, stored, summed_counts, unpacked, utf8
 
 WORDS = 5
 PERCENT = 75
 MOST_MET = 16
 #: Rounds in which the lists' leaders are compared, before the exhaustive one.
-ROUNDS = 2
+ROUNDS = 3
 #: Documents that one leader is compared with in one block, and elements of them that are held at once.
 COMPARED = 256
 HELD = 400_000
@@ -143,7 +143,7 @@ def members(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
 
     Rows of hot shingles are spread over all partitions as they come and are grouped by Spark's aggregation.
     """
-    level, hot = levels(counts), counts >= HOT * max(1.0, counts.mean())
+    level, hot = levels(counts), hot_buckets(counts) > 0
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * partitions
 
@@ -282,7 +282,9 @@ def linked_components(docs: DataFrame, counts: np.ndarray, percent: int) -> Data
         open_ = now.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct(F.xxhash64("_id", F.lit(turn)).alias("h"), "_id", "n", "place", "alone", "part")).alias("lead")).where("low <> high")
         if turn < ROUNDS:  # each list's leader against the rest
             met = now.join(open_, "token").where(F.col("part") != F.col("lead.part"))
-            met = met.where(possible("", "lead.", F.lit(1))).select(F.col("lead._id").alias("a"), F.col("_id").alias("b")).distinct()
+            met = met.where(possible("", "lead.", F.lit(1))).groupBy(F.col("lead._id").alias("a"), F.col("_id").alias("b")).count()
+            # each document is compared with the leader of most of its lists
+            met = met.groupBy("b").agg(F.max(F.struct("count", "a"))["a"].alias("a")).select("a", "b")
         else:  # whatever still lies in different components
             left = now.join(open_.select("token"), "token")
             right = left.select("token", *[F.col(c).alias(f"other_{c}") for c in ("_id", "n", "place", "alone", "part")])
