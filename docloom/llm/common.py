@@ -149,8 +149,9 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 SKETCH_BITS = 18
 SLICES = 64
-#: Buckets of the sketch with this many times the mean count hold hot keys.
+#: Buckets of the sketch with this many times the mean count, and so many documents at least, hold hot keys.
 HOT = 16
+GROUP = 5_000
 
 
 def add_counts(counts: np.ndarray, keys: np.ndarray) -> None:
@@ -198,6 +199,12 @@ def bucket_counts(docs: DataFrame, keys_of) -> np.ndarray:
     return summed_counts(docs.mapInArrow(count, "slice int, counts binary"))
 
 
+def hot_buckets(counts: np.ndarray) -> np.ndarray:
+    """In how many groups the keys of each bucket are to be split: 0 for ordinary ones."""
+    hot = counts >= max(GROUP, HOT * counts.mean())
+    return np.where(hot, -(-counts // GROUP), 0)
+
+
 def levels(counts: np.ndarray) -> np.ndarray:
     """How far a bucket lies above the mean, in quarters of a power of two (0: less than half a power)."""
     ratio = counts / max(1.0, counts.mean())

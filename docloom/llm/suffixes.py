@@ -18,9 +18,9 @@ anchor always comes with the same stretch, the stretch is repeated as a whole;
 only where stretches differ are suffixes sorted, and of equal stretches only
 those of the first document.
 
-Anchors whose sketch bucket is hot are spread over as many groups as there are
-partitions; windows that are first in their group meet once more by content,
-at most one row per group.
+Anchors whose sketch bucket is hot are spread over groups of a few thousand
+documents; windows that are first in their group meet once more by content, at
+most one row per group and text.
 
 Defined results: null text counts as empty; texts shorter than ``length`` lose
 nothing; rows that share an id do not remove each other's bytes; rows with a null
@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BLOB, HOT, SKETCH_BITS, blobs, blocks, bucket_counts, byte_codes, from_planes, joined, long, mixed, powers, prefix_polynomial, runs, short, slices, small_batches, span_hashes, steps, unpacked, utf8
+from .common import BASE, BLOB, SKETCH_BITS, blobs, blocks, bucket_counts, byte_codes, from_planes, hot_buckets, joined, long, mixed, powers, prefix_polynomial, runs, short, slices, small_batches, span_hashes, steps, unpacked, utf8
 
 LENGTH = 50
 GRAM = 16
@@ -171,7 +171,7 @@ def anchored_runs(texts: list[bytes], length: int) -> Iterator[tuple]:
 
 
 def hot_anchors(hot: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-    """Whether anchors lie in hot buckets; they are minima, so they are mixed before their upper bits name a bucket."""
+    """What is known of the buckets of anchors; they are minima, so they are mixed before their upper bits name a bucket."""
     return hot[(mixed(anchor) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
 
 
@@ -216,7 +216,7 @@ DEALT = "bucket int, fields binary, bodies binary, _ord long, _version int"
 FIELD_BYTES = (6, 6, 8, 8, 8, 8, 8)
 
 
-def stretches(listed: DataFrame, hot: np.ndarray, salts: int, buckets: int, length: int) -> DataFrame:
+def stretches(listed: DataFrame, groups: np.ndarray, buckets: int, length: int) -> DataFrame:
     """From documents with their shared anchors: windows that are surely repeated (one row per document), and stretches to compare (packed by bucket)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +230,8 @@ def stretches(listed: DataFrame, hot: np.ndarray, salts: int, buckets: int, leng
                 for some in lists:
                     flat = [(a << np.uint64(16)) | np.uint64(r) for r, a in enumerate(some[start:end])]
                     in_list.append(np.isin(own, np.concatenate(flat)) if flat else np.zeros(len(own), bool))
-                is_hot, who = hot_anchors(hot, anchor), ids[start + row]
+                among, who = hot_anchors(groups, anchor), ids[start + row]
+                is_hot = among > 0
                 sure, compared = in_list[0], in_list[1] | is_hot
                 # of equal stretches in this block only the first document's go on
                 order = np.flatnonzero(compared)
@@ -243,7 +244,7 @@ def stretches(listed: DataFrame, hot: np.ndarray, salts: int, buckets: int, leng
                 if len(k):
                     yield spans(start + row[k], low[k], low[k] + windows[k], ids, versions, buckets)
                 k = np.flatnonzero(compared)
-                salt = np.where(is_hot[k], mixed(who[k].astype(np.uint64)) % np.uint64(salts), np.uint64(0))
+                salt = np.where(is_hot[k], mixed(who[k].astype(np.uint64)) % np.maximum(among[k], 1).astype(np.uint64), np.uint64(0))
                 parts.append((anchor[k], stretch[k], salt, who[k], versions[start + row[k]], low[k], windows[k]))
                 raw = data.tobytes()
                 bodies += [raw[a : a + n + length - 1] for a, n in zip(first[k], windows[k], strict=True)]
@@ -252,10 +253,10 @@ def stretches(listed: DataFrame, hot: np.ndarray, salts: int, buckets: int, leng
                 bucket = (mixed(fields[0] + (fields[2] << np.uint64(48))) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 edges = np.flatnonzero(changes(bucket[order]))
-                groups = np.split(order, edges[1:])
+                packs = np.split(order, edges[1:])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(bucket[order[edges]], pa.int32()), pa.array([packed(*[x[g] for x in fields]) for g in groups], pa.binary()),
-                    pa.array([b"".join([bodies[i] for i in g]) for g in groups], pa.binary()), pa.nulls(len(groups), pa.int64()), pa.nulls(len(groups), pa.int32())],
+                    pa.array(bucket[order[edges]], pa.int32()), pa.array([packed(*[x[g] for x in fields]) for g in packs], pa.binary()),
+                    pa.array([b"".join([bodies[i] for i in g]) for g in packs], pa.binary()), pa.nulls(len(packs), pa.int64()), pa.nulls(len(packs), pa.int32())],
                     ["bucket", "fields", "bodies", "_ord", "_version"])
 
     return listed.mapInArrow(find, DEALT)
@@ -398,11 +399,12 @@ def repeated_windows(rows: DataFrame, length: int) -> DataFrame:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = lambda texts: (mixed(np.unique((anchor << np.uint64(16)) | row.astype(np.uint64)) >> np.uint64(16)) for _, _, _, _, row, _, _, anchor, _ in anchored_runs(texts, length))
     counts = bucket_counts(rows, keys)
-    hot = counts >= HOT * max(1.0, counts.mean())
+    groups = hot_buckets(counts)
+    hot = groups > 0
     anchors = shared_anchors(rows, hot, length).groupBy("_ord").agg(
         F.collect_list(F.when(~F.col("many"), F.col("anchor"))).alias("one"), F.collect_list(F.when(F.col("many"), F.col("anchor"))).alias("many"))
     listed = rows.join(anchors, "_ord", "left" if hot.any() else "inner")
-    covered = covered_windows(stretches(listed, hot, partitions, 4 * partitions, length), hot, partitions, 4 * partitions, length)
+    covered = covered_windows(stretches(listed, groups, 4 * partitions, length), hot, partitions, 4 * partitions, length)
     found = after_first(covered, partitions) if hot.any() else covered
     return found.groupBy("_ord").agg(F.collect_list(F.struct(F.col("_version").alias("version"), "ranges", "low")).alias("_spans"))
 
