@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_200_000
 
 
 class Agenda:
@@ -109,7 +109,7 @@ class Agenda:
                 if len(cache) >= CACHE_ENTRIES:
                     cache.clear()
                 if len(segment) <= 64:
-                    cache[segment] = ids
+                    cache[segment] = tuple(ids)
             out += ids
         return out
 
