@@ -91,17 +91,18 @@ def link_quotations(messages: DataFrame, conversation: str = "conv_id", message:
     placed = plain.where("_conv IS NOT NULL AND _msg IS NOT NULL")
     links = durable(placed.select("_conv", "_msg").distinct().join(reply_links(placed), ["_conv", "_msg"], "left"))
     up = links.select("_conv", "_msg", F.coalesce("_parent", "_msg").alias("_up"), F.col("_parent").isNotNull().cast("long").alias("_steps"))
-    while True:
+    moving, settled = up.where("_steps > 0"), up.where("_steps = 0")
+    while not moving.isEmpty():
         far = up.select("_conv", F.col("_msg").alias("_up"), F.col("_up").alias("_far"), F.col("_steps").alias("_more"))
-        up = durable(up.join(far, ["_conv", "_up"]).select("_conv", "_msg", F.col("_far").alias("_up"), (F.col("_steps") + F.col("_more")).alias("_steps"), (F.col("_more") > 0).alias("_moved")))
-        if up.where("_moved").isEmpty():
-            break
+        moved = durable(moving.join(far, ["_conv", "_up"]).select("_conv", "_msg", F.col("_far").alias("_up"), (F.col("_steps") + F.col("_more")).alias("_steps"), (F.col("_more") > 0).alias("_moved")))
+        settled, moving = settled.union(moved.where("NOT _moved").drop("_moved")), moved.where("_moved").drop("_moved")
+        up = settled.union(moving)
 
     @F.pandas_udf("string")
     def unquoted(batch: pd.Series) -> pd.Series:
         return pd.Series([own_text(t) for t in batch], dtype=object)
 
-    trees = links.join(up.drop("_moved"), ["_conv", "_msg"])
+    trees = links.join(up, ["_conv", "_msg"])
     full = placed.join(trees, ["_conv", "_msg"]).withColumn("_own", unquoted("_text"))
     ordered = positions(full, ["_conv"], [F.col("_up"), F.col("_steps"), F.col("_msg"), F.col("role"), F.col("_text")])
     loose = plain.where("_conv IS NULL OR _msg IS NULL").withColumn("_own", unquoted("_text"))
