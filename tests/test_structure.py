@@ -1,7 +1,6 @@
 """Extraction operators against literal cases and a sequential restatement of the rules."""
 
 import random
-import re
 
 import pytest
 
