@@ -16,8 +16,10 @@ often enough are looked up in the long ones by binary search.
 No group of similar documents is expanded into its pairs.  Equal sets are one
 vertex.  In each round every list elects a leader among its documents, the
 others are compared with it, and links found merge components.  What is left in
-lists that still hold several components is compared exhaustively across
-components, so that no link between different components is missed.
+lists that still hold several components meets across components, so that no link
+between different components is missed.  Documents carry the parities of hash
+buckets of their elements: buckets in which two sets differ are at least as many
+elements in one set only, which rules out most unlinked pairs where they meet.
 
 Hot shingles are not collected in one task: rows of keys whose sketch bucket is
 hot go through Spark's aggregation and skew-aware joins instead.
@@ -32,7 +34,9 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +50,9 @@ WORDS = 5
 PERCENT = 75
 MOST_MET = 16
 #: Rounds in which the lists' leaders are compared, before the exhaustive one.
-ROUNDS = 3
+ROUNDS = 2
+#: Longs of bucket parities (64 buckets each) of a set.
+PARITIES = 4
 #: Documents that one leader is compared with in one block, and elements of them that are held at once.
 COMPARED = 256
 HELD = 400_000
@@ -100,8 +106,20 @@ def set_marks(owner: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarr
     return sizes, marks[0], marks[1]
 
 
+def set_parities(owner: np.ndarray, value: np.ndarray, rows: int, step: int = 1024) -> pa.Array:
+    """For each set, whether the number of its elements in each hash bucket is odd, as ``PARITIES`` longs."""
+    buckets, parts = 64 * PARITIES, [np.zeros((0, PARITIES), np.int64)]
+    cuts = np.searchsorted(owner, np.arange(0, rows + step, step))
+    for k, start in enumerate(range(0, rows, step)):
+        here, size = slice(cuts[k], cuts[k + 1]), min(step, rows - start)
+        at = (owner[here] - start) * buckets + (value[here] % np.uint64(buckets)).astype(np.int64)
+        odd = (np.bincount(at, minlength=size * buckets) & 1).astype(np.uint8)
+        parts.append(np.packbits(odd.reshape(size, buckets), axis=1).view(np.int64))
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * PARITIES, pa.int32()), pa.array(np.concatenate(parts).ravel()))
+
+
 def set_profiles(docs: DataFrame) -> DataFrame:
-    """``_id, n, mark1, mark2`` of each row of ``_id, _text``, and rows ``slice, counts`` of how many documents have a shingle."""
+    """``_id, n, mark1, mark2, odd`` of each row of ``_id, _text``, and rows ``slice, counts`` of how many documents have a shingle."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -110,13 +128,13 @@ def set_profiles(docs: DataFrame) -> DataFrame:
                 n, one, two = set_marks(owner, value, end - start)
                 add_counts(counts, value)
                 none = pa.nulls(end - start, pa.int32()), pa.nulls(end - start, pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(start, end - start), pa.array(n.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *none], names)
+                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(start, end - start), pa.array(n.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), set_parities(owner, value, end - start), *none], names)
         numbers, parts = count_rows(counts)
-        none = [pa.nulls(len(numbers), pa.int64())] * 4
+        none = [*[pa.nulls(len(numbers), pa.int64())] * 4, pa.nulls(len(numbers), pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays([*none, pa.array(numbers, pa.int32()), pa.array(parts, pa.binary())], names)
 
-    names = ["_id", "n", "mark1", "mark2", "slice", "counts"]
-    return docs.mapInArrow(profile, "_id long, n long, mark1 long, mark2 long, slice int, counts binary")
+    names = ["_id", "n", "mark1", "mark2", "odd", "slice", "counts"]
+    return docs.mapInArrow(profile, "_id long, n long, mark1 long, mark2 long, odd array<long>, slice int, counts binary")
 
 
 def least_met(size: np.ndarray, percent: int) -> np.ndarray:
@@ -258,15 +276,20 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return sorted_.mapInArrow(compare, "a long, b long").distinct()
 
 
-def linked_components(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+def linked_components(docs: DataFrame, profiles: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     """``v, label`` for every vertex (smallest id of a set) that has a link."""
     spark = docs.sparkSession
     found = stored(members(docs, counts, percent), "short-lists")
-    needed = lambda n: F.greatest(F.lit(1), F.least(F.lit(MOST_MET), F.floor(F.ceil(F.col(n) * percent / 100) / 8)))
+    needed = lambda n: F.greatest(F.lit(1), F.least(F.lit(MOST_MET), F.floor(F.ceil(n * percent / 100) / 8)))
     # elements of a set that no other set has, as far as its short lists show
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + needed("n")
-    alone = found.groupBy("_id", "n", "mark").agg(F.first(length).alias("length"), F.count("*").alias("met")).select("_id", "n", "mark", F.greatest(F.col("length") - F.col("met"), F.lit(0)).cast("int").alias("alone"))
-    lists = stored(found.join(alone, ["_id", "n", "mark"]), "lists")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + needed(F.col("n"))
+    alone = found.groupBy("_id", "n", "mark").agg(F.first(length).alias("length"), F.count("*").alias("met"))
+    # a partner has at least percent of the elements, and both meet in as many lists as the smaller one needs
+    alone = alone.where(F.col("met") >= needed(F.ceil(F.col("n") * percent / 100)))
+    alone = alone.select("_id", "n", "mark", F.greatest(F.col("length") - F.col("met"), F.lit(0)).cast("int").alias("alone"))
+    # marks in lists have their upper 48 bits
+    parities = profiles.select("_id", F.col("n").cast("int").alias("n"), F.shiftrightunsigned("mark1", 16).alias("mark"), "odd").distinct()
+    vertices = stored(alone.join(parities, ["_id", "n", "mark"]), "vertices")
     edges = tried = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "v long, label long")
 
@@ -275,11 +298,15 @@ def linked_components(docs: DataFrame, counts: np.ndarray, percent: int) -> Data
         n, place, own = (F.col(one + c) for c in ("n", "place", "alone"))
         n2, place2, own2 = (F.col(other + c) for c in ("n", "place", "alone"))
         by_place = (100 + percent) * (F.least(n - place, n2 - place2) + k - 1) >= percent * (n + n2)
-        return by_place & (100 * F.least(n - own, n2 - own2) >= percent * F.greatest(n + own2, n2 + own))
+        odd, odd2 = F.col(one + "odd"), F.col(other + "odd")
+        differing = reduce(add, [F.bit_count(odd[i].bitwiseXOR(odd2[i])) for i in range(PARITIES)])
+        by_parity = (100 + percent) * differing <= (100 - percent) * (n + n2)
+        return by_place & (100 * F.least(n - own, n2 - own2) >= percent * F.greatest(n + own2, n2 + own)) & by_parity
 
     for turn in range(ROUNDS + 1):
-        now = lists.join(labels, lists["_id"] == labels["v"], "left").select("token", "_id", "n", "place", "alone", F.coalesce("label", "_id").alias("part"))
-        open_ = now.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct(F.xxhash64("_id", F.lit(turn)).alias("h"), "_id", "n", "place", "alone", "part")).alias("lead")).where("low <> high")
+        parts = vertices.join(labels, vertices["_id"] == labels["v"], "left").select("_id", "n", "mark", "alone", "odd", F.coalesce("label", "_id").alias("part"))
+        now = found.join(parts, ["_id", "n", "mark"]).select("token", "_id", "n", "place", "alone", "odd", "part")
+        open_ = now.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct(F.xxhash64("_id", F.lit(turn)).alias("h"), "_id", "n", "place", "alone", "odd", "part")).alias("lead")).where("low <> high")
         if turn < ROUNDS:  # each list's leader against the rest
             met = now.join(open_, "token").where(F.col("part") != F.col("lead.part"))
             met = met.where(possible("", "lead.", F.lit(1))).groupBy(F.col("lead._id").alias("a"), F.col("_id").alias("b")).count()
@@ -287,13 +314,13 @@ def linked_components(docs: DataFrame, counts: np.ndarray, percent: int) -> Data
             met = met.groupBy("b").agg(F.max(F.struct("count", "a"))["a"].alias("a")).select("a", "b")
         else:  # whatever still lies in different components
             left = now.join(open_.select("token"), "token")
-            right = left.select("token", *[F.col(c).alias(f"other_{c}") for c in ("_id", "n", "place", "alone", "part")])
-            met = left.join(right, "token").where("part < other_part").withColumn("k", F.least(needed("n"), needed("other_n")))
+            right = left.select("token", *[F.col(c).alias(f"other_{c}") for c in ("_id", "n", "place", "alone", "odd", "part")])
+            met = left.join(right, "token").where("part < other_part").withColumn("k", F.least(needed(F.col("n")), needed(F.col("other_n"))))
             met = met.where(possible("", "other_", F.col("k"))).groupBy(F.col("_id").alias("a"), F.col("other__id").alias("b"), "k").count().where("count >= k").select("a", "b").distinct()
         pairs = durable(met.join(tried, ["a", "b"], "left_anti"))
-        found = durable(verified(pairs, docs, percent))
-        edges, tried = edges.union(found), tried.union(pairs)
-        if not found.isEmpty():
+        linked = durable(verified(pairs, docs, percent))
+        edges, tried = edges.union(linked), tried.union(pairs)
+        if not linked.isEmpty():
             labels = smallest_labels(spark, edges)
     return labels
 
@@ -304,8 +331,8 @@ def near_components(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     plain = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
     profiled = stored(set_profiles(plain), "set-profiles")
     counts = summed_counts(profiled.where("slice IS NOT NULL").select("slice", "counts"))
-    profiles = profiled.where("slice IS NULL").select("_id", "n", "mark1", "mark2")
-    labels = linked_components(plain.where("_id IS NOT NULL"), counts, percent)
+    profiles = profiled.where("slice IS NULL").select("_id", "n", "mark1", "mark2", "odd")
+    labels = linked_components(plain.where("_id IS NOT NULL"), profiles.where("n > 0 AND _id IS NOT NULL"), counts, percent)
     classes = profiles.where("n > 0 AND _id IS NOT NULL").groupBy("n", "mark1", "mark2").agg(F.min("_id").alias("v"))
     named = classes.join(labels, "v", "left").select("n", "mark1", "mark2", F.least("v", F.coalesce("label", "v")).alias("component"))
     component = F.when(F.col("_id").isNotNull(), F.coalesce("component", "_id")).alias("component_id")
