@@ -13,6 +13,9 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nb
 
 _UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 
+_QUOTED = """(?:"[^"]*+"|'[^']*+')"""
+_TAG = rf"""<[^"'>]*+(?:{_QUOTED}[^"'>]*+)*+>"""
+
 
 def unwrap(markup: Column, tag: str = COMMENT_MARKER) -> Column:
     """Remove a wrapper element but keep its content."""
@@ -32,19 +35,21 @@ def canonical_markup(markup: Column) -> Column:
 
     Attributes are brought into alphabetical order tag by tag, volatile attributes
     and task identifiers are dropped, UUIDs are masked, and white space around
-    text is trimmed.
+    text is trimmed.  CDATA sections and comments stay as they are.
     """
-    names = "|".join(VOLATILE_ATTRIBUTES)
-    text = F.regexp_replace(unwrap(markup), rf'\s(?:{names})="[^"]*"', "")
-    text = F.regexp_replace(text, rf"(?s)(<{VOLATILE_ELEMENT}>).*?(</{VOLATILE_ELEMENT}>)", "$1$2")
+    volatile = rf"\A(?:{'|'.join(VOLATILE_ATTRIBUTES)})\s*="
+    text = F.regexp_replace(unwrap(markup), rf"(?s)(<{VOLATILE_ELEMENT}>).*?(</{VOLATILE_ELEMENT}>)", "$1$2")
     text = F.regexp_replace(text, _UUID, "UUID")
-    pieces = F.regexp_extract_all(text, F.lit(r"<[^>]*>|[^<]+"), F.lit(0))
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s)<!\[CDATA\[.*?\]\]>|<!--.*?-->|{_TAG}|[^<]+|<"), F.lit(0))
 
     def piece(p: Column) -> Column:
-        attributes = F.array_sort(F.regexp_extract_all(p, F.lit(r'\s([^\s=>/]+="[^"]*")'), F.lit(1)))
+        attributes = F.regexp_extract_all(p, F.lit(rf"\s([^\s=>/]+\s*=\s*{_QUOTED})"), F.lit(1))
+        kept = F.filter(attributes, lambda a: ~a.rlike(volatile))
+        attributes = F.transform(kept, lambda a: F.regexp_replace(a, r"""\A([^\s=]+)\s*=\s*'([^"']*)'\z""", '$1="$2"'))
         name = F.regexp_extract(p, r"\A<(/?[^\s/>]+)", 1)
         closing = F.when(p.rlike(r"/>\z"), F.lit("/>")).otherwise(F.lit(">"))
-        return F.when(p.startswith("<"), F.concat(F.lit("<"), F.concat_ws(" ", name, attributes), closing)).otherwise(strip(p))
+        tag = F.concat(F.lit("<"), F.concat_ws(" ", name, F.array_sort(attributes)), closing)
+        return F.when(p.startswith("<!"), p).when(p.startswith("<"), tag).otherwise(strip(p))
 
     return F.array_join(F.transform(pieces, piece), "")
 

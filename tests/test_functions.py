@@ -89,6 +89,12 @@ def test_canonical_markup(value):
     assert canonical("<ac:task-uuid>a</ac:task-uuid>") == canonical("<ac:task-uuid>b</ac:task-uuid>")
     assert canonical("<p>a<ac:inline-comment-marker ac:ref='1'>b</ac:inline-comment-marker></p>").startswith("<p>")
     assert canonical("<p>one</p>") != canonical("<p>two</p>")
+    assert canonical("<c><![CDATA[int x = 1;]]></c>") != canonical("<c><![CDATA[int x = 2;]]></c>")
+    assert canonical("<c><![CDATA[a > b <i>]]></c>") == "<c><![CDATA[a > b <i>]]></c>"
+    assert canonical("<p b='2' a=\"1\">x</p>") == canonical('<p a="1" b="2">x</p>') != canonical("<p b='3' a='1'>x</p>")
+    assert canonical('<p a="x>y" b="1">t</p>') != canonical('<p a="x>y" b="2">t</p>')
+    assert canonical("<p ac:local-id='1'>x</p>") == canonical("<p>x</p>")
+    assert canonical('<p a="">x</p>') != canonical("<p>x</p>")
 
 
 def test_unwrap_and_text(value):
