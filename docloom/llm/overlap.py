@@ -281,9 +281,9 @@ def linked_components(docs: DataFrame, profiles: DataFrame, counts: np.ndarray,
     spark = docs.sparkSession
     found = stored(members(docs, counts, percent), "short-lists")
     needed = lambda n: F.greatest(F.lit(1), F.least(F.lit(MOST_MET), F.floor(F.ceil(n * percent / 100) / 8)))
-    # elements of a set that no other set has, as far as its short lists show
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + needed(F.col("n"))
-    alone = found.groupBy("_id", "n", "mark").agg(F.first(length).alias("length"), F.count("*").alias("met"))
+    length = lambda n: n - F.ceil(n * percent / 100) + needed(n)
+    # elements of a set's short lists that no other set has in its own short lists; it may have them further on
+    alone = found.groupBy("_id", "n", "mark").agg(F.first(length(F.col("n"))).alias("length"), F.count("*").alias("met"))
     # a partner has at least percent of the elements, and both meet in as many lists as the smaller one needs
     alone = alone.where(F.col("met") >= needed(F.ceil(F.col("n") * percent / 100)))
     alone = alone.select("_id", "n", "mark", F.greatest(F.col("length") - F.col("met"), F.lit(0)).cast("int").alias("alone"))
@@ -301,7 +301,10 @@ def linked_components(docs: DataFrame, profiles: DataFrame, counts: np.ndarray,
         odd, odd2 = F.col(one + "odd"), F.col(other + "odd")
         differing = reduce(add, [F.bit_count(odd[i].bitwiseXOR(odd2[i])) for i in range(PARITIES)])
         by_parity = (100 + percent) * differing <= (100 - percent) * (n + n2)
-        return by_place & (100 * F.least(n - own, n2 - own2) >= percent * F.greatest(n + own2, n2 + own)) & by_parity
+        # with o common elements, at most n - o lone ones are in this set only; if the other has one of them behind its
+        # short lists, all these come before it: at most n2 - o are not met here, and the others are not alone
+        lone = lambda x, x2, y: (100 + percent) * (F.greatest(x, x2 + length(x) - length(x2)) - y) >= percent * (x + x2)
+        return by_place & lone(n, n2, own) & lone(n2, n, own2) & by_parity
 
     for turn in range(ROUNDS + 1):
         parts = vertices.join(labels, vertices["_id"] == labels["v"], "left").select("_id", "n", "mark", "alone", "odd", F.coalesce("label", "_id").alias("part"))

@@ -104,6 +104,28 @@ def test_components(docs, hot, monkeypatch):
     assert {r[0]: (r[1], r[2]) for r in overlap.near_components(docs).collect()} == components(table(docs))
 
 
+def subset_copies():
+    """Texts with one truncated or extended copy each, at Jaccard similarities from 0.7 to 0.95."""
+    rng, out = random.Random(7), []
+    for n in (12, 40, 104, 300):
+        for percent in (70, 74, 76, 80, 86, 90, 95):
+            words, more = prose(rng, n + 4).split(), prose(rng, max(1, round(n * 100 / percent) - n)).split()
+            at = rng.choice([0, len(words)])
+            out += [" ".join(words), " ".join(words[:at] + more + words[at:])]
+    return out
+
+
+@pytest.mark.parametrize("hot, rounds", [(False, 2), (True, 0)])
+def test_components_of_subset_copies(spark, hot, rounds, monkeypatch):
+    monkeypatch.setattr(overlap, "ROUNDS", rounds)
+    if hot:
+        monkeypatch.setattr(overlap, "hot_buckets", lambda counts: np.where(counts >= 2, 2, 0))
+    docs = spark.createDataFrame(list(enumerate(subset_copies())), "doc_id long, text string")
+    want = components(table(docs))
+    assert 20 <= sum(c != d for d, (_, c) in want.items()) < 28
+    assert {r[0]: (r[1], r[2]) for r in overlap.near_components(docs).collect()} == want
+
+
 def test_divide_skip():
     rng = np.random.default_rng(2)
     query = np.unique(rng.integers(0, 300, 120).astype(np.uint64))
