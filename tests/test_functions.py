@@ -79,6 +79,28 @@ def test_json_coalesce(value):
     assert merged == {"name": "n", "age": 4, "country": "HU", "settings": {"theme": "dark", "language": "en", "notifications": True}, "list": [1], "scalar": 1}
 
 
+@pytest.mark.parametrize("levels", [7, 8, 12, 40])
+def test_json_coalesce_of_deep_dictionaries(value, levels):
+    def deep(leaf, name):
+        for n in range(levels - 1):
+            leaf = {"in": leaf, name: n, "both": name, "empty": {}, "list": [{"{": name}], f"{name} only": {"x": {}}}
+        return leaf
+
+    def merged(t, s):
+        if isinstance(t, dict) and isinstance(s, dict):
+            return {k: merged(t.get(k), s.get(k)) for k in {**t, **s}}
+        return s if t is None else t
+
+    target, source = deep({"a": 1, "none": None, "\"q\\": 1.5}, "target"), deep({"a": 2, "b": 3, "none": "no more"}, "source")
+    assert json.loads(value(N.json_coalesce(F.lit(json.dumps(target)), F.lit(json.dumps(source))))) == merged(target, source)
+
+
+@pytest.mark.parametrize("target, source, merged", [
+    (None, '{"a":1}', '{"a":1}'), ('{"a":1}', None, '{"a":1}'), (None, None, None), ("{}", "{}", "{}"), ("[1]", '{"a":1}', "[1]"), ("null", '{"a":1}', "null"), ('{"a":null}', '{"a":null}', '{"a":null}')])
+def test_json_coalesce_of_other_values(value, target, source, merged):
+    assert value(N.json_coalesce(F.lit(target).cast("string"), F.lit(source).cast("string"))) == merged
+
+
 def test_canonical_markup(value):
     def canonical(text):
         return value(M.canonical_markup(F.lit(text)))
