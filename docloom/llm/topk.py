@@ -76,14 +76,19 @@ def postings(lengths: np.ndarray, weights: np.ndarray) -> list[tuple[np.ndarray
     return out
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, skip: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k highest scores, ties to smaller ids, found by partition."""
-    rest = np.flatnonzero(ids != skip)
-    if len(rest) > k:
-        least = np.partition(scores[rest], len(rest) - k)[len(rest) - k]
+def best_of(scores: np.ndarray, ids: np.ndarray, skip: int, k: int, copies: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest scores, ties to smaller ids, found by partition; equal pairs of id and score count once.
+
+    No id may occur more than ``copies`` times: k pairs then lie among the k * copies best.
+    """
+    rest, wide = np.flatnonzero(ids != skip), k * copies
+    if len(rest) > wide:
+        least = np.partition(scores[rest], len(rest) - wide)[len(rest) - wide]
         rest = rest[scores[rest] >= least]
-    rest = rest[np.lexsort((ids[rest], -scores[rest]))][:k]
-    return ids[rest], scores[rest]
+    rest = rest[np.lexsort((ids[rest], -scores[rest]))]
+    if copies > 1 and len(rest):
+        rest = rest[np.concatenate(([True], (ids[rest[1:]] != ids[rest[:-1]]) | (scores[rest[1:]] != scores[rest[:-1]])))]
+    return ids[rest[:k]], scores[rest[:k]]
 
 
 def accumulated(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
@@ -91,6 +96,7 @@ def accumulated(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame
     for frame in frames:
         for row in frame.itertuples(index=False):
             ids = np.frombuffer(row.c_ids, np.int64)
+            copies = int(np.unique(ids, return_counts=True)[1].max(initial=1))
             lists = postings(np.frombuffer(row.c_lengths, np.int32), np.frombuffer(row.c_weights, np.int64))
             queries, lengths = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.q_lengths, np.int32)
             weights, at, out = np.frombuffer(row.q_weights, np.int64), 0, []
@@ -106,7 +112,7 @@ def accumulated(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame
                         else:
                             scores[have] += posted * weights[at + term]
                 at += length
-                found, value = best_of(scores, ids, query, k)
+                found, value = best_of(scores, ids, query, k, copies)
                 out.append((np.full(len(found), query), found, value))
             yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 

@@ -224,6 +224,19 @@ def test_top_k(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("copies", [2, 6])
+def test_top_k_of_repeated_rows(spark, copies):
+    rng = np.random.default_rng(8)
+    rows = [(i, [int(x) for x in rng.integers(-3, 4, 4)]) for i in range(60)] + [(7, [9, 0, 0, 0]), (7, [9, 0, 0, 1])]
+    vectors = spark.createDataFrame([r for r in rows for _ in range(copies)], "id long, weights array<long>").coalesce(1)
+    got = sorted(map(tuple, topk.exact_top_k(vectors.where("id % 5 = 0"), vectors, candidate_block=40).collect()))
+    want = []
+    for q, w in rows[::5]:
+        pairs = {(-sum(a * b for a, b in zip(w, v)), c) for c, v in rows if c != q} if q % 5 == 0 else ()
+        want += [(q, rank, c, -s) for rank, (s, c) in enumerate(sorted(pairs)[:5], 1)]
+    assert got == sorted(want)
+
+
 def test_quotations(spark):
     rows = [(1, 1, "a", "Hello there\nhow are you"), (1, 2, "b", "> Hello there\n> how are you\nfine"), (1, 3, "a", ">> Hello there\n> fine\nOn Monday x wrote:\n> nothing known\ngood"), (1, 4, "b", None), (2, 1, "a", ""), (None, 5, "a", "loose")]
     found = {(r["conv_id"], r["turn"]): (r["text"], r["reply_to"], r["thread"], r["depth"], r["position"]) for r in quotation.link_quotations(spark.createDataFrame(rows * 2, "conv_id long, turn long, role string, text string")).collect()}
