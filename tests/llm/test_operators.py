@@ -283,3 +283,11 @@ def test_pipeline(spark):
             assert {r["doc_id"] for r in docs.collect()} == {d for d, (_, c) in linked.items() if c == d}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, directory)
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def test_pipeline_drops_subset_copies(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(subset_copies())], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert left == {d for d, (_, c) in components(table(docs)).items() if c == d}
