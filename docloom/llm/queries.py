@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocknames, classifier, overlap, packing, pieces, quotation, secrets, suffixes, topk, toxicity
+from . import blocknames, classifier, mixing, overlap, packing, pieces, quotation, secrets, suffixes, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,6 +122,12 @@ FROM m JOIN links l ON l.conv_id = m.conv_id AND l.turn = m.turn JOIN trees t ON
 """
 
 
+@query
+def op11_source_mixing(spark, d):
+    found = mixing.placements(table(spark, d, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+
+
 @query
 def pipeline(spark, d):
     import corpus_pipeline
