@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocknames, classifier, mixing, overlap, packing, pieces, quotation, secrets, suffixes, topk, toxicity, whitening
+from . import blocknames, classifier, mixing, overlap, packing, periodic, pieces, quotation, secrets, suffixes, topk, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,6 +128,12 @@ def op11_source_mixing(spark, d):
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
 
 
+@query
+def op12_periodic_runs(spark, d):
+    docs = periodic.with_repeats(table(spark, d, "documents"), F.col("doc_id"), F.col("text"))
+    return periodic.run_digests(periodic.find_runs(docs))
+
+
 @query
 def op13_embedding_whitening(spark, d):
     return whitening.whitened(table(spark, d, "embeddings"))
