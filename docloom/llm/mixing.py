@@ -97,7 +97,7 @@ def chosen_blocks(rank: int, block: np.ndarray, words: np.ndarray, copies: int,
     rng = np.random.default_rng([seed, rank])
     order = order[rng.permutation(len(order))]
     taken, skipped, left = [], [], rest
-    for i in order:
+    for i in order if rest > 0 else ():
         if words[i] <= left:
             taken.append(i)
             left -= words[i]
