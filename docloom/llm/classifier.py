@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_hash, held_out, mixed, prefix_polynomial, runs, span_hashes
+from .common import by_hash, held_out, mixed, prefix_polynomial, runs, span_hashes, stored
 
 POSITIVES = 8_000
 UNLABELLED = 16_000
@@ -107,16 +107,32 @@ class Model:
     """Standardisation, weights and bias."""
 
     def __init__(self, good: np.ndarray, mixture: np.ndarray, prior: float):
-        self.mean, self.scale = mixture.mean(0), mixture.std(0) + 1e-3
-        self.weight, self.bias = nonnegative_risk(self.ready(good), self.ready(mixture), prior)
+        """Fit on two matrices, which are standardised in place."""
+        parts = [slice(i, i + 1024) for i in range(0, len(mixture), 1024)]
+        self.mean = mixture.mean(0)
+        self.scale = np.sqrt(sum(((mixture[part] - self.mean) ** 2).sum(0, dtype=float) for part in parts) / len(mixture)).astype(np.float32) + np.float32(1e-3)
+        self.weight, self.bias = nonnegative_risk(self.ready(good, good), self.ready(mixture, mixture), prior)
 
-    def ready(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8)
+    def ready(self, x: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+        out = np.subtract(x, self.mean, out=out)
+        out /= self.scale
+        return np.clip(out, -8, 8, out=out)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.ready(x) @ self.weight + self.bias, -30, 30)))
 
 
+def vectors(rows: DataFrame) -> np.ndarray:
+    """The stored vectors in order of ids, in one array; the fetched table goes as soon as it is copied."""
+    table = rows.select("_id", "x").toArrow().sort_by("_id")
+    out, at = np.empty((table.num_rows, WIDTH), np.float32), 0
+    for batch in table.to_batches(max_chunksize=1024):
+        for x in batch.column("x"):
+            out[at] = np.frombuffer(x.as_buffer(), np.float16)
+            at += 1
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | float:
     """The model, or a constant score if there is nothing to learn from."""
     known = labels.where(~held_out(F.col(doc_id)) & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).alias("_label"))
@@ -131,9 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
 
     # at most ``positives + unlabelled`` ids are broadcast, and as many vectors of 2 kB collected
     chosen = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(good.union(web)), "_id")
-    rows = chosen.select("_id", "_good", vector("_text").alias("x")).toPandas().sort_values(["_id", "_good"])
-    matrix = lambda flag: np.array([np.frombuffer(x, np.float16) for x in rows["x"][rows["_good"] == flag]], np.float32)
-    p, u = matrix(True), matrix(False)
+    rows = stored(chosen.select("_id", "_good", vector("_text").alias("x")), "quality-sample")
+    p, u = vectors(rows.where("_good")), vectors(rows.where("NOT _good"))
     return Model(p, u, prior) if len(p) and len(u) else prior
 
 
