@@ -516,6 +516,13 @@ def volatile_strip(spark, d):
     return snapshot(nodes(spark, d), "pages").select("id", F.md5(M.canonical_markup(F.col("body"))).alias("canonical"))
 
 
+@query
+def content_equality(spark, d):
+    """Whether two versions of a page have the same element tree."""
+    pairs = snapshot(nodes(spark, d), "revisions")
+    return pairs.select("path", "kind", (M.tree_digest(F.col("before")) == M.tree_digest(F.col("after"))).alias("same"))
+
+
 @query
 def unwrap_markers(spark, d):
     return snapshot(nodes(spark, d), "pages").select("id", F.md5(M.unwrap(F.col("body"))).alias("unwrapped"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
-from ..functions.markup import canonical_markup
+from ..functions.markup import tree_digest
 from ..functions.nested import map_coalesce
 from ..functions.text import suffix
 from ..operators.filters import check_status, pages_with_open_comments
@@ -49,8 +49,8 @@ def title_plan(matched: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def content_key(content: Column) -> Column:
-    """Digest of the canonical content, taken where the text is scanned: only the digest is shuffled."""
-    return F.md5(canonical_markup(content))
+    """Digest of the element tree, taken where the text is scanned: only the digest is shuffled."""
+    return tree_digest(content)
 
 
 def detect_changes(matched: DataFrame, state: DataFrame) -> DataFrame:

@@ -123,6 +123,24 @@ SNAPSHOT_SQL = {
         CAST(100 + doc_id % 3 AS BIGINT) AS size FROM nodes
       UNION ALL
       SELECT coalesce(page_id, CAST(500000 + doc_id AS VARCHAR(20))), concat('orphan', CAST(doc_id % 2 AS VARCHAR(20)), '.bin'), 'x', 5 FROM nodes""",
+    # Two versions of a page with the whole original text; what tells them apart follows from the document's number.
+    "revisions": """
+      SELECT path, kind,
+        concat('<h1 id="i" class="c">', path, '</h1><ac:structured-macro ac:name="info" ac:macro-id="1"><ac:parameter ac:name="x">1</ac:parameter><ac:parameter ac:name="y">2</ac:parameter>',
+          '<ac:rich-text-body><p>', body, '</p><p>end</p></ac:rich-text-body></ac:structured-macro><ac:task-uuid>u1</ac:task-uuid><p>7f3c1a52-0000-4000-8000-1234567890ab</p><c><![CDATA[<i>&lt;</i>]]></c> tail') AS before,
+        concat(CASE WHEN kind = 1 THEN '<h1 class=''c''  id=''i''>' WHEN kind = 10 THEN '<h1 id="j" class="c">' ELSE '<h1 id="i" class="c">' END, path,
+          CASE WHEN kind = 2 THEN '</h1><ac:structured-macro ac:macro-id="2" ac:name="info">' ELSE '</h1><ac:structured-macro ac:name="info" ac:macro-id="1">' END,
+          CASE WHEN kind = 3 THEN '' WHEN kind = 11 THEN '<ac:parameter ac:name="x">3</ac:parameter>' ELSE '<ac:parameter ac:name="x">1</ac:parameter>' END,
+          '<ac:parameter ac:name="y">2</ac:parameter><ac:rich-text-body><p>',
+          CASE WHEN kind = 4 THEN concat(' <!-- n -->', body, chr(10)) WHEN kind = 5 THEN concat(body, '<ac:inline-comment-marker ac:ref="r"></ac:inline-comment-marker>')
+               WHEN kind = 6 THEN replace(body, 'e', '&#101;') WHEN kind = 12 THEN concat(body, '!') WHEN kind = 13 THEN concat('end</p><p>', body, '</p><p>') ELSE body END,
+          CASE WHEN kind = 13 THEN '</p></ac:rich-text-body>' ELSE '</p><p>end</p></ac:rich-text-body>' END,
+          CASE WHEN kind = 3 THEN '<ac:parameter ac:name="x">1</ac:parameter>' ELSE '' END, '</ac:structured-macro>',
+          CASE WHEN kind = 7 THEN '<ac:task-uuid>u2</ac:task-uuid>' ELSE '<ac:task-uuid>u1</ac:task-uuid>' END,
+          CASE WHEN kind = 14 THEN '<p>7f3c1a52-0000-4000-8000-1234567890ac</p>' ELSE '<p>7f3c1a52-0000-4000-8000-1234567890ab</p>' END,
+          CASE WHEN kind = 8 THEN '<c>&lt;i&gt;&amp;lt;&lt;/i></c>' WHEN kind = 15 THEN '<c><![CDATA[<i><</i>]]></c>' ELSE '<c><![CDATA[<i>&lt;</i>]]></c>' END,
+          CASE WHEN kind = 16 THEN ' tail<br/>' WHEN kind = 9 THEN concat(chr(10), ' tail ') ELSE ' tail' END) AS after
+      FROM (SELECT path, doc_id % 17 AS kind, concat('x', replace(replace(original, '&', '&amp;'), '<', '&lt;'), 'x') AS body FROM nodes) r""",
     "comments": """
       SELECT coalesce(page_id, CAST(500000 + doc_id AS VARCHAR(20))) AS page_id,
         CASE doc_id % 13 WHEN 0 THEN 'open' WHEN 1 THEN 'reopened' WHEN 2 THEN 'dangling' ELSE 'resolved' END AS resolution_status

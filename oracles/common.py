@@ -195,7 +195,7 @@ CTES |= {f"snap_{name}": statement for name, statement in SNAPSHOT_SQL.items()}
 
 def html_text(x: str) -> str:
     text = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
-    for entity, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    for entity, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")):
         text = f"replace({text}, '{entity}', '{character}')"
     return strip(text)
 

@@ -231,6 +231,7 @@ _STATEMENTS: dict[str, str] = {
     "svg_length_px": """SELECT DISTINCT num || unit AS length, CAST(round_even(CAST(num AS DOUBLE) * CASE unit WHEN '' THEN 1.0::DOUBLE WHEN 'px' THEN 1.0::DOUBLE WHEN 'pt' THEN 96::DOUBLE / 72 WHEN 'in' THEN 96::DOUBLE WHEN 'cm' THEN 96::DOUBLE / 2.54
           WHEN 'mm' THEN 96::DOUBLE / 25.4 WHEN 'pc' THEN 16::DOUBLE WHEN 'em' THEN 16::DOUBLE WHEN 'ex' THEN 8::DOUBLE END, 0) AS INT) AS pixels
         FROM (SELECT CAST(doc_id / 4.0::DOUBLE AS VARCHAR) AS num, unnest(['', 'px', 'pt', 'in', 'cm', 'mm', 'pc', 'em', 'ex', '%', 'zz']) AS unit FROM corpus)""",
+    "content_equality": "SELECT path, doc_id % 17 AS kind, doc_id % 17 < 10 AS same FROM nodes",
     "volatile_strip": f"""SELECT id, md5('<div class="doc" id="' || regexp_extract(body, 'id="(d[0-9]+)"', 1) || '"><p>' || {strip("regexp_replace(body, '<[^>]*>', '', 'g')")} || '</p></div>') AS canonical FROM snap_pages""",
     "unwrap_markers": "SELECT id, md5(replace(replace(body, '<ac:inline-comment-marker ac:ref=\"r\">', ''), '</ac:inline-comment-marker>', '')) AS unwrapped FROM snap_pages",
     "html_text": f"SELECT path, md5({html_text('html')}) AS text FROM html",

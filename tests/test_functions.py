@@ -139,3 +139,75 @@ def test_display_width(value):
 def test_relative_path(value):
     assert value(T.relative_path(F.lit("docs/en/a"), F.lit("docs/fr/b.md"))) == "../../fr/b.md"
     assert value(T.relative_path(F.lit("docs"), F.lit("docs/a/b.png"))) == "a/b.png"
+
+
+MACRO = '<ac:structured-macro ac:name="info" ac:macro-id="{id}">{children}</ac:structured-macro>'
+PARAMETERS = ('<ac:parameter ac:name="a">1</ac:parameter>', '<ac:parameter ac:name="b">2</ac:parameter>', "<ac:rich-text-body><p>x</p><p>y</p></ac:rich-text-body>")
+
+
+def macro(*children, id="m"):
+    return MACRO.format(id=id, children="".join(children))
+
+
+@pytest.mark.parametrize("one, other", [
+    ('<p b="2" a="1">x</p>', "<p a='1' b='2'> x </p>"),
+    ('<p ac:macro-id="1">x</p>', "<p>x</p>"),
+    ("<ac:task-uuid>a</ac:task-uuid> z", "<ac:task-uuid>b<i/></ac:task-uuid>z"),
+    ("<p>a<ac:inline-comment-marker ac:ref='1'>b</ac:inline-comment-marker> c</p>", "<p>ab c</p>"),
+    (macro(*PARAMETERS), macro(*PARAMETERS[::-1], id="n")),
+    (macro(macro(*PARAMETERS), *PARAMETERS), macro(*PARAMETERS[1:], PARAMETERS[0], macro(PARAMETERS[2], *PARAMETERS[:2]))),
+    ("<p>it&#39;s &#x1F609; &eacute;&nbsp;&lt;</p>", "<p>it's \U0001f609 é &lt;</p>"),
+    ('<p a="&quot;x&quot;">t</p>', "<p a='\"x\"'>t</p>"),
+    ("<c><![CDATA[a < b]]></c>", "<c>a &lt; b</c>"),
+    ("<p>one<!-- note --></p>", "<?xml version='1.0'?><p>one</p>"),
+    ("<ul>\n  <li>a</li>\n  <li/>\n</ul>", "<ul><li>a</li><li></li></ul>"),
+])
+def test_equal_trees(value, one, other):
+    assert value(M.tree_digest(F.lit(one))) == value(M.tree_digest(F.lit(other)))
+
+
+@pytest.mark.parametrize("one, other", [
+    ("<p>one</p>", "<p>two</p>"),
+    ('<p id="1">x</p>', '<p id="2">x</p>'),
+    ('<p a="">x</p>', "<p>x</p>"),
+    ("<p>a</p><p>b</p>", "<p>b</p><p>a</p>"),
+    ("<p>a<b/>c</p>", "<p>ac<b/></p>"),
+    ("<p><b/>c</p>", "<p><b/></p>c"),
+    ("<p><b>c</b></p>", "<p><b/>c</p>"),
+    (macro(*PARAMETERS), macro(*PARAMETERS[:2])),
+    (macro(*PARAMETERS), macro(*PARAMETERS, PARAMETERS[0])),
+    (macro(*PARAMETERS), macro(PARAMETERS[0].replace("1", "3"), *PARAMETERS[1:])),
+    (macro(PARAMETERS[2]), macro("<ac:rich-text-body><p>y</p><p>x</p></ac:rich-text-body>")),
+    (macro(*PARAMETERS, "tail"), macro(*PARAMETERS)),
+    ("<p>7f3c1a52-0000-4000-8000-1234567890ab</p>", "<p>7f3c1a52-0000-4000-8000-1234567890ac</p>"),
+    ("<c><![CDATA[<ac:task-uuid>x</ac:task-uuid>]]></c>", "<c><![CDATA[<ac:task-uuid>y</ac:task-uuid>]]></c>"),
+    ("<c><![CDATA[&lt;]]></c>", "<c><![CDATA[<]]></c>"),
+    ("<c><![CDATA[<!-- a -->]]></c>", "<c><![CDATA[<!-- b -->]]></c>"),
+    ("<p>&amp;lt;</p>", "<p>&lt;</p>"),
+    ("<p>open", "<p>open</p>"),
+    ("<p>shut</p></p>", "<p>shut</p>"),
+    ('<p a="x|y">t</p>', '<p a="x">y|t</p>'),
+])
+def test_different_trees(value, one, other):
+    assert value(M.tree_digest(F.lit(one))) != value(M.tree_digest(F.lit(other)))
+
+
+def test_tree_of_many_elements(value):
+    deep = "<i>" * 300 + "x" + "</i>" * 300
+    wide = "".join(f"<p>{n}</p>" for n in range(3000))
+    assert value(M.tree_digest(F.lit(deep))) != value(M.tree_digest(F.lit(deep.replace("x", "y"))))
+    assert value(M.tree_digest(F.lit(wide))) != value(M.tree_digest(F.lit(wide.replace("<p>2999", "<p>2998"))))
+    assert value(M.tree_digest(F.lit(None).cast("string"))) is None and value(M.tree_digest(F.lit(""))) == value(M.tree_digest(F.lit(" ")))
+
+
+def test_canonical_markup_keeps_content(value):
+    def canonical(text):
+        return value(M.canonical_markup(F.lit(text)))
+
+    assert canonical("<p>id 7f3c1a52-0000-4000-8000-1234567890ab</p>").endswith("90ab</p>")
+    assert canonical("<c><![CDATA[<ac:task-uuid>x</ac:task-uuid>]]></c>") == "<c><![CDATA[<ac:task-uuid>x</ac:task-uuid>]]></c>"
+
+
+def test_entities(value):
+    assert value(M.decoded(F.lit("&lt;&#39;&#x20AC;&euro;&apos;&bogus;&#xD800;&#99999999;&amp;amp; & &"))) == "<'€€'&bogus;&#xD800;&#99999999;&amp; & &"
+    assert value(M.html_text(F.lit("<p>&copy;&nbsp;2024 &#8364;</p>"))) == "©\u00a02024 €"
