@@ -21,7 +21,7 @@ from ..plans import reconcile as RC
 from ..plans import reorder as RO
 from ..session import computed
 from ..sources import corpus as SC
-from ..sources.derived import corpus, read_table, snapshot
+from ..sources.derived import corpus, fronted, read_table, snapshot
 from ..streaming import incremental as INC
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,13 @@ def nodes(spark, d):
     })
 
 
+@shared
+def fronted_scan(spark, d):
+    """Documents whose front-matter has every supported form, scanned."""
+    docs = fronted(nodes(spark, d))
+    return MD.scan(docs.select("doc_id", "path", F.concat("front", F.lit("body "), "path").alias("text")))
+
+
 def node_id(column="page_id"):
     return F.coalesce(F.col(column), (F.col("doc_id") + 500000).cast("string"))
 
@@ -248,6 +255,35 @@ def document_properties(spark, d):
     return MD.document_properties(scanned(spark, d))
 
 
+@query
+def frontmatter_tree(spark, d):
+    """Values at any depth of the front-matter of every document."""
+    return MD.frontmatter_kv(fronted_scan(spark, d)).select("path", "key", "value")
+
+
+@query
+def frontmatter_errors(spark, d):
+    found = fronted_scan(spark, d)
+    return found.select("path", F.col("front_error").alias("error"), F.size("entries").alias("entries"), "body").where("error IS NOT NULL")
+
+
+@query
+def frontmatter_properties(spark, d):
+    """Typed properties; nested ones as JSON."""
+    found = MD.properties(fronted_scan(spark, d))
+    return found.select(
+        "path", "fm_title", F.array_join("tags", "|").alias("tags"), "synchronized", "properties_json", "start_line", "body", "layout_alignment",
+        "layout_image_alignment", "layout_max_width", "layout_table_width", "layout_table_display_mode")
+
+
+@query
+def merge_nested_properties(spark, d):
+    """Document properties over global ones, dictionaries merged at every level."""
+    defaults = {"theme": {"color": "none", "font": {"size": 12}}, "a": {"b": {"d": 4}}, "l": "text"}
+    merged = RC.merge_global_properties(MD.properties(fronted_scan(spark, d)), defaults)
+    return merged.select("path", F.explode("merged").alias("key", "value"))
+
+
 @query
 def start_line(spark, d):
     return scanned(spark, d).select("path", "start_line")

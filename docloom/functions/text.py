@@ -16,6 +16,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
 
 
+def unified_lines(text: Column) -> Column:
+    """Text whose lines all end in a line feed alone."""
+    return F.when(text.contains("\r"), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text)
+
+
 def rstrip(text: Column) -> Column:
     # The look-behind keeps the scan linear: an attempt starts only where white space starts.
     return F.regexp_replace(text, rf"(?<![{SPACE}])[{SPACE}]++\z", "")

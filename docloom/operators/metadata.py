@@ -8,17 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lookups import BLANK, SPACE
-from ..functions.text import path_digest, stem, strip
+from ..functions.frontmatter import FALSE_WORDS, TRUE_WORDS, front_tree
+from ..functions.lookups import SPACE
+from ..functions.text import path_digest, stem, strip, unified_lines
 from ..session import computed
 
 FRONT = r"(?sm)\A---\n(.+?)^---(?:\n|\z)"
 FRONT_COMMENT = r"(?sm)\A<!--\n(.+?)^-->(?:\n|\z)"
 
-# A top-level key with the indented or list lines that belong to it.
-_ENTRY = r"(?m)^[A-Za-z_][\w-]*[ \t]*:(?:[ \t][^\n]*+|(?=\n|\z))(?:\n[ \t-][^\n]*+)*+"
-_NESTED = r"(?m)^[ \t]+[A-Za-z_][\w-]*[ \t]*:[ \t][^\n]*+"
-_LIST_ITEM = r"(?m)^[ \t]*-[ \t]+([^\n]*)"
+# A line with a key at the left margin.
+_ENTRY = r"""(?m)^(?:[A-Za-z_][\w-]*|"(?:[^"\\\n]|\\.)*+"|'[^'\n]*+')[ \t]*:(?:[ \t]|$)"""
 
 
 def directive_pattern(name: str, value: str, prefix: str) -> str:
@@ -84,59 +83,20 @@ def start_line(inner_lines: Column) -> Column:
     return F.coalesce(inner_lines + 3, F.lit(1))
 
 
-def _unquoted(value: Column) -> Column:
-    text = F.regexp_replace(value, rf"\A[{BLANK}]+|(?<![{BLANK}])[{BLANK}]++\z", "")
-    return F.regexp_replace(text, "\\A\"(.*)\"\\z|\\A'(.*)'\\z", "$1$2")
-
-
-def _bracketed(value: Column) -> Column:
-    inner = F.regexp_replace(value, r"\A\[|\]\z", "")
-    return F.transform(F.split(inner, ","), _unquoted)
-
-
 def frontmatter_entries(block: Column) -> Column:
-    """``ARRAY<STRUCT<key, value>>`` of a front-matter block.
-
-    Lists repeat their key, nested dictionaries (one level) use dotted keys.
-    """
-    entry_type = "array<struct<key:string,value:string>>"
-
-    def pair(key: Column, value: Column) -> Column:
-        return F.struct(key.alias("key"), value.alias("value"))
-
-    def flat_entry(e: Column) -> Column:
-        key = F.regexp_extract(e, r"\A([\w-]+)", 1)
-        value = _unquoted(F.regexp_extract(e, r"\A[\w-]+[ \t]*:[ \t]*([^\n]*)", 1))
-        items = F.regexp_extract_all(e, F.lit(_LIST_ITEM), F.lit(1))
-        nested = F.regexp_extract_all(e, F.lit(_NESTED), F.lit(0))
-        return (
-            F.when(value.rlike(r"\A\[.*\]\z"), F.transform(_bracketed(value), lambda v: pair(key, v)))
-            .when(value != "", F.array(pair(key, value)))
-            .when(F.size(items) > 0, F.transform(items, lambda v: pair(key, _unquoted(v))))
-            .otherwise(F.transform(nested, lambda n: pair(
-                F.concat(key, F.lit("."), F.regexp_extract(n, r"([\w-]+)[ \t]*:", 1)),
-                _unquoted(F.regexp_extract(n, r":[ \t]+(.*)\z", 1)))))
-        )
-
-    def json_entry(key: Column, value: Column) -> Column:
-        return (
-            F.when(value.startswith("["), F.transform(F.from_json(value, "array<string>"), lambda v: pair(key, v)))
-            .when(value.startswith("{"), F.transform(
-                F.map_entries(F.from_json(value, "map<string,string>")),
-                lambda n: pair(F.concat(key, F.lit("."), n["key"]), n["value"])))
-            .otherwise(F.array(pair(key, value)))
-        )
-
-    flat = F.flatten(F.transform(F.regexp_extract_all(block, F.lit(_ENTRY), F.lit(0)), flat_entry))
-    json = F.flatten(F.transform(
-        F.map_entries(F.from_json(block, "map<string,string>")), lambda e: json_entry(e["key"], e["value"])))
-    return F.when(strip(block).startswith("{"), json.cast(entry_type)).otherwise(flat.cast(entry_type))
+    """``ARRAY<STRUCT<key, value, kind>>`` of a front-matter block: lists repeat their key, nested dictionaries use dotted keys."""
+    return front_tree(block)["entries"]
 
 
 def scan(documents: DataFrame, prefix: str = "") -> DataFrame:
-    """Directives and front-matter of every document; ``body`` is the text that remains."""
-    parsed = frontmatter(directives(documents, prefix))
-    return computed(parsed, {"entries": frontmatter_entries(F.col("block")), "start_line": start_line(F.col("inner_lines"))})
+    """Directives and front-matter of every document; ``body`` is the text that remains.
+
+    Lines may end in CR LF or CR.  ``front_error`` tells what of the front-matter was not understood; it then has no ``entries``.
+    """
+    unified = documents.withColumn("text", unified_lines(F.col("text"))) if "text" in documents.columns else documents
+    parsed = computed(frontmatter(directives(unified, prefix)), {"_front": front_tree(F.col("block")), "start_line": start_line(F.col("inner_lines"))})
+    columns = [c for c in parsed.columns if c != "_front"]
+    return parsed.select(*columns, F.col("_front.entries").alias("entries"), F.col("_front.json").alias("front_json"), F.col("_front.error").alias("front_error"))
 
 
 def frontmatter_kv(scanned: DataFrame) -> DataFrame:
@@ -150,28 +110,38 @@ def _values(key: str) -> Column:
 
 
 def _value(key: str) -> Column:
-    """The last value wins, as in a dictionary; an explicit null is no value."""
-    last = f"try_element_at(transform(filter(entries, e -> e.key = '{key}'), e -> e.value), -1)"
-    return F.expr(f"CASE WHEN {last} NOT IN ('', 'null', '~') THEN {last} END")
+    """The last value wins, as in a dictionary; a null or an empty text is no value."""
+    return F.expr(f"nullif(try_element_at(transform(filter(entries, e -> e.key = '{key}'), e -> e.value), -1), '')")
+
+
+def _truth(value: Column) -> Column:
+    return F.when(F.lower(value).isin(*TRUE_WORDS), True).when(F.lower(value).isin(*FALSE_WORDS), False)
 
 
 def properties(scanned: DataFrame, prefix: str = "") -> DataFrame:
-    """Typed document properties: directives first, then prefixed keys, then plain ones."""
+    """Typed document properties: directives first, then prefixed keys, then plain ones.
+
+    ``tags`` is null without that key and empty for an empty list.  Values below ``properties`` that are no
+    texts are JSON texts in the map ``properties``; ``properties_json`` holds all of them.
+    """
     alias = prefix + "_" if prefix else "alias_"
-    tags = _values("tags")
-    nested = F.filter("entries", lambda e: e["key"].startswith("properties."))
-    props = F.map_from_entries(F.transform(nested, lambda e: F.struct(F.substring_index(e["key"], ".", -1), e["value"])))
+    tags = F.filter(_values("tags"), lambda t: t.isNotNull())
+    no_tags = F.exists("entries", lambda e: (e["key"] == "tags") & (e["kind"] == "empty list"))
+    own = F.get_json_object("front_json", "$.properties")
     return computed(scanned, {
         "page_id": F.coalesce("d_page_id", _value(alias + "page_id"), _value("page_id")),
         "space_key": F.coalesce("d_space_key", _value(alias + "space_key"), _value("space_key")),
         "generated_by": F.coalesce("d_generated_by", _value("generated_by")),
         "fm_title": _value("title"),
-        "tags": F.when(F.size(tags) > 0, tags),
-        "synchronized": _value("synchronized").try_cast("boolean"),
-        "properties": F.when(F.size(nested) > 0, props),
+        "tags": F.when((F.size(tags) > 0) | no_tags, tags),
+        "synchronized": _truth(_value("synchronized")),
+        "properties": F.from_json(own, "map<string,string>"),
+        "properties_json": F.when(own.startswith("{"), own),
         "layout_alignment": _value("layout.alignment"),
-        "layout_image_alignment": _value("layout.image_alignment"),
-        "layout_max_width": _value("layout.max_width").try_cast("int"),
+        "layout_image_alignment": _value("layout.image.alignment"),
+        "layout_max_width": _value("layout.image.max_width").try_cast("int"),
+        "layout_table_width": _value("layout.table.width").try_cast("int"),
+        "layout_table_display_mode": _value("layout.table.display_mode"),
     })
 
 
@@ -204,11 +174,15 @@ def banner(generated_by: Column, template: str | None, path: Column, directory:
 
 def layout(props: DataFrame, defaults: dict) -> DataFrame:
     """Document layout over the global defaults, field by field; images fall back to the block alignment, then centre."""
-    alignment = F.coalesce("layout_alignment", F.lit(defaults.get("alignment")))
-    image = F.coalesce("layout_image_alignment", F.lit(defaults.get("image_alignment")))
+    def field(name: str, kind: str = "string") -> Column:
+        return F.coalesce(F.col("layout_" + name), F.lit(defaults.get(name)).cast(kind))
+
+    alignment = field("alignment")
     return props.select(
         "path",
         alignment.alias("alignment"),
-        F.coalesce(image, alignment, F.lit("center")).alias("image_alignment"),
-        F.coalesce("layout_max_width", F.lit(defaults.get("max_width")).cast("int")).alias("max_width"),
+        F.coalesce(field("image_alignment"), alignment, F.lit("center")).alias("image_alignment"),
+        field("max_width", "int").alias("max_width"),
+        field("table_width", "int").alias("table_width"),
+        F.coalesce(field("table_display_mode"), F.lit("responsive")).alias("table_display_mode"),
     )

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions.markup import tree_digest
-from ..functions.nested import map_coalesce
+from ..functions.nested import json_coalesce
 from ..functions.text import suffix
 from ..operators.filters import check_status, pages_with_open_comments
 from ..operators.resolve import match_pages
@@ -138,12 +140,15 @@ def property_diff(desired: DataFrame, current: DataFrame, keep_existing: bool =
     return planned.select("page_id", "key", "action", F.when(F.col("new"), F.col("value")).alias("value"), version.alias("new_version"))
 
 
-def merge_global_properties(docs: DataFrame, global_properties: dict[str, str]) -> DataFrame:
-    """Document properties over global ones; NULL when there are neither."""
+def merge_global_properties(docs: DataFrame, global_properties: dict) -> DataFrame:
+    """Document properties over global ones, dictionaries merged at every level; NULL when there are neither.
+
+    Values that are no texts are JSON texts in ``merged``.
+    """
     if not global_properties:
         return docs.withColumn("merged", F.col("properties"))
-    defaults = F.create_map(*[F.lit(x) for pair in sorted(global_properties.items()) for x in pair])
-    return docs.withColumn("merged", map_coalesce(F.col("properties"), defaults))
+    merged = json_coalesce(F.coalesce(F.col("properties_json"), F.lit("{}")), F.lit(json.dumps(global_properties)))
+    return docs.withColumn("merged", F.from_json(merged, "map<string,string>"))
 
 
 def property_scope(docs: DataFrame, current: DataFrame, state: DataFrame, tag_key: str) -> DataFrame:

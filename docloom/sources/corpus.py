@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import base_name, parent_dir
+from ..functions.frontmatter import front_tree
+from ..functions.text import base_name, parent_dir, unified_lines
 
 
 def with_location(documents: DataFrame) -> DataFrame:
@@ -48,12 +51,12 @@ def _relative(column: str, root: str) -> Column:
     return F.substring(bare, len(root.rstrip("/")) + 2, 1 << 30)
 
 
-def load_properties(spark: SparkSession, file: str) -> dict[str, str]:
-    """Global properties: a small JSON dictionary, given to operators as literals."""
-    rows = spark.read.text(file, wholetext=True).select(F.from_json("value", "map<string,string>").alias("properties")).take(1)
-    if not rows or rows[0].properties is None:
-        raise ValueError("expected: a dictionary of properties")
-    return rows[0].properties
+def load_properties(spark: SparkSession, file: str) -> dict:
+    """Global properties: a small dictionary in JSON or YAML, given to operators as literals; single values are texts, nested ones keep their types."""
+    rows = spark.read.text(file, wholetext=True).select(front_tree(unified_lines(F.col("value"))).alias("tree")).select("tree.json", "tree.error").take(1)
+    if not rows or rows[0]["error"] is not None or not (rows[0]["json"] or "").startswith("{"):
+        raise ValueError("expected: a dictionary of properties" + (f" ({rows[0]['error']})" if rows and rows[0]["error"] else ""))
+    return {key: value if isinstance(value, (dict, list, str)) or value is None else json.dumps(value) for key, value in json.loads(rows[0]["json"]).items()}
 
 
 def output_path(path: Column, ending: str) -> Column:

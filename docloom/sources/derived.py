@@ -90,6 +90,20 @@ FROM n
 """
 
 
+# Documents with the whole original text behind front-matter of eight kinds, picked by the document's number.
+FRONTED_SQL = r"""
+SELECT doc_id, path, original, lang, doc_id % 8 AS kind, CASE doc_id % 8
+    WHEN 0 THEN concat('---', chr(13), chr(10), 'title: "A # ', CAST(doc_id AS VARCHAR(20)), '" # comment', chr(13), chr(10), 'tags: []', chr(13), chr(10), 'synchronized: off', chr(13), chr(10), '---', chr(13), chr(10))
+    WHEN 1 THEN concat_ws(chr(10), '---', '# layout only', 'layout:', '  image:', '    alignment: left', concat('    max_width: ', CAST(doc_id AS VARCHAR(20))), '  table: {width: 70, display_mode: "fixed"}', '  alignment: right', '---', '')
+    WHEN 2 THEN concat_ws(chr(10), '---', 'properties:', '  theme:', concat('    color: c', CAST(doc_id % 5 AS VARCHAR(20))), '    levels: [1, 2.5, two]', concat('  "quoted: key": ', chr(39), 'it', chr(39), chr(39), 's', chr(39)), '  flag: yes', '---', '')
+    WHEN 3 THEN concat_ws(chr(10), '---', 'title: >-', '  Long', concat('  title ', CAST(doc_id AS VARCHAR(20))), '', '  end', 'tags:', concat('- ', chr(39), 'a, b', chr(39)), concat('- ', lang, ' # x'), '- c', '  d', '---', '')
+    WHEN 4 THEN concat_ws(chr(10), '<!--', concat('title: T', CAST(doc_id AS VARCHAR(20))), 'tags: ["x, y", z]', 'synchronized: ~', '-->', '')
+    WHEN 5 THEN concat_ws(chr(10), '---', 'tags: [a]', concat('title: &anchor x', CAST(doc_id AS VARCHAR(20))), '---', '')
+    WHEN 6 THEN concat_ws(chr(10), '---', concat('{"title": "J", "properties": {"a": {"b": {"c": ', CAST(doc_id AS VARCHAR(20)), '}}, "l": [true, null]}, "tags": []}'), '---', '')
+    ELSE '' END AS front
+FROM nodes"""
+
+
 # The published side, derived row by row from the indexed documents (view ``nodes``).
 # One page in ten is unknown to the source, so its document has to be created.
 SNAPSHOT_SQL = {
@@ -169,6 +183,11 @@ def corpus(spark: SparkSession, directory: str) -> DataFrame:
     return spark.sql(_with_arguments(CORPUS_SQL, "documents"), documents=documents)
 
 
+def fronted(nodes: DataFrame) -> DataFrame:
+    """Documents behind front-matter of many forms: ``(doc_id, path, original, lang, kind, front)``."""
+    return nodes.sparkSession.sql(_with_arguments(FRONTED_SQL, "nodes"), nodes=nodes)
+
+
 def snapshot(nodes: DataFrame, name: str) -> DataFrame:
     """One table of the published side."""
     return nodes.sparkSession.sql(_with_arguments(SNAPSHOT_SQL[name], "nodes"), nodes=nodes)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 from docloom.functions.lookups import SPACE
-from docloom.sources.derived import CORPUS_SQL, SNAPSHOT_SQL
+from docloom.sources.derived import CORPUS_SQL, FRONTED_SQL, SNAPSHOT_SQL
 
 S = f"[{SPACE}]"
 OPTIONS = '{"heading_anchors": true}'
@@ -139,6 +139,7 @@ CTES: dict[str, str] = {
     "nodes": f"""SELECT * REPLACE (coalesce(synchronized, TRUE) AS synchronized), coalesce(title, {stem('name')} || ' [' || {md5_digest('path')} || ']') AS full_title,
         'S-' || coalesce(space_key, 'HOME') AS space_id, md5('{OPTIONS}' || chr(10) || text) AS digest,
         coalesce(page_id, CAST(500000 + doc_id AS VARCHAR)) AS node_id FROM titled""",
+    "fronted": FRONTED_SQL,
     "pindex": f"""SELECT path, coalesce(page_id, {md5_digest('path')}) AS page_id, coalesce(space_key, 'HOME') AS space_key, coalesce(title, '') AS title,
         coalesce(synchronized, TRUE) AS synchronized FROM titled""",
     # prose: fenced lines blank, inline code removed

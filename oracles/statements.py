@@ -162,6 +162,24 @@ _STATEMENTS: dict[str, str] = {
     "frontmatter_block": "SELECT path, block, CAST(length(block) - length(replace(block, chr(10), '')) AS INT) AS inner_lines, md5(body) AS body FROM scan",
     "frontmatter_kv": "SELECT path, key, value FROM kv",
     "document_properties": "SELECT path, page_id, space_key, generated_by, fm_title, synchronized, CAST(coalesce(length(block) - length(replace(block, chr(10), '')) + 3, 1) AS INT) AS start_line FROM props",
+    "frontmatter_tree": """SELECT path, e.k AS key, replace(replace(replace(e.v, '%id', CAST(doc_id AS VARCHAR)), '%five', CAST(doc_id % 5 AS VARCHAR)), '%lang', lang) AS value FROM fronted JOIN (VALUES
+          (0, 'title', 'A # %id'), (0, 'tags', NULL), (0, 'synchronized', 'off'),
+          (1, 'layout.image.alignment', 'left'), (1, 'layout.image.max_width', '%id'), (1, 'layout.table.width', '70'), (1, 'layout.table.display_mode', 'fixed'), (1, 'layout.alignment', 'right'),
+          (2, 'properties.theme.color', 'c%five'), (2, 'properties.theme.levels', '1'), (2, 'properties.theme.levels', '2.5'), (2, 'properties.theme.levels', 'two'), (2, 'properties.quoted: key', 'it''s'), (2, 'properties.flag', 'yes'),
+          (3, 'title', 'Long title %id' || chr(10) || 'end'), (3, 'tags', 'a, b'), (3, 'tags', '%lang'), (3, 'tags', 'c d'),
+          (4, 'title', 'T%id'), (4, 'tags', 'x, y'), (4, 'tags', 'z'), (4, 'synchronized', NULL),
+          (6, 'title', 'J'), (6, 'properties.a.b.c', '%id'), (6, 'properties.l', 'true'), (6, 'properties.l', NULL), (6, 'tags', NULL)) AS e(kind, k, v) ON e.kind = fronted.kind""",
+    "frontmatter_errors": "SELECT path, 'not understood: title: &anchor x' || doc_id AS error, 0 AS entries, 'body ' || path AS body FROM fronted WHERE kind = 5",
+    "frontmatter_properties": """SELECT path, CASE kind WHEN 0 THEN 'A # ' || doc_id WHEN 3 THEN 'Long title ' || doc_id || chr(10) || 'end' WHEN 4 THEN 'T' || doc_id WHEN 6 THEN 'J' END AS fm_title,
+        CASE kind WHEN 0 THEN '' WHEN 3 THEN 'a, b|' || lang || '|c d' WHEN 4 THEN 'x, y|z' WHEN 6 THEN '' END AS tags, CASE WHEN kind = 0 THEN FALSE END AS synchronized,
+        CASE kind WHEN 2 THEN '{"theme":{"color":"c' || doc_id % 5 || '","levels":[1,2.5,"two"]},"quoted: key":"it''s","flag":true}' WHEN 6 THEN '{"a":{"b":{"c":' || doc_id || '}},"l":[true,null]}' END AS properties_json,
+        CAST(CASE kind WHEN 0 THEN 6 WHEN 1 THEN 10 WHEN 2 THEN 9 WHEN 3 THEN 13 WHEN 4 THEN 6 WHEN 5 THEN 5 WHEN 6 THEN 4 ELSE 1 END AS INT) AS start_line, 'body ' || path AS body,
+        CASE WHEN kind = 1 THEN 'right' END AS layout_alignment, CASE WHEN kind = 1 THEN 'left' END AS layout_image_alignment, CAST(CASE WHEN kind = 1 THEN doc_id END AS INT) AS layout_max_width,
+        CASE WHEN kind = 1 THEN 70 END AS layout_table_width, CASE WHEN kind = 1 THEN 'fixed' END AS layout_table_display_mode FROM fronted""",
+    "merge_nested_properties": """SELECT path, unnest(['theme', 'a', 'l', 'quoted: key', 'flag']) AS key, unnest([
+          CASE WHEN kind = 2 THEN '{"color":"c' || doc_id % 5 || '","font":{"size":12},"levels":[1,2.5,"two"]}' ELSE '{"color":"none","font":{"size":12}}' END,
+          CASE WHEN kind = 6 THEN '{"b":{"c":' || doc_id || ',"d":4}}' ELSE '{"b":{"d":4}}' END, CASE WHEN kind = 6 THEN '[true,null]' ELSE 'text' END, 'it''s', 'true']) AS value FROM fronted WHERE kind = 2
+        UNION ALL SELECT path, unnest(['theme', 'a', 'l']), unnest(['{"color":"none","font":{"size":12}}', CASE WHEN kind = 6 THEN '{"b":{"c":' || doc_id || ',"d":4}}' ELSE '{"b":{"d":4}}' END, CASE WHEN kind = 6 THEN '[true,null]' ELSE 'text' END]) FROM fronted WHERE kind <> 2""",
     "start_line": "SELECT path, CAST(CASE WHEN block IS NULL THEN 1 ELSE len(string_split(block, chr(10))) + 2 END AS INT) AS start_line FROM scan",
     "line_numbers": r"""SELECT m.path, CAST(m.n + coalesce(len(string_split(s.block, chr(10))) + 1, 0) AS INT) AS line_no, line,
         NOT fenced AND line <> '' AND (NOT (line LIKE '!!! %' OR line LIKE '===%' OR line LIKE '---%' OR line LIKE '%#' OR (line LIKE '$$%' AND line LIKE '%$$') OR line LIKE '|%' OR line LIKE '%|' OR line LIKE '<%' OR line LIKE '%>')
@@ -176,7 +194,7 @@ _STATEMENTS: dict[str, str] = {
         FROM props p LEFT JOIN uniq u ON u.path = p.path LEFT JOIN (
           SELECT b.path, string_agg(b.line, chr(10) ORDER BY b.n) AS rest FROM before b JOIN (SELECT path, min(n) AS n FROM found_heads GROUP BY path) f ON f.path = b.path
           JOIN before h ON h.path = f.path AND h.n = f.n WHERE b.n <> f.n AND NOT (h.kind = 'U' AND b.n = f.n - 1) GROUP BY b.path) l ON l.path = p.path""",
-    "layout_merge": "SELECT path, k_align AS alignment, coalesce(k_align, 'center') AS image_alignment, 800 AS max_width FROM props",
+    "layout_merge": "SELECT path, k_align AS alignment, coalesce(k_align, 'center') AS image_alignment, 800 AS max_width, CAST(NULL AS INT) AS table_width, 'responsive' AS table_display_mode FROM props",
     "fence_intervals": "SELECT path, CAST(first_n AS INT) AS start_line, CAST(last_n AS INT) AS end_line, marker, lang, closed FROM fblocks",
     "headings": "SELECT path, pos, level, text FROM heads",
     "html_headings": HTML_HEADS,
