@@ -76,7 +76,7 @@ RULE_LINES = """SELECT base_dir, unnest(rules) AS pattern, CAST(generate_subscri
   FROM src GROUP BY lang, source UNION ALL SELECT '', ['**/src1?/doc*.md', 'docs/*/src3/', '!docs/de/src3/', 'Doc?1.md'] WHERE (SELECT count(*) FROM src) > 0)"""
 COMPILED = rf"""SELECT base_dir, line_no, pattern LIKE '!%' AS negated, pattern LIKE '%/' AS dir_only,
   concat(CASE WHEN rtrim(bare, '/') LIKE '%/%' THEN '^' ELSE '^(?:.+/)?' END,
-    replace(replace(replace(replace(regexp_replace(rtrim(bare, '/'), '\.', '\\.', 'g'), '**/', chr(1)), '*', '[^/]*'), '?', '[^/]'), chr(1), '(?:.+/)?'),
+    replace(replace(replace(replace(replace(replace(regexp_replace(rtrim(bare, '/'), '\.', '\\.', 'g'), '**/', chr(1)), '/*/', '/' || chr(2) || '/'), '*', '[^/]*'), '?', '[^/]'), chr(1), '(?:.+/)?'), chr(2), '[^/]+'),
     CASE WHEN bare LIKE '%/' THEN '/.*$' ELSE '(?:/.*)?$' END) AS regex
   FROM (SELECT *, ltrim(pattern, '!') AS bare FROM ({RULE_LINES})) WHERE pattern NOT LIKE '#%'"""
 # every directory above a file and the file itself, relative to every list above it
