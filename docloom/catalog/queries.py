@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -19,8 +20,9 @@ from ..operators import structure as S
 from ..plans import hierarchy as HI
 from ..plans import reconcile as RC
 from ..plans import reorder as RO
-from ..session import computed
+from ..session import checkpoint_dir, computed
 from ..sources import corpus as SC
+from ..sources import tree as ST
 from ..sources.derived import corpus, fronted, read_table, snapshot
 from ..streaming import incremental as INC
 
@@ -161,6 +163,16 @@ def scan_corpus(spark, d):
     return SC.with_location(documents(spark, d).select("path", "text")).select("path", "dir", "name", md5("text"))
 
 
+@query
+def scan_tree(spark, d):
+    """The corpus written as one file per document with its ignore lists, and scanned again."""
+    out = f"{checkpoint_dir(spark).rstrip('/')}/tree-{uuid.uuid4().hex}"
+    lists = ignore_rules(spark, d).groupBy("base_dir").agg(F.array_sort(F.collect_list(F.struct("line_no", "pattern"))).alias("lines"))
+    lists = lists.select(F.concat_ws("/", F.nullif("base_dir", F.lit("")), F.lit(".docignore")).alias("path"), F.array_join("lines.pattern", "\n").alias("content"))
+    ST.write_documents(documents(spark, d).select("path", F.col("text").alias("content")).unionByName(lists), out)
+    return SC.scan_corpus(spark, out, "*.md", ".docignore").select("path", "dir", "name", md5("text"))
+
+
 @query
 def scan_snapshot(spark, d):
     pages = snapshot(nodes(spark, d), "pages")

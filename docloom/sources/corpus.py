@@ -8,49 +8,38 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frontmatter import front_tree
-from ..functions.text import base_name, parent_dir, unified_lines
+from ..functions.text import unified_lines
+from .tree import list_tree, read_contents, with_location
 
 
-def with_location(documents: DataFrame) -> DataFrame:
-    rest = [c for c in documents.columns if c != "path"]
-    return documents.select("path", parent_dir(F.col("path")).alias("dir"), base_name(F.col("path")).alias("name"), *rest)
+def scan_corpus(spark: SparkSession, root: str, glob: str = "*.md", ignore_file: str = "") -> DataFrame:
+    """``(path, dir, name, text)`` of every file below ``root``; paths are relative to it, lines end in a line feed.
 
-
-def scan_corpus(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
-    """``(path, dir, name, text)`` of every file below ``root``; paths are relative to it."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-    files = reader.load(root)
-    return with_location(files.select(_relative("path", root).alias("path"), F.decode("content", "UTF-8").alias("text")))
+    Names may start with an underscore; those that start with a dot are passed over, and so is what the lists named ``ignore_file`` exclude.
+    """
+    contents = read_contents(list_tree(spark, root, glob, ignore_file), root)
+    return with_location(contents.select("path", unified_lines(F.decode("content", "UTF-8")).alias("text")))
 
 
 def scan_single(spark: SparkSession, file: str) -> DataFrame:
     """One document; its own directory is the root."""
-    files = spark.read.format("binaryFile").load(file)
-    return with_location(files.select(base_name(F.col("path")).alias("path"), F.decode("content", "UTF-8").alias("text")))
+    root, _, name = file.rpartition("/")
+    one = spark.createDataFrame([(name,)], "path string")
+    return with_location(read_contents(one, root or "/").select("path", unified_lines(F.decode("content", "UTF-8")).alias("text")))
 
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, size)`` of all files; the content is not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select(_relative("path", root).alias("path"), F.col("length").alias("size"))
+    """``(path, size)`` of all files, hidden ones included; the content is not read."""
+    return list_tree(spark, root, hidden=True).select("path", "size")
 
 
 def scan_rules(spark: SparkSession, root: str, file_name: str) -> DataFrame:
-    """``(base_dir, line_no, pattern)`` of the ignore lists in a tree.
-
-    Spark's file readers pass over names that start with a dot or an underscore,
-    so lists need a visible name, or come from a table.
-    """
-    lists = scan_corpus(spark, root, file_name)
-    lines = F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")
+    """``(base_dir, line_no, pattern)`` of the ignore lists in a tree; their name may start with a dot."""
+    lists = with_location(read_contents(list_tree(spark, root, file_name), root))
+    lines = F.split(unified_lines(F.decode("content", "UTF-8")), "\n")
     return lists.select(F.col("dir").alias("base_dir"), F.posexplode(lines).alias("line_no", "pattern"))
 
 
-def _relative(column: str, root: str) -> Column:
-    bare = F.regexp_replace(column, r"\A[a-z0-9]+:/+", "/")
-    return F.substring(bare, len(root.rstrip("/")) + 2, 1 << 30)
-
-
 def load_properties(spark: SparkSession, file: str) -> dict:
     """Global properties: a small dictionary in JSON or YAML, given to operators as literals; single values are texts, nested ones keep their types."""
     rows = spark.read.text(file, wholetext=True).select(front_tree(unified_lines(F.col("value"))).alias("tree")).select("tree.json", "tree.error").take(1)

@@ -151,6 +151,7 @@ _STATEMENTS: dict[str, str] = {
     "filter_hidden": "SELECT path FROM corpus WHERE NOT list_bool_or(list_transform(string_split(path, '/'), lambda p: p LIKE '.%'))",
     "filter_extension": "SELECT path FROM corpus WHERE suffix(name, '.md')",
     "compile_ignore_rules": COMPILED,
+    "scan_tree": f"SELECT path, dir, name, md5(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS text FROM src WHERE path NOT IN ({IGNORED})",
     "filter_ignore_rules": f"SELECT path FROM src WHERE path NOT IN ({IGNORED})",
     "filter_synchronized": "SELECT path FROM props WHERE synchronized IS NULL OR synchronized",
     "filter_status": f"SELECT path, matched_by, status, status_error FROM ({MATCHED})",
