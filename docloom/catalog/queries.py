@@ -18,9 +18,10 @@ from ..operators import metadata as MD
 from ..operators import resolve as R
 from ..operators import structure as S
 from ..plans import hierarchy as HI
+from ..plans import publish as PU
 from ..plans import reconcile as RC
 from ..plans import reorder as RO
-from ..session import checkpoint_dir, computed
+from ..session import checkpoint_dir, computed, salted_join
 from ..sources import corpus as SC
 from ..sources import tree as ST
 from ..sources.derived import corpus, fronted, read_table, snapshot
@@ -860,6 +861,33 @@ def sync_plan(spark, d):
     return RC.sync_plan(docs, snapshot(docs, "pages"), snapshot(docs, "sync_state"), snapshot(docs, "comments"))
 
 
+def published_tree(spark, d):
+    """Documents with the document above, and pages with the page above: in part lost, or in circles."""
+    docs = _publishable(nodes(spark, d))
+    above = HI.nearest_parent(sources(spark, d).select("path", "dir", "name")).select("path", "parent")
+    docs = docs.join(above, "path")
+    ids = docs.select(F.col("path").alias("parent"), node_id().alias("_parent_page"))
+    edges = salted_join(docs.select("path", "parent", node_id().alias("id")), ids, ["parent"], F.col("path"))
+    mark = F.md5("path")
+    parent = F.when(mark.startswith("f"), F.col("id")).when(mark.startswith("e"), None).otherwise(F.coalesce("_parent_page", F.lit("root")))
+    edges = edges.select("id", parent.alias("parent_id"))
+    return docs, snapshot(docs, "pages").join(edges, "id", "left")
+
+
+@query
+def publish_plan(spark, d):
+    docs, pages = published_tree(spark, d)
+    return PU.publish_plan(docs, pages, snapshot(docs, "sync_state"), snapshot(docs, "comments"), "root", "S-HOME")
+
+
+@query
+def place_pages(spark, d):
+    """Page, space and parent page of every document."""
+    docs, pages = published_tree(spark, d)
+    placed = PU.place_pages(docs.select("path", "parent", "page_id", "full_title"), pages, "root", "S-HOME")
+    return placed.select("path", "page_id", "matched_by", "space_id", "parent_id", "error")
+
+
 @query
 def label_diff(spark, d):
     docs = nodes(spark, d)

@@ -128,6 +128,27 @@ def root_page(explicit: DataFrame, pages: DataFrame, spaces: DataFrame, configur
     return joined.select("path", top.alias("topmost_id"), F.when(top.isNull(), F.lit("root page expected")).alias("error"))
 
 
+def inherited(nodes: DataFrame, value: str, out: str) -> DataFrame:
+    """``(path, out)``: the ``value`` of each node or of the nearest one above it that has any.
+
+    ``nodes(path, parent, value)`` holds each path once.  A node without a value points to its parent;
+    each round it takes over the value or else the pointer of the node it points to, so
+    chains of length n take log2(n) rounds.  Nodes whose chain ends, or runs in a circle, have none.
+    """
+    start = nodes.select("path", F.col(value).alias("value"), F.when(F.col(value).isNull(), F.col("parent")).alias("next"))
+    state, before = durable(start), None
+    while True:
+        pending = state.where("next IS NOT NULL")
+        left = pending.count()
+        if left in (0, before):
+            break
+        before = left
+        target = state.select(F.col("path").alias("next"), F.col("next").alias("_next"), F.col("value").alias("_value"))
+        moved = salted_join(pending.select("path", "next"), target, ["next"], F.col("path"))
+        state = durable(state.where("next IS NULL").unionByName(moved.select("path", F.col("_value").alias("value"), F.col("_next").alias("next"))))
+    return state.select("path", F.col("value").alias(out))
+
+
 def traceable(edges: DataFrame, known: DataFrame) -> DataFrame:
     """Does the parent chain of each page reach a known page?
 

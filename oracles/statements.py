@@ -87,6 +87,17 @@ IGNORED = f"""SELECT DISTINCT path FROM (
   SELECT t.path, t.target, t.base_dir, max_by(c.negated, c.line_no) AS negated FROM ({RULE_TARGETS.format(lines=RULE_LINES)}) t
   JOIN ({COMPILED}) c ON c.base_dir = t.base_dir AND regexp_matches(t.rel, c.regex) WHERE t.rel <> '' GROUP BY 1, 2, 3) WHERE NOT negated"""
 
+# Documents in their tree: the space comes from the nearest explicit page above, pages found by title have to trace back.
+PLACED = """lined AS (SELECT n.*, q.parent, p.id AS own_id, p.space_id AS own_space FROM nodes n JOIN parents q ON q.path = n.path LEFT JOIN snap_pages p ON p.id = n.page_id),
+    inh AS (SELECT path, coalesce(own_space, 'S-HOME') AS space FROM lined WHERE parent IS NULL UNION ALL SELECT l.path, coalesce(l.own_space, i.space) FROM inh i JOIN lined l ON l.parent = i.path),
+    up AS (SELECT l.node_id AS id, CASE WHEN md5(l.path) LIKE 'f%' THEN l.node_id WHEN md5(l.path) LIKE 'e%' THEN NULL ELSE coalesce(u.node_id, 'root') END AS parent_id FROM lined l LEFT JOIN lined u ON u.path = l.parent),
+    trust AS (SELECT own_id AS id FROM lined WHERE own_id IS NOT NULL UNION SELECT 'root' UNION SELECT up.id FROM trust t JOIN up ON up.parent_id = t.id JOIN snap_pages s ON s.id = up.id),
+    single AS (SELECT * FROM snap_pages QUALIFY count(*) OVER (PARTITION BY space_id, title) = 1),
+    met AS (SELECT l.*, i.space, coalesce(l.page_id, s.id) AS met_id, CASE WHEN l.page_id IS NOT NULL THEN 'id' WHEN s.id IS NOT NULL THEN 'title' ELSE 'none' END AS matched_by FROM lined l JOIN inh i ON i.path = l.path
+      LEFT JOIN single s ON l.page_id IS NULL AND s.space_id = i.space AND s.title = l.full_title),
+    put AS (SELECT m.*, CASE WHEN m.parent IS NULL THEN 'root' WHEN u.page_id IS NOT NULL AND u.own_id IS NULL THEN NULL ELSE u.met_id END AS parent_id,
+      CASE WHEN m.page_id IS NOT NULL AND m.own_id IS NULL THEN 'no such page' WHEN m.matched_by = 'title' AND m.met_id NOT IN (SELECT id FROM trust) THEN 'not below the root page or a page with an explicit id' END AS error
+      FROM met m LEFT JOIN met u ON u.path = m.parent)"""
 EDGES = """SELECT path AS child, CASE WHEN md5(path) LIKE 'f%' THEN path WHEN md5(path) LIKE 'e%' THEN NULL ELSE coalesce(parent, 'root') END AS parent FROM parents"""
 
 
@@ -318,6 +329,17 @@ _STATEMENTS: dict[str, str] = {
           WHEN page_version IS NOT NULL AND page_version <> version THEN 'conflict-skip' WHEN page_id IN (SELECT page_id FROM snap_comments WHERE resolution_status IN ('open', 'reopened')) THEN 'comment-skip' ELSE 'update' END AS action FROM r)
         SELECT path, page_id, action, CASE WHEN action NOT IN ('error', 'create', 'index-only') THEN rule END AS rule, CASE WHEN action = 'update' THEN new_title END AS new_title,
           CAST(CASE action WHEN 'update' THEN version + 1 WHEN 'create' THEN 1 END AS INT) AS new_version, coalesce(error, status_error) AS error FROM a""",
+    "place_pages": f"WITH RECURSIVE {PLACED} SELECT path, met_id AS page_id, matched_by, space AS space_id, parent_id, error FROM put",
+    "publish_plan": f"""WITH RECURSIVE {PLACED}, t AS (SELECT put.* EXCLUDE (title, space_id), coalesce(put.title, '') AS title, p.title AS page_title, p.status, p.version, p.body,
+          EXISTS (SELECT 1 FROM snap_pages o WHERE o.space_id = put.space AND o.title = coalesce(put.title, '')) AS taken FROM put LEFT JOIN snap_pages p ON p.id = put.met_id),
+        c AS (SELECT *, {NEW_TITLE} AS new_title FROM t), r AS (SELECT c.*, CASE WHEN new_title <> page_title THEN 'title' WHEN s.source_digest = c.digest AND s.page_version = c.version THEN 'checksum'
+          WHEN body = concat('<div class="doc" id="d', doc_id, '"><p ac:local-id="new">', original, '<ac:inline-comment-marker ac:ref="r"></ac:inline-comment-marker></p></div>') THEN 'content' ELSE 'changed' END AS rule
+          FROM c LEFT JOIN snap_sync_state s ON s.page_id = c.met_id),
+        e AS (SELECT *, CASE WHEN matched_by = 'title' AND status NOT IN ('current', 'draft') THEN 'unable to update page with status ' || status ELSE error END AS any_error FROM r),
+        a AS (SELECT *, CASE WHEN any_error IS NOT NULL THEN 'error' WHEN matched_by = 'none' THEN 'create' WHEN NOT synchronized THEN 'index-only' WHEN rule IN ('checksum', 'content') THEN 'unchanged' ELSE 'update' END AS action FROM e)
+        SELECT path, met_id AS page_id, action, CASE WHEN action IN ('unchanged', 'update') THEN rule END AS rule, CASE action WHEN 'create' THEN full_title WHEN 'update' THEN new_title END AS new_title,
+          CAST(CASE action WHEN 'update' THEN version + 1 WHEN 'create' THEN 1 END AS INT) AS new_version, CASE WHEN action = 'create' THEN space END AS space_id, CASE WHEN action = 'create' THEN parent_id END AS parent_id,
+          CASE WHEN action = 'create' AND parent_id IS NULL THEN parent END AS parent_path, any_error AS error FROM a""",
     "label_diff": """WITH new AS (SELECT DISTINCT node_id AS page_id, unnest(tags) AS name FROM nodes WHERE tags IS NOT NULL), old AS (SELECT DISTINCT page_id, name FROM snap_labels WHERE page_id IN (SELECT page_id FROM new))
         SELECT page_id, name, 'global' AS prefix, 'add' AS action FROM (SELECT * FROM new EXCEPT SELECT * FROM old) UNION ALL SELECT page_id, name, 'global', 'remove' FROM (SELECT * FROM old EXCEPT SELECT * FROM new)""",
     "property_diff": f"""SELECT * FROM (SELECT coalesce(n.page_id, o.page_id) AS page_id, coalesce(n.key, o.key) AS key, CASE WHEN o.page_id IS NULL THEN 'add' WHEN n.page_id IS NULL THEN 'remove' WHEN n.value <> o.value THEN 'update' END AS action, n.value,
