@@ -330,10 +330,10 @@ _STATEMENTS: dict[str, str] = {
         SELECT path, page_id, action, CASE WHEN action NOT IN ('error', 'create', 'index-only') THEN rule END AS rule, CASE WHEN action = 'update' THEN new_title END AS new_title,
           CAST(CASE action WHEN 'update' THEN version + 1 WHEN 'create' THEN 1 END AS INT) AS new_version, coalesce(error, status_error) AS error FROM a""",
     "place_pages": f"WITH RECURSIVE {PLACED} SELECT path, met_id AS page_id, matched_by, space AS space_id, parent_id, error FROM put",
-    "publish_plan": f"""WITH RECURSIVE {PLACED}, t AS (SELECT put.* EXCLUDE (title, space_id), coalesce(put.title, '') AS title, p.title AS page_title, p.status, p.version, p.body,
+    "publish_plan": f"""WITH RECURSIVE {PLACED}, t AS (SELECT put.* EXCLUDE (title, space_id), coalesce(put.title, '') AS title, p.title AS page_title, p.status, p.version, p.body AS page_body,
           EXISTS (SELECT 1 FROM snap_pages o WHERE o.space_id = put.space AND o.title = coalesce(put.title, '')) AS taken FROM put LEFT JOIN snap_pages p ON p.id = put.met_id),
         c AS (SELECT *, {NEW_TITLE} AS new_title FROM t), r AS (SELECT c.*, CASE WHEN new_title <> page_title THEN 'title' WHEN s.source_digest = c.digest AND s.page_version = c.version THEN 'checksum'
-          WHEN body = concat('<div class="doc" id="d', doc_id, '"><p ac:local-id="new">', original, '<ac:inline-comment-marker ac:ref="r"></ac:inline-comment-marker></p></div>') THEN 'content' ELSE 'changed' END AS rule
+          WHEN page_body = concat('<div class="doc" id="d', doc_id, '"><p ac:local-id="new">', original, '<ac:inline-comment-marker ac:ref="r"></ac:inline-comment-marker></p></div>') THEN 'content' ELSE 'changed' END AS rule
           FROM c LEFT JOIN snap_sync_state s ON s.page_id = c.met_id),
         e AS (SELECT *, CASE WHEN matched_by = 'title' AND status NOT IN ('current', 'draft') THEN 'unable to update page with status ' || status ELSE error END AS any_error FROM r),
         a AS (SELECT *, CASE WHEN any_error IS NOT NULL THEN 'error' WHEN matched_by = 'none' THEN 'create' WHEN NOT synchronized THEN 'index-only' WHEN rule IN ('checksum', 'content') THEN 'unchanged' ELSE 'update' END AS action FROM e)
