@@ -16,6 +16,7 @@ from ..operators import containers as CO
 from ..operators import filters as FL
 from ..operators import handlers as H
 from ..operators import metadata as MD
+from ..operators import references as RF
 from ..operators import resolve as R
 from ..operators import structure as S
 from ..plans import hierarchy as HI
@@ -25,7 +26,7 @@ from ..plans import reorder as RO
 from ..session import checkpoint_dir, computed, salted_join
 from ..sources import corpus as SC
 from ..sources import tree as ST
-from ..sources.derived import block_documents, corpus, fronted, read_table, snapshot
+from ..sources.derived import block_documents, corpus, fronted, linked_documents, read_table, snapshot
 from ..streaming import incremental as INC
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -504,6 +505,22 @@ def pipe_tables(spark, d):
     return CO.pipe_tables(block_documents(nodes(spark, d)))
 
 
+@query
+def all_links(spark, d):
+    """Links of every form, resolved inside each document."""
+    return RF.all_links(linked_documents(nodes(spark, d)))
+
+
+@query
+def all_images(spark, d):
+    return RF.all_images(linked_documents(nodes(spark, d))).drop("pos")
+
+
+@query
+def card_references(spark, d):
+    return RF.card_references(linked_documents(nodes(spark, d)))
+
+
 # --- 2.5 scalars ---------------------------------------------------------------------------
 
 

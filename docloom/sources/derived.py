@@ -117,6 +117,17 @@ SELECT doc_id, path, doc_id % 7 AS kind, concat(replace(replace(original, '|', '
 FROM nodes"""
 
 
+# Documents with the whole original text, freed of brackets and addresses, behind links and images of every form.
+LINKED_SQL = r"""
+SELECT doc_id, path, doc_id % 5 AS kind, concat(CASE doc_id % 5
+    WHEN 0 THEN concat('[a [b] c](x', CAST(doc_id AS VARCHAR(20)), '.md#f) then [t](<sp ace.md> "T") and ![i](p.png)')
+    WHEN 1 THEN concat('[full][Some  LABEL], [some label][] and [some label], not [other][none]', chr(10), chr(10), '[some label]: https://x.org/', CAST(doc_id AS VARCHAR(20)), ' "Title"')
+    WHEN 2 THEN concat('<https://auto.org/', CAST(doc_id AS VARCHAR(20)), '> or <me@x.org>, see https://bare.org/', CAST(doc_id AS VARCHAR(20)), '.')
+    WHEN 3 THEN concat('<a href="r', CAST(doc_id AS VARCHAR(20)), '.md">say <b>it</b></a> [![alt](i.png)](t.md) ![pic][drawn]', chr(10), chr(10), '[drawn]: d', CAST(doc_id AS VARCHAR(20)), '.svg')
+    ELSE concat('https://card.org/', CAST(doc_id AS VARCHAR(20))) END, chr(10), chr(10), translate(replace(replace(original, '://', ' '), chr(92), ' '), concat('[]<>@', chr(96)), '      '), chr(10)) AS body
+FROM nodes"""
+
+
 # The published side, derived row by row from the indexed documents (view ``nodes``).
 # One page in ten is unknown to the source, so its document has to be created.
 SNAPSHOT_SQL = {
@@ -206,6 +217,11 @@ def block_documents(nodes: DataFrame) -> DataFrame:
     return nodes.sparkSession.sql(_with_arguments(BLOCKS_SQL, "nodes"), nodes=nodes)
 
 
+def linked_documents(nodes: DataFrame) -> DataFrame:
+    """Documents that begin with links and images of every form: ``(doc_id, path, kind, body)``."""
+    return nodes.sparkSession.sql(_with_arguments(LINKED_SQL, "nodes"), nodes=nodes)
+
+
 def snapshot(nodes: DataFrame, name: str) -> DataFrame:
     """One table of the published side."""
     return nodes.sparkSession.sql(_with_arguments(SNAPSHOT_SQL[name], "nodes"), nodes=nodes)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 from docloom.functions.lookups import SPACE
-from docloom.sources.derived import BLOCKS_SQL, CORPUS_SQL, FRONTED_SQL, SNAPSHOT_SQL
+from docloom.sources.derived import BLOCKS_SQL, CORPUS_SQL, FRONTED_SQL, LINKED_SQL, SNAPSHOT_SQL
 
 S = f"[{SPACE}]"
 OPTIONS = '{"heading_anchors": true}'
@@ -140,6 +140,7 @@ CTES: dict[str, str] = {
         'S-' || coalesce(space_key, 'HOME') AS space_id, md5('{OPTIONS}' || chr(10) || text) AS digest,
         coalesce(page_id, CAST(500000 + doc_id AS VARCHAR)) AS node_id FROM titled""",
     "fronted": FRONTED_SQL,
+    "linked_docs": LINKED_SQL,
     "block_docs": BLOCKS_SQL,
     "pindex": f"""SELECT path, coalesce(page_id, {md5_digest('path')}) AS page_id, coalesce(space_key, 'HOME') AS space_key, coalesce(title, '') AS title,
         coalesce(synchronized, TRUE) AS synchronized FROM titled""",

