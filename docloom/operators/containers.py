@@ -55,7 +55,8 @@ def _list_items(block: Column) -> Column:
     state_type = f"struct<stack:array<struct<list:int,ordered:boolean,count:int>>,next:int,items:{_ITEMS},blank:boolean>"
 
     def state(stack: Column, following: Column, items: Column, blank: Column) -> Column:
-        return F.struct(stack.alias("stack"), following.cast("int").alias("next"), items.alias("items"), blank.alias("blank")).cast(state_type)
+        # not cast: that would copy the items at every line
+        return F.struct(stack.alias("stack"), following.alias("next"), items.alias("items"), blank.alias("blank"))
 
     def typed(line: Column) -> Column:
         lead = F.replace(F.regexp_extract(line, r"\A([ \t]*)", 1), F.lit("\t"), F.lit("    "))

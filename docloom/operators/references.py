@@ -64,7 +64,8 @@ def _scan(tokens: Column, defined: Column) -> Column:
     none = F.lit(None).cast("string")
 
     def state(stack: Column, found: Column, at: Column) -> Column:
-        return F.struct(stack.cast(_STACK).alias("stack"), found.cast(_FOUND).alias("found"), at.cast("int").alias("at"))
+        # not cast: that would copy both arrays at every token
+        return F.struct(stack.alias("stack"), found.alias("found"), at.alias("at"))
 
     def hit(start: Column, image: Column, form: Column | str, text: Column, target: Column, title: Column) -> Column:
         return F.struct(start.alias("start"), image.alias("image"), (F.lit(form) if isinstance(form, str) else form).alias("form"), text.alias("text"), target.alias("target"), title.alias("title"))
@@ -93,7 +94,7 @@ def _scan(tokens: Column, defined: Column) -> Column:
             form = F.when(inline, "inline").when(labelled & (own != "") & exact, "reference").when(labelled & (own == ""), "collapsed").otherwise("shortcut")
             # an image leaves its text to the link around it, an unknown label all it says
             linked = let(target, lambda t: F.when(t.isNotNull(), state(
-                said(below, F.when(top["image"], "").otherwise(top["text"])), F.array_append(found, hit(top["start"], top["image"], form, top["text"], t, title)), at)).otherwise(
+                said(below, F.when(top["image"], "").otherwise(top["text"])), F.concat(found, F.array(hit(top["start"], top["image"], form, top["text"], t, title))), at)).otherwise(
                 state(said(below, F.concat(F.lit("["), top["text"], F.when(token == "]", "]").otherwise(token))), found, at)))
             return linked
 
@@ -102,19 +103,19 @@ def _scan(tokens: Column, defined: Column) -> Column:
         address = F.regexp_replace(token, r"\A<|>\z", "")
         mail = address.contains("@") & ~address.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:")
         tagged = (
-            F.when(anchor, F.when(_attribute(token, "href").isNotNull(), state(stack, F.array_append(found, hit(at, F.lit(False), "tag", html_text(token), _attribute(token, "href"), _attribute(token, "title"))), at)).otherwise(state(said(stack, html_text(token)), found, at)))
-            .when(img, F.when(_attribute(token, "src").isNotNull(), state(stack, F.array_append(found, hit(at, F.lit(True), "tag", F.coalesce(_attribute(token, "alt"), F.lit("")), _attribute(token, "src"), _attribute(token, "title"))), at)).otherwise(state(stack, found, at)))
-            .otherwise(state(stack, F.array_append(found, hit(at, F.lit(False), "address", address, F.when(mail, F.concat(F.lit("mailto:"), address)).otherwise(address), none)), at)))
+            F.when(anchor, F.when(_attribute(token, "href").isNotNull(), state(stack, F.concat(found, F.array(hit(at, F.lit(False), "tag", html_text(token), _attribute(token, "href"), _attribute(token, "title")))), at)).otherwise(state(said(stack, html_text(token)), found, at)))
+            .when(img, F.when(_attribute(token, "src").isNotNull(), state(stack, F.concat(found, F.array(hit(at, F.lit(True), "tag", F.coalesce(_attribute(token, "alt"), F.lit("")), _attribute(token, "src"), _attribute(token, "title")))), at)).otherwise(state(stack, found, at)))
+            .otherwise(state(stack, F.concat(found, F.array(hit(at, F.lit(False), "address", address, F.when(mail, F.concat(F.lit("mailto:"), address)).otherwise(address), none))), at)))
         bare = token.rlike(r"\A(?:https?|ftp)://.") & (F.size(stack) == 0)
         plain = F.when(token.startswith("\\"), F.substring(token, F.lit(2), F.lit(2))).otherwise(token)
         return (
             F.when(opening, pushed)
             .when(token.startswith("]") & (F.size(stack) > 0), let(F.element_at(stack, -1), closing))
             .when(tag, tagged)
-            .when(bare, state(stack, F.array_append(found, hit(at, F.lit(False), "bare", token, token, none)), at))
+            .when(bare, state(stack, F.concat(found, F.array(hit(at, F.lit(False), "bare", token, token, none))), at))
             .otherwise(state(said(stack, plain), found, at)))
 
-    return F.aggregate(tokens, state(F.array(), F.array(), F.lit(0)), step, lambda s: F.array_sort(s["found"]))
+    return F.aggregate(tokens, state(F.array().cast(_STACK), F.array().cast(_FOUND), F.lit(0)), step, lambda s: F.sort_array(s["found"]))
 
 
 def references(documents: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def test_cards(spark, rows):
 
 
 def test_long_text(found):
-    many = "word [a](b.md) " * 5000
+    many = "word [a](b.md) " * 1500
     deep = "[" * 300 + "x" + "](y)" * 300
     a, b = found(many, deep)
-    assert len(a) == 5000 and len(b) == 300
+    assert len(a) == 1500 and len(b) == 300
