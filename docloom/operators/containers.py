@@ -121,7 +121,7 @@ def quotes(documents: DataFrame) -> DataFrame:
 
 
 def quote_alerts(documents: DataFrame) -> DataFrame:
-    """Alerts of both dialects with their panel: class, icon and colour; unknown names are error rows."""
+    """Alerts of both dialects with their panel: class, id and name of the icon, and colour; unknown names are error rows."""
     head = F.substring_index("text", "\n", 1)
     rows = quotes(documents).withColumns({"bracket": head.startswith("[!"), "colon": head.rlike(r"\A(FLAG|NOTE|WARNING|DISCLAIMER):")}).where("bracket OR colon")
     name = F.when(F.col("bracket"), F.nullif(F.regexp_extract(head, r"\A\[!([A-Z]+)\]", 1), F.lit(""))).otherwise(F.regexp_extract(head, r"\A([A-Z]+):", 1))
@@ -130,7 +130,7 @@ def quote_alerts(documents: DataFrame) -> DataFrame:
     panel = F.when(F.col("flavor") == "bracket", lookup(F.col("name"), L.BRACKET_ALERT_CLASSES)).otherwise(lookup(F.col("name"), L.COLON_ALERT_CLASSES))
     known = panel.isNotNull()
     return out.withColumns({
-        "class": panel, "icon": F.when(known, lookup(F.lower("name"), L.PANEL_ICONS)), "background": F.when(known, lookup(F.lower("name"), L.PANEL_COLORS)),
+        "class": panel, "icon_id": F.when(known, lookup(F.lower("name"), L.PANEL_ICON_IDS)), "icon": F.when(known, lookup(F.lower("name"), L.PANEL_ICONS)), "background": F.when(known, lookup(F.lower("name"), L.PANEL_COLORS)),
         "error": F.when(~known, F.lit("unsupported alert"))})
 
 

@@ -244,8 +244,8 @@ _STATEMENTS: dict[str, str] = {
           (0, 1, 0, 'complete', 'done'), (0, 2, 0, 'incomplete', 'open %id' || chr(10) || 'lazy'), (2, 1, 0, 'complete', 'top'), (2, 2, 0, 'incomplete', 'last'), (2, 1, 1, 'incomplete', 'in'), (2, 2, 1, 'complete', 'in %id'),
           (3, 1, 0, 'incomplete', 't'), (4, 1, 0, 'complete', 'p'), (4, 2, 0, 'incomplete', 'q %id' || chr(10) || chr(10) || 'more'), (6, 1, 0, 'incomplete', 's'), (6, 2, 0, 'complete', 't')) AS e(kind, task_id, level, status, body) ON e.kind = b.kind""",
     "quote_alerts": """SELECT path, e.* EXCLUDE (kind) FROM block_docs b JOIN (VALUES
-          (0, 'bracket', 'NOTE', 'one' || chr(10) || chr(10) || '[!TIP]' || chr(10) || 'two', 'info', 'pencil', 'teal', NULL), (3, 'colon', 'WARNING', 'mind' || chr(10) || 'lazy', 'note', 'warning', 'yellow', NULL),
-          (6, 'bracket', 'MYTH', 'z', NULL, NULL, NULL, 'unsupported alert')) AS e(kind, flavor, name, body, class, icon, background, error) ON e.kind = b.kind""",
+          (0, 'bracket', 'NOTE', 'one' || chr(10) || chr(10) || '[!TIP]' || chr(10) || 'two', 'info', '1f4dd', 'pencil', 'var(--ds-background-accent-teal-subtlest)', NULL), (3, 'colon', 'WARNING', 'mind' || chr(10) || 'lazy', 'note', '26a0-fe0f', 'warning', 'var(--ds-background-accent-yellow-subtlest)', NULL),
+          (6, 'bracket', 'MYTH', 'z', NULL, NULL, NULL, NULL, 'unsupported alert')) AS e(kind, flavor, name, body, class, icon_id, icon, background, error) ON e.kind = b.kind""",
     "note_bodies": """SELECT path, e.name, replace(e.note, '%id', CAST(doc_id AS VARCHAR)) AS note FROM block_docs b JOIN (VALUES (1, '1', 'note %id' || chr(10) || 'goes on' || chr(10) || chr(10) || 'second'), (4, 'a', 'y')) AS e(kind, name, note) ON e.kind = b.kind""",
     "pipe_tables": """SELECT path, 1 AS table_id, e.row, e.col, replace(e.body, '%id', CAST(doc_id AS VARCHAR)) AS text, e.is_header FROM block_docs b JOIN (VALUES
           (2, 1, 1, 'a', TRUE), (2, 1, 2, 'b', TRUE), (2, 2, 1, '%id | x', FALSE), (2, 2, 2, '`p|q`', FALSE), (2, 3, 1, 'only', FALSE), (2, 3, 2, '', FALSE), (5, 1, 1, 'c', TRUE), (5, 2, 1, '%id', FALSE)) AS e(kind, row, col, body, is_header) ON e.kind = b.kind""",

@@ -46,8 +46,8 @@ def test_quotes(docs):
 def test_quote_alerts(docs):
     found = C.quote_alerts(docs("> [!NOTE]\n> one\n\n> [!TIP]\n> still the first\n", "> FLAG: x\n> y\n", "> [!ODD]\n> z\n", "> plain [!NOTE]\n")).orderBy("path").collect()
     assert [tuple(r) for r in found] == [
-        ("d0.md", 1, "bracket", "NOTE", "one\n\n[!TIP]\nstill the first", "info", "pencil", "teal", None),
-        ("d1.md", 1, "colon", "FLAG", "x\ny", "note", "triangular_flag_on_post", "orange", None), ("d2.md", 1, "bracket", "ODD", "z", None, None, None, "unsupported alert")]
+        ("d0.md", 1, "bracket", "NOTE", "one\n\n[!TIP]\nstill the first", "info", "1f4dd", "pencil", "var(--ds-background-accent-teal-subtlest)", None),
+        ("d1.md", 1, "colon", "FLAG", "x\ny", "note", "1f6a9", "triangular_flag_on_post", "var(--ds-background-accent-orange-subtlest)", None), ("d2.md", 1, "bracket", "ODD", "z", None, None, None, None, "unsupported alert")]
 
 
 def test_note_bodies(docs, rows):
