@@ -23,6 +23,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE_ENTRIES = 1_200_000
+#: Segments whose ids a worker remembers from task to task: at most 64 characters each.
+CACHE_ENTRIES = 800_000
 
 
 class Agenda:
@@ -123,12 +125,18 @@ class Agenda:
         return ours
 
 
+@lru_cache(maxsize=1)
+def agenda_of(model: str) -> Agenda:
+    """One encoder per worker process: later tasks find the model loaded and common segments known."""
+    return Agenda(model)
+
+
 def encode_and_decode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """Add ``piece_ids`` (array of int, with begin and end) and ``decoded`` (the text those ids stand for)."""
 
     @F.pandas_udf("piece_ids array<int>, decoded string")
     def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        agenda = Agenda(model)
+        agenda = agenda_of(model)
         for batch in batches:
             texts = ["" if t is None else t for t in batch]
             ids = [x for i in range(0, len(texts), 64) for x in agenda.batch(texts[i : i + 64])]
@@ -143,13 +151,14 @@ def piece_digests(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        agenda = Agenda(model)
+        agenda = agenda_of(model)
         for batch in batches:
             rows = []
             texts = ["" if t is None else t for t in batch]
             for i in range(0, len(texts), 64):
-                for ids in agenda.batch(texts[i : i + 64]):
-                    rows.append((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(agenda.library.decode(ids).encode()).hexdigest()))
+                some = agenda.batch(texts[i : i + 64])
+                for ids, text_ in zip(some, agenda.library.decode(some), strict=True):
+                    rows.append((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text_.encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", digests(F.col(text)).alias("_pieces")).select("doc_id", "_pieces.*")
