@@ -95,16 +95,19 @@ def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
-@lru_cache(maxsize=8)
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(n: int, base: int) -> np.ndarray:
-    """base**0, base**1, ... modulo 2**64."""
-    return _powers(1 << max(10, int(n).bit_length()), base)[:n]
+    """base**0, base**1, ... modulo 2**64.  A worker keeps one array per base, of at most 32 MB."""
+    if n > len(_POWERS.get(base, ())):
+        out = np.full(1 << max(10, int(n).bit_length()), base, np.uint64)
+        out[0] = 1
+        out = np.cumprod(out, dtype=np.uint64)
+        if len(out) > 1 << 22:
+            return out[:n]
+        _POWERS[base] = out
+    return _POWERS[base][:n]
 
 
 @lru_cache(maxsize=1)
