@@ -27,7 +27,9 @@ _ANCHOR = r"(?is:<a\s[^>]*>.*?</a>)"
 _IMG = r"(?i:<img\s[^>]*>)"
 _AUTO = r"<(?:[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[\w.+-]+@[\w-]+(?:\.[\w-]+)+)>"
 _BARE = r"""(?<![\w"'(=<\[/])(?:https?|ftp)://[^\s<>()\[\]"'`]*[^\s<>()\[\]"'`.,;:!?]"""
-_TOKEN = rf"\\.|!\[|\[|{_INLINE}|{_LABELLED}|\]|{_ANCHOR}|{_IMG}|{_AUTO}|{_BARE}|[^\\!\[\]<hf]++|."
+# Text is one token up to the next character that may begin something else.
+_SAID = r"(?:[^\\!\[\]<hf]++|!(?!\[)|h(?!ttps?://)|f(?!tp://))++"
+_TOKEN = rf"\\.|!\[|\[|{_INLINE}|{_LABELLED}|\]|{_ANCHOR}|{_IMG}|{_AUTO}|{_BARE}|{_SAID}|."
 _DEFINITION = rf"(?m)^ {{0,3}}\[(?!\^)([^\[\]\n]+)\]:[ \t]*(<[^<>\n]*>|\S+)(?:[ \t]+({_TITLE}|\([^()\n]*\)))?[ \t]*$"
 
 _FOUND = "array<struct<start:int,image:boolean,form:string,text:string,target:string,title:string>>"
