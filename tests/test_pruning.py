@@ -70,3 +70,10 @@ def test_trim_and_line_breaks(spark):
     breaks = ["a\r\nb", *[f"a{c}b" for c in "\r\x0b\f\x1c\x1d\x1e\x85  "]]
     lines = spark.createDataFrame([(t,) for t in breaks], "t string")
     assert {r[0] for r in lines.select(T.unify_newlines(F.col("t"))).collect()} == {"a\nb"}
+
+
+def test_lines_are_cut_once(spark):
+    df = spark.createDataFrame([("a\n\n![x](y.png)\n\nb",)], "t string")
+    lines = df.select(S.paragraph_lines(F.col("t")).alias("x"))
+    assert plan_of(lines).count("split(") == 1
+    assert [tuple(r) for r in lines.first()["x"]] == [("a", True), ("", False), ("![x](y.png)", True), ("", False), ("b", True)]
