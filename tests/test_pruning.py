@@ -10,6 +10,7 @@ from docloom.operators import metadata as MD
 from docloom.operators import references as RF
 from docloom.operators import structure as S
 from docloom.session import lazily
+from docloom.sources import derived
 
 TEXT = "---\ntitle: A\ntags: [x, y]\n---\n<!-- page-id: 7 -->\n# One\n\nsome text <!-- page-id: 8 -->\n"
 
@@ -77,3 +78,42 @@ def test_lines_are_cut_once(spark):
     lines = df.select(S.paragraph_lines(F.col("t")).alias("x"))
     assert plan_of(lines).count("split(") == 1
     assert [tuple(r) for r in lines.first()["x"]] == [("a", True), ("", False), ("![x](y.png)", True), ("", False), ("b", True)]
+
+
+def written(spark, folder, rows, parts):
+    docs = spark.range(rows).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("src"), F.col("id") % 3).alias("source"), F.repeat(F.md5(F.col("id").cast("string")), 20).alias("text"))
+    docs.repartition(parts).write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_texts_of_the_corpus_are_not_shuffled(spark, tmp_path):
+    folder = written(spark, tmp_path, 3200, 32)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.files.openCostInBytes": "16m", "spark.sql.files.maxPartitionBytes": "4m"}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        docs = derived.corpus(spark, folder)
+        plan = docs._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert docs.count() == 3200
+    assert docs.where("name IN ('index.md', 'README.md') OR doc_id % 3 = 2").count() > 1000
+
+
+def test_splits_without_rows_do_not_count_as_parts(spark, tmp_path):
+    folder = written(spark, tmp_path, 4000, 1)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        table = derived.read_table(spark, folder, "documents")
+        parts = table.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(parts) == spark.sparkContext.defaultParallelism and sum(n for _, n in parts) == 4000
+
+
+def test_directives_do_not_split_the_text(spark):
+    taken = MD.directives(documents(spark, "é <!-- space-key: S --> x <!-- page-id: 7 -->\n<!-- page-id: 7 --> y"))
+    assert "split(" not in plan_of(taken)
+    assert taken.select("d_page_id", "d_space_key", "rest").first() == ("7", "S", "é  x \n<!-- page-id: 7 --> y")
