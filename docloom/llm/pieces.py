@@ -4,6 +4,9 @@ Adjacent symbols whose concatenation is a piece wait in an agenda ordered by
 score, then position.  The best pair merges, its neighbours enter the agenda,
 and entries whose symbols have meanwhile changed are passed over.  Symbols that
 are no piece at the end fall back to byte pieces, or to the unknown id.
+New segments of a batch share one agenda, an array with the piece that each pair of
+neighbours makes; in every round the best pair of each segment merges.  Only long
+segments have a heap of their own.
 
 The text is cut where no piece of the vocabulary can cross: before white space
 after other characters, and between alphanumeric and other characters if no
@@ -24,6 +27,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,6 +37,12 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Segments whose ids a worker remembers from task to task: at most 64 characters each.
 CACHE_ENTRIES = 800_000
+#: Characters up to which segments share an agenda, and may be remembered.
+SHORT = 64
+#: Characters of text whose segments are looked up together.
+TOGETHER = 1 << 20
+#: Numbers of no symbol: the end of a segment, and one that has merged into its neighbour.
+END, GONE = 1 << 30, -1
 
 
 class Agenda:
@@ -55,7 +65,66 @@ class Agenda:
             self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         else:
             self.cut = re.compile(rf"{SPACE}*(?:[^\W_]+|(?:_|[^\w{SPACE}])+)|{SPACE}+")
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}
+        # symbols are numbered: pieces first, then the characters that are none by their code
+        numbers = {piece: n for n, piece in enumerate(self.ids)}
+        self.symbol_ids = list(self.ids.values())
+        self.symbol_of = np.arange(0x110000, dtype=np.int64) + len(numbers)
+        for piece, n in numbers.items():
+            if len(piece) == 1:
+                self.symbol_of[ord(piece)] = n
+        symbol = lambda part: int(self.symbol_of[ord(part)]) if len(part) == 1 else numbers.get(part)
+        pairs = {}
+        for piece, n in numbers.items():
+            for i in range(1, len(piece)):
+                left, right = symbol(piece[:i]), symbol(piece[i:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = n
+        self.pairs = np.array([*sorted(pairs), np.iinfo(np.int64).max])
+        # no pair makes the piece -1, whose score is the lowest
+        self.makes = np.array([*(pairs[k] for k in sorted(pairs)), -1])
+        self.score_of = np.array([*self.scores.values(), -np.inf])
+
+    def made(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The pieces that pairs of symbols make, -1 for none."""
+        key = left << 32 | right
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.makes[at], -1)
+
+    def merged_together(self, segments: list[str]) -> list[tuple[int, ...]]:
+        """Ids of short segments of similar length: each round merges the best pair, the leftmost of equals, of every segment."""
+        sizes = np.array([len(s) for s in segments])
+        width = int(sizes.max()) + 1  # with an end mark, which makes no piece with any symbol
+        symbols = np.full((len(segments), width), GONE)
+        symbols[np.arange(width) < sizes[:, None]] = self.symbol_of[np.frombuffer("".join(segments).encode("utf-32-le"), "<u4")]
+        symbols[:, -1] = END
+        place = np.arange(symbols.size).reshape(symbols.shape)
+        end = place[:, -1:]
+        after, before = np.where(np.arange(1, width + 1) < sizes[:, None], place + 1, end).ravel(), np.where(np.arange(width) > 0, place - 1, end).ravel()
+        pair = np.full(symbols.shape, -1)
+        pair[:, :-1] = self.made(symbols[:, :-1], symbols[:, 1:])
+        scores = self.score_of[pair]
+        symbols, pair, score, rows = symbols.ravel(), pair.ravel(), scores.reshape(-1), np.arange(len(segments))
+        while len(rows):
+            first = rows * width + scores[rows].argmax(1)
+            rows, first = rows[pair[first] >= 0], first[pair[first] >= 0]
+            second, previous = after[first], before[first]
+            then = after[second]
+            symbols[first], symbols[second] = pair[first], GONE
+            after[first], before[then] = then, first
+            pair[second], score[second] = -1, -np.inf
+            for left, right in ((first, then), (previous, first)):
+                pair[left] = made = self.made(symbols[left], symbols[right])
+                score[left] = self.score_of[made]
+        kept = (symbols != GONE) & (symbols != END)
+        ends = np.cumsum(kept.reshape(len(segments), width).sum(1)).tolist()
+        known, ids = len(self.symbol_ids), symbols[kept].tolist()
+        if max(ids) < known:
+            ids = [self.symbol_ids[n] for n in ids]
+            return [tuple(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        fallback = lambda n: [self.bytes[b] for b in chr(n - known).encode()] if self.bytes else [self.unknown]
+        each = [[self.symbol_ids[n]] if n < known else fallback(n) for n in ids]
+        return [tuple(chain.from_iterable(each[a:b])) for a, b in zip([0, *ends], ends, strict=False)]
 
     def merged(self, text: str) -> list[int]:
         """Ids of one segment."""
@@ -100,27 +169,51 @@ class Agenda:
         return out
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        text = SPACE + text.replace(" ", SPACE)
-        cache, out = self.cache, []
-        for segment in self.cut.findall(text) if self.cut else [text]:
-            ids = cache.get(segment)
-            if ids is None:
-                ids = self.merged(segment)
-                if len(cache) >= CACHE_ENTRIES:
-                    cache.clear()
-                if len(segment) <= 64:
-                    cache[segment] = tuple(ids)
-            out += ids
-        return out
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text; segments that are not remembered are merged together."""
+        find, get = self.cut.findall if self.cut else lambda text: [text], self.cache.get
+        rows, new = [], {}
+        for text in texts:
+            segments = find(SPACE + text.replace(" ", SPACE)) if text else []
+            ids = list(map(get, segments))
+            unknown = [s for s, x in zip(segments, ids, strict=True) if x is None] if None in ids else []
+            new.update(dict.fromkeys(unknown))
+            rows.append((ids, unknown) if unknown else list(chain.from_iterable(ids)))
+        least = 0
+        for most in (SHORT // 8, SHORT // 4, SHORT // 2, SHORT):
+            some = [s for s in new if least < len(s) <= most]
+            new.update(zip(some, self.merged_together(some) if some else [], strict=True))
+            least = most
+        new.update([(s, self.merged(s)) for s, x in new.items() if x is None])
+        for i, row in enumerate(rows):
+            if isinstance(row, tuple):
+                found = map(new.__getitem__, row[1])
+                rows[i] = list(chain.from_iterable([next(found) if x is None else x for x in row[0]]))
+        if len(self.cache) + len(new) > CACHE_ENTRIES:
+            self.cache.clear()
+        self.cache.update((s, x) for s, x in new.items() if len(s) <= SHORT)
+        return rows
+
+    def together(self, texts: list[str]) -> Iterator[list[str]]:
+        """Texts in runs of about ``TOGETHER`` characters."""
+        run, size = [], 0
+        for text in texts:
+            if run and size + len(text) > TOGETHER:
+                yield run
+                run, size = [], 0
+            run.append(text)
+            size += len(text)
+        if run:
+            yield run
 
     def batch(self, texts: list[str]) -> list[list[int]]:
         """Ids with begin and end, checked against the library."""
         begin, end = self.library.bos_id(), self.library.eos_id()
-        ours = [[begin, *self.encode(t), end] for t in texts]
-        for text, got, want in zip(texts, ours, self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1), strict=True):
-            if got != want:
+        ours = [[begin, *ids, end] for run in self.together(texts) for ids in self.encode_all(run)]
+        for text, got in zip(texts, ours, strict=True):
+            if got != self.library.encode(text, add_bos=True, add_eos=True):
                 raise ValueError(f"ids differ from the library's for a text that begins with {text[:80]!r}")
         return ours
 
@@ -158,7 +251,7 @@ def piece_digests(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
             for i in range(0, len(texts), 64):
                 some = agenda.batch(texts[i : i + 64])
                 for ids, text_ in zip(some, agenda.library.decode(some), strict=True):
-                    rows.append((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text_.encode()).hexdigest()))
+                    rows.append((len(ids), hashlib.sha256(np.fromiter(ids, "<u4", len(ids)).tobytes()).hexdigest(), hashlib.sha256(text_.encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", digests(F.col(text)).alias("_pieces")).select("doc_id", "_pieces.*")

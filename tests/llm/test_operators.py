@@ -191,6 +191,20 @@ def test_pieces(docs):
         assert r["piece_ids"] == ids and r["decoded"] == library.decode(ids)
 
 
+def test_segments_merge_together():
+    agenda = pieces.Agenda(vocabulary("piece_bpe_32k.model"))
+    rng = random.Random(5)
+    segments = ["".join(rng.choice("▁aeinrstAé0,.\n日😀") for _ in range(rng.randint(1, pieces.SHORT))) for _ in range(500)]
+    segments += ["a", "😀", "▁", "aaaaaaa", "▁international", "日" * pieces.SHORT]
+    assert agenda.merged_together(segments) == [tuple(agenda.merged(s)) for s in segments]
+    assert agenda.merged_together(["ab"]) == [tuple(agenda.merged("ab"))]
+    heaped, agenda.merged = [], lambda s, merged=agenda.merged: heaped.append(s) or merged(s)
+    texts = ["one two one", "", "x" * (pieces.SHORT + 9) + " one", "\n\nnew, words."] * 2
+    assert agenda.encode_all(texts) == agenda.encode_all(texts) == agenda.library.encode(texts)
+    assert {len(s) for s in heaped} == {pieces.SHORT + 10} and all(len(s) <= pieces.SHORT for s in agenda.cache)
+    assert [agenda.encode(t) for t in texts] == agenda.library.encode(texts)
+
+
 def test_secrets(spark):
     body = "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5"
     good = "ghp_" + body + secrets.checksum(body)
