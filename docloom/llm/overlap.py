@@ -49,8 +49,11 @@ from .common import BLOB, SKETCH_BITS, add_counts, blobs, blocks, count_rows, ho
 WORDS = 5
 PERCENT = 75
 MOST_MET = 16
-#: Rounds in which the lists' leaders are compared, before the exhaustive one.
+#: Rounds in which the lists' leaders are compared, before the exhaustive one: so many at least and at most,
+#: in between as long as one in ``WORTH`` of a round's comparisons is a link.
 ROUNDS = 2
+MOST_ROUNDS = 8
+WORTH = 5
 #: Longs of bucket parities (64 buckets each) of a set.
 PARITIES = 4
 #: Documents that one leader is compared with in one block, and elements of them that are held at once.
@@ -154,6 +157,7 @@ def short_lists(owner: np.ndarray, value: np.ndarray, rows: int, level: np.ndarr
 
 
 MEMBERS = "token long, _id long, n int, mark long, place int"
+ENTRY = ("token", "_id", "n", "mark", "place", "alone")
 
 
 def members(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
@@ -290,42 +294,58 @@ def linked_components(docs: DataFrame, profiles: DataFrame, counts: np.ndarray,
     # marks in lists have their upper 48 bits
     parities = profiles.select("_id", F.col("n").cast("int").alias("n"), F.shiftrightunsigned("mark1", 16).alias("mark"), "odd").distinct()
     vertices = stored(alone.join(parities, ["_id", "n", "mark"]), "vertices")
+    lists = stored(found.join(vertices.drop("odd"), ["_id", "n", "mark"]).select(*ENTRY), "lists")
     edges = tried = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "v long, label long")
 
     # whether two sets can have the least overlap, if this is one of their first k meeting places
-    def possible(one: str, other: str, k):
+    def by_place(one: str, other: str, k):
         n, place, own = (F.col(one + c) for c in ("n", "place", "alone"))
         n2, place2, own2 = (F.col(other + c) for c in ("n", "place", "alone"))
-        by_place = (100 + percent) * (F.least(n - place, n2 - place2) + k - 1) >= percent * (n + n2)
-        odd, odd2 = F.col(one + "odd"), F.col(other + "odd")
-        differing = reduce(add, [F.bit_count(odd[i].bitwiseXOR(odd2[i])) for i in range(PARITIES)])
-        by_parity = (100 + percent) * differing <= (100 - percent) * (n + n2)
+        enough = (100 + percent) * (F.least(n - place, n2 - place2) + k - 1) >= percent * (n + n2)
         # with o common elements, at most n - o lone ones are in this set only; if the other has one of them behind its
         # short lists, all these come before it: at most n2 - o are not met here, and the others are not alone
         lone = lambda x, x2, y: (100 + percent) * (F.greatest(x, x2 + length(x) - length(x2)) - y) >= percent * (x + x2)
-        return by_place & lone(n, n2, own) & lone(n2, n, own2) & by_parity
-
-    for turn in range(ROUNDS + 1):
-        parts = vertices.join(labels, vertices["_id"] == labels["v"], "left").select("_id", "n", "mark", "alone", "odd", F.coalesce("label", "_id").alias("part"))
-        now = found.join(parts, ["_id", "n", "mark"]).select("token", "_id", "n", "place", "alone", "odd", "part")
-        open_ = now.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct(F.xxhash64("_id", F.lit(turn)).alias("h"), "_id", "n", "place", "alone", "odd", "part")).alias("lead")).where("low <> high")
-        if turn < ROUNDS:  # each list's leader against the rest
-            met = now.join(open_, "token").where(F.col("part") != F.col("lead.part"))
-            met = met.where(possible("", "lead.", F.lit(1))).groupBy(F.col("lead._id").alias("a"), F.col("_id").alias("b")).count()
+        return enough & lone(n, n2, own) & lone(n2, n, own2)
+
+    # whether the parities of two sets differ in few enough buckets
+    def by_parity(one: str, other: str):
+        odd, odd2 = F.col(one + "odd"), F.col(other + "odd")
+        differing = reduce(add, [F.bit_count(odd[i].bitwiseXOR(odd2[i])) for i in range(PARITIES)])
+        return (100 + percent) * differing <= (100 - percent) * (F.col(one + "n") + F.col(other + "n"))
+
+    def parities_of(side: str) -> DataFrame:
+        return vertices.select(F.col("_id").alias(side), F.col("n").alias(f"{side}_n"), F.col("odd").alias(f"{side}_odd"))
+
+    turn, last = 0, ROUNDS == 0
+    while True:
+        # components only grow: lists that lie in one of them stay out of all later rounds
+        near = F.broadcast(labels) if turn and labels.count() <= BROADCAST_IDS else labels
+        now = lists.join(near, lists["_id"] == near["v"], "left").select(*ENTRY, F.coalesce("label", "_id").alias("part")) if turn else lists.withColumn("part", F.col("_id"))
+        open_ = now.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct(F.xxhash64("_id", F.lit(turn)).alias("h"), "_id", "n", "place", "alone", "part")).alias("lead")).where("low <> high")
+        lists = stored(now.join(open_.select("token", "lead"), "token"), "open-lists")
+        if not last:  # each list's leader against the rest
+            met = lists.where(F.col("part") != F.col("lead.part")).where(by_place("", "lead.", F.lit(1)))
+            met = met.groupBy(F.col("lead._id").alias("a"), F.col("_id").alias("b")).count()
+            met = met.join(parities_of("a"), "a").join(parities_of("b"), "b").where(by_parity("a_", "b_"))
             # each document is compared with the leader of most of its lists
             met = met.groupBy("b").agg(F.max(F.struct("count", "a"))["a"].alias("a")).select("a", "b")
         else:  # whatever still lies in different components
-            left = now.join(open_.select("token"), "token")
+            left = lists.drop("lead").join(vertices.select("_id", "n", "mark", "odd"), ["_id", "n", "mark"])
             right = left.select("token", *[F.col(c).alias(f"other_{c}") for c in ("_id", "n", "place", "alone", "odd", "part")])
             met = left.join(right, "token").where("part < other_part").withColumn("k", F.least(needed(F.col("n")), needed(F.col("other_n"))))
-            met = met.where(possible("", "other_", F.col("k"))).groupBy(F.col("_id").alias("a"), F.col("other__id").alias("b"), "k").count().where("count >= k").select("a", "b").distinct()
+            met = met.where(by_place("", "other_", F.col("k")) & by_parity("", "other_")).groupBy(F.col("_id").alias("a"), F.col("other__id").alias("b"), "k").count().where("count >= k").select("a", "b").distinct()
         pairs = durable(met.join(tried, ["a", "b"], "left_anti"))
         linked = durable(verified(pairs, docs, percent))
         edges, tried = edges.union(linked), tried.union(pairs)
-        if not linked.isEmpty():
+        merged = linked.count()
+        if merged:
             labels = smallest_labels(spark, edges)
-    return labels
+        if last:
+            return labels
+        turn += 1
+        last = turn >= ROUNDS and (turn >= MOST_ROUNDS or merged * WORTH < pairs.count())
+        lists = lists.select(*ENTRY)
 
 
 def near_components(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -126,6 +126,22 @@ def test_components_of_subset_copies(spark, hot, rounds, monkeypatch):
     assert {r[0]: (r[1], r[2]) for r in overlap.near_components(docs).collect()} == want
 
 
+def test_lists_within_a_component_are_left_out(spark, monkeypatch):
+    kept, stored = [], overlap.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "open-lists":
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(overlap, "stored", counted)
+    monkeypatch.setattr(overlap, "WORTH", 1 << 30, raising=False)
+    docs = spark.createDataFrame(list(enumerate(subset_copies())), "doc_id long, text string")
+    assert {r[0]: (r[1], r[2]) for r in overlap.near_components(docs).collect()} == components(table(docs))
+    assert len(kept) >= 3 and kept[0] > kept[-1]
+
+
 def test_divide_skip():
     rng = np.random.default_rng(2)
     query = np.unique(rng.integers(0, 300, 120).astype(np.uint64))
